@@ -32,22 +32,36 @@ def count_where(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
-def skew_corrected(x: C) -> Column:
-    """Bias-corrected skewness; 0 for a flat sample and for fewer than three values."""
-    x = col(x)
-    n = F.count(x).cast("double")
-    flat = n * F.var_pop(x) < FLAT_SUM_SQUARES
-    g1 = F.skewness(x)
-    return F.when((n < 3) | flat, 0.0).otherwise(F.sqrt(n * (n - 1)) / (n - 2) * g1)
+def skew_corrected(x: str) -> str:
+    """SQL text: bias-corrected skewness; 0 for a flat sample and for fewer than three values."""
+    n = f"CAST(count({x}) AS DOUBLE)"
+    return (f"CASE WHEN {n} < 3 OR {n} * var_pop({x}) < {FLAT_SUM_SQUARES}D THEN 0D "
+            f"ELSE sqrt({n} * ({n} - 1)) / ({n} - 2) * skewness({x}) END")
 
 
-def kurt_corrected(x: C) -> Column:
-    """Bias-corrected excess kurtosis; 0 for a flat sample and for fewer than four values."""
-    x = col(x)
-    n = F.count(x).cast("double")
-    flat = n * F.var_pop(x) < FLAT_SUM_SQUARES
-    g2 = F.kurtosis(x)
-    return F.when((n < 4) | flat, 0.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+def kurt_corrected(x: str) -> str:
+    """SQL text: bias-corrected excess kurtosis; 0 for a flat sample and for fewer than four values."""
+    n = f"CAST(count({x}) AS DOUBLE)"
+    return (f"CASE WHEN {n} < 4 OR {n} * var_pop({x}) < {FLAT_SUM_SQUARES}D THEN 0D "
+            f"ELSE ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis({x}) + 6) END")
+
+
+def lag1_autocorr(lagged: str, current: str, eps: float = 1e-10) -> str:
+    """SQL text: lag-1 autocorrelation with slice means and an epsilon in the denominator.
+
+    ``lagged`` must be NULL on the first row of the group.
+    """
+    n = f"CAST(count({lagged}) AS DOUBLE)"
+    paired = f"CASE WHEN {lagged} IS NOT NULL THEN {current} END"
+    spread = f"sqrt({n} * var_pop({lagged}) * {n} * var_pop({paired}))"
+    return f"CASE WHEN {n} >= 2 THEN {n} * covar_pop({lagged}, {paired}) / ({spread} + {eps}D) ELSE 0D END"
+
+
+def corr_text(x: str, y: str, when: str = "TRUE") -> str:
+    """SQL text of :func:`corr0` over the rows that satisfy ``when`` (both sides never NULL there)."""
+    a, b = f"CASE WHEN {when} THEN {x} END", f"CASE WHEN {when} THEN {y} END"
+    live = " AND ".join(f"count({c}) * var_pop({c}) > {FLAT_CORR_SUM_SQUARES}D" for c in (a, b))
+    return f"CASE WHEN {live} THEN try_divide(covar_pop({a}, {b}), sqrt(var_pop({a}) * var_pop({b}))) END"
 
 
 def corr0(x: C, y: C) -> Column:
@@ -71,15 +85,3 @@ def corr_from_sums(n: C, sx: C, sy: C, sxx: C, syy: C, sxy: C) -> Column:
     vy = syy - F.try_divide(sy * sy, n)
     live = (n > 1) & (vx > FLAT_SUM_SQUARES) & (vy > FLAT_SUM_SQUARES)
     return F.when(live, F.try_divide(sxy - F.try_divide(sx * sy, n), F.sqrt(F.abs(vx * vy))))
-
-
-def lag1_autocorr(lagged: C, current: C, eps: float = 1e-10) -> Column:
-    """Lag-1 autocorrelation with slice means and an epsilon in the denominator.
-
-    ``lagged`` must be NULL on the first row of the group.
-    """
-    x = col(lagged)
-    y = F.when(x.isNotNull(), col(current))
-    n = F.count(x).cast("double")
-    den = F.sqrt(n * F.var_pop(x) * n * F.var_pop(y)) + eps
-    return F.when(n >= 2, n * F.covar_pop(x, y) / den).otherwise(0.0)

@@ -50,33 +50,29 @@ def leave_part_out(sums: DataFrame, keys: Sequence[str], part: str, p: int) -> D
 def solve(sums: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
     """``keys, n, b_0 (intercept), b_1..b_p, rss`` from the sums.
 
-    Symmetric elimination on the centred cross-products, one projection per regressor.
+    Symmetric elimination on the centred cross-products, one projection per regressor.  Written
+    as SQL text because building hundreds of small column objects costs more than running them.
     """
-    work = sums.select(
+    work = sums.selectExpr(
         *keys, "n", *[f"s_{i}" for i in range(p + 1)],
-        *[(F.col(f"p_{i}_{j}") - F.try_divide(F.col(f"s_{i}") * F.col(f"s_{j}"), F.col("n"))).alias(f"a_{i}_{j}")
-          for i, j in _pairs(p)],
-        *[F.col(f"p_{i}_{i}").alias(f"scale_{i}") for i in range(p)],
-    )
+        *[f"p_{i}_{j} - try_divide(s_{i} * s_{j}, n) AS a_{i}_{j}" for i, j in _pairs(p)],
+        *[f"p_{i}_{i} AS scale_{i}" for i in range(p)])
+    kept = [*keys, "n", *[f"s_{i}" for i in range(p + 1)], *[f"scale_{i}" for i in range(p)]]
+    ratios: list[str] = []
     for k in range(p):
-        pivot = F.col(f"a_{k}_{k}")
-        usable = pivot > F.lit(PIVOT_TOLERANCE) * F.col(f"scale_{k}")
-        work = work.withColumns({f"u_{k}_{j}": F.when(usable, F.try_divide(F.col(f"a_{k}_{j}"), pivot)).otherwise(0.0)
-                                 for j in range(k + 1, p + 1)})
-        work = work.withColumns({f"a_{i}_{j}": F.col(f"a_{i}_{j}") - F.col(f"u_{k}_{i}") * F.col(f"a_{k}_{j}")
-                                 for i in range(k + 1, p + 1) for j in range(i, p + 1)})
+        now = [f"u_{k}_{j}" for j in range(k + 1, p + 1)]
+        work = work.selectExpr(
+            *kept, *ratios, *[f"a_{i}_{j}" for i, j in _pairs(p) if i >= k],
+            *[f"CASE WHEN a_{k}_{k} > {PIVOT_TOLERANCE}D * scale_{k} THEN try_divide(a_{k}_{j}, a_{k}_{k}) ELSE 0D END AS u_{k}_{j}"
+              for j in range(k + 1, p + 1)])
+        ratios += now
+        work = work.selectExpr(*kept, *ratios, *[f"a_{i}_{j} - u_{k}_{i} * a_{k}_{j} AS a_{i}_{j}" for i, j in _pairs(p) if i > k])
     for k in reversed(range(p)):
-        slope = F.col(f"u_{k}_{p}")
-        for j in range(k + 1, p):
-            slope = slope - F.col(f"u_{k}_{j}") * F.col(f"b_{j + 1}")
-        work = work.withColumn(f"b_{k + 1}", slope)
-    intercept = F.col(f"s_{p}")
-    for k in range(p):
-        intercept = intercept - F.col(f"b_{k + 1}") * F.col(f"s_{k}")
-    return work.select(
-        *keys, F.col("n").cast("bigint").alias("n"), F.try_divide(intercept, F.col("n")).alias("b_0"),
-        *[f"b_{k + 1}" for k in range(p)], F.greatest(F.col(f"a_{p}_{p}"), F.lit(0.0)).alias("rss"),
-    )
+        tail = "".join(f" - u_{k}_{j} * b_{j + 1}" for j in range(k + 1, p))
+        work = work.selectExpr("*", f"u_{k}_{p}{tail} AS b_{k + 1}")
+    used = "".join(f" - b_{k + 1} * s_{k}" for k in range(p))
+    return work.selectExpr(*keys, "CAST(n AS BIGINT) AS n", f"try_divide(s_{p}{used}, n) AS b_0",
+                           *[f"b_{k + 1}" for k in range(p)], f"greatest(a_{p}_{p}, 0D) AS rss")
 
 
 def fit(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:

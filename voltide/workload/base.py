@@ -79,14 +79,14 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounded(df: DataFrame) -> DataFrame:
     """Round every floating column so that summation order cannot show."""
-    def one(f: T.StructField):
+    def one(f: T.StructField) -> str:
+        name = f"`{f.name}`"
         if not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            return F.col(f.name)
-        x = F.col(f.name).cast("double")
-        size = F.abs(x)
-        r = F.when(size < 1e3, F.round(x, 6)).when(size < 1e7, F.round(x, 2)).otherwise(F.round(x, -3))
-        return (r + F.lit(0.0)).alias(f.name)
-    return df.select(*[one(f) for f in df.schema.fields])
+            return name
+        x = f"CAST({name} AS DOUBLE)"
+        return (f"(CASE WHEN abs({x}) < 1e3 THEN round({x}, 6) WHEN abs({x}) < 1e7 THEN round({x}, 2) "
+                f"ELSE round({x}, -3) END + 0D) AS {name}")
+    return df.selectExpr(*[one(f) for f in df.schema.fields])
 
 
 def r(expr: str, name: str | None = None) -> str:
