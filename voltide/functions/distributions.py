@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_sf(z: float) -> float:
@@ -86,26 +87,26 @@ def _columnwise(fn):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_normal_p(z: pd.Series) -> pd.Series:
     return _columnwise(lambda v: 2.0 * normal_sf(abs(v)))(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def upper_normal_p(z: pd.Series) -> pd.Series:
     return _columnwise(normal_sf)(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def upper_f_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _columnwise(f_sf)(f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_quantile_of(p: pd.Series, df: pd.Series) -> pd.Series:
     return _columnwise(t_quantile)(p, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def upper_binomial_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _columnwise(lambda a, b, c: binomial_sf(int(a), int(b), c))(k, n, p)
