@@ -65,14 +65,13 @@ def actual_consistency(predictions: DataFrame, models: Sequence[str], tolerance:
 
 
 def row_count_report(predictions: DataFrame, base_model: str) -> DataFrame:
-    """Rows per model and fold with totals and the difference from the base model's total."""
+    """Rows per model and fold, with totals, and the difference from the base model's count."""
     counts = predictions.groupingSets([["model", "fold"], ["model"]], "model", "fold").agg(
-        F.grouping("fold").alias("is_total"), F.count(F.lit(1)).alias("n_rows"))
-    base = counts.where((F.col("is_total") == 1) & (F.col("model") == base_model)).select(
-        "is_total", F.col("n_rows").alias("_base"))
-    return counts.join(F.broadcast(base), "is_total", "left").select(
-        "model", F.coalesce(F.col("fold").cast("string"), F.lit("all")).alias("fold"), "n_rows",
-        (F.col("n_rows") - F.col("_base")).alias("vs_base"))
+        F.grouping("fold").alias("_total"), F.count(F.lit(1)).alias("n_rows"),
+    ).select("model", F.when(F.col("_total") == 1, "all").otherwise(F.col("fold").cast("string")).alias("fold"), "n_rows")
+    base = counts.where(F.col("model") == base_model).select("fold", F.col("n_rows").alias("_base"))
+    return counts.join(F.broadcast(base), "fold", "left").select(
+        "model", "fold", "n_rows", (F.col("n_rows") - F.coalesce("_base", F.lit(0))).alias("vs_base"))
 
 
 def pooled_metrics(long: DataFrame) -> DataFrame:

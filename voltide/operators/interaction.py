@@ -177,7 +177,7 @@ def permuted_panels(panel: DataFrame, n_perm: int = 100) -> DataFrame:
     cell = F.explode(F.arrays_zip(F.transform("cells", lambda c: c["stock_id"]).alias("s"),
                                   F.transform(shuffled, lambda c: c["v"]).alias("v")))
     return perms.select("perm", "time_id", cell.alias("c")).select(
-        "perm", "time_id", F.col("c.0").alias("stock_id"), F.col("c.1").alias("log_rv"))
+        "perm", "time_id", F.col("c.s").alias("stock_id"), F.col("c.v").alias("log_rv"))
 
 
 def permutation_test(panel: DataFrame, n_perm: int = 100, share: float = 0.5) -> DataFrame:

@@ -1,6 +1,6 @@
 """Order statistics over whole tables without a single-task window.
 
-Everything here starts from one range-partitioned sort.  The sorted rows are checkpointed with
+Everything here starts from one range-partitioned sort.  The sorted rows are written once with
 ``monotonically_increasing_id`` (partition number in the upper bits, row number in the lower
 33), so the position of a row is its partition's offset plus its row number.  The offsets have
 one row per sort partition, which is what bounds the broadcast below.  Range partitions split

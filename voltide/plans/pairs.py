@@ -62,17 +62,16 @@ def pair_sums(left: DataFrame, right: DataFrame, extra: Sequence[str] = (), n_sl
     all_blocks = F.array(*[F.lit(b).cast("bigint") for b in blocks])
 
     def placed(df: DataFrame, is_left: bool) -> DataFrame:
-        own = F.floor(F.col("sid") / BLOCK_STOCKS)
-        partner = F.explode(F.filter(all_blocks, lambda b: b >= own if is_left else b <= own))
-        return df.select(
+        named = df.select(
             *extra, "t", F.col("sid").cast("int").alias("sid"), F.col("v").cast("double").alias("v"),
-            F.lit(is_left).alias("left"), own.alias("_own"), partner.alias("_partner"),
-            F.pmod(F.xxhash64("t"), F.lit(slices)).alias("_slice"),
-        ).withColumn("_bi", F.col("_own") if is_left else F.col("_partner")) \
-         .withColumn("_bj", F.col("_partner") if is_left else F.col("_own")) \
-         .drop("_own", "_partner")
-
-    rows = placed(left, True).unionByName(placed(right, False)).where(F.col("v").isNotNull())
+            F.pmod(F.xxhash64("t"), F.lit(slices)).alias("_slice"), F.floor(F.col("sid") / BLOCK_STOCKS).alias("_own"))
+        own = F.col("_own")
+        partner = F.explode(F.filter(all_blocks, lambda b: b >= own if is_left else b <= own)).alias("_partner")
+        pair = (own, F.col("_partner")) if is_left else (F.col("_partner"), own)
+        return named.where(F.col("v").isNotNull()).select("*", partner).select(
+            *extra, "t", "sid", "v", "_slice", F.lit(is_left).alias("left"), pair[0].alias("_bi"), pair[1].alias("_bj"))
+
+    rows = placed(left, True).unionByName(placed(right, False))
     types = dict(rows.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in extra] + ["stock_a int", "stock_b int"]
                        + [f"{s} double" for s in _SUMS])

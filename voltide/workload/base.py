@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from voltide.operators import har
 from voltide.operators.book import last_quote_per_second, preprocess_book
+from voltide.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 Entry = tuple[Query, str | None]
@@ -54,8 +55,11 @@ def book_sec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def har_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HAR feature table of the sparse book, model columns added, small targets dropped."""
-    return har.model_rows(har.features_from_raw(book_raw(spark, sf_dir)))
+    """HAR feature table of the sparse book, model columns added, small targets dropped.
+
+    Written once: fitting and scoring both read it.
+    """
+    return cut_lineage(har.model_rows(har.features_from_raw(book_raw(spark, sf_dir))))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voltide.operators import compare, eda, interaction, rv
 from voltide.operators.book import with_book_columns
+from voltide.session import cut_lineage
 from voltide.workload.base import (
     COLS_SQL, DENSE_SQL, MODELS, PRED_SQL, Entry, book_raw, book_sec, corr_sql, ols_solve_sql, ols_sums_sql, predictions, hash_sql,
     qlike_sql, r, returns_sql, rounded, rs, rv_sql, sqpct_sql, with_sql,
@@ -109,9 +110,9 @@ SELECT fold, model, {r('p_value')}, {r('pc', 'p_value_corrected')}, pc <= 5e-2 A
 # ---- co-movement ------------------------------------------------------------------
 
 def panel(spark, sf_dir):
-    """Live log-RV cells; a few are removed by rule so coverage and completeness matter."""
+    """Live log-RV cells, written once; a few are removed by rule so coverage and completeness matter."""
     live = interaction.live_panel(rv.target_rv_panel(book_sec(spark, sf_dir)))
-    return live.where("NOT (stock_id = 3 AND time_id % 2 = 1) AND NOT (stock_id = 5 AND time_id % 3 <> 0) AND NOT (stock_id = 6 AND time_id = 11)")
+    return cut_lineage(live.where("NOT (stock_id = 3 AND time_id % 2 = 1) AND NOT (stock_id = 5 AND time_id % 3 <> 0) AND NOT (stock_id = 6 AND time_id = 11)"))
 
 
 EDA_RV_SQL = DENSE_SQL + returns_sql("dense", "ret") + f""",
@@ -329,9 +330,9 @@ FROM ret WHERE stock_id IN (SELECT DISTINCT stock_id FROM ret ORDER BY stock_id
 QUERIES: dict[str, Entry] = {
     "predictions_aligned": (_aligned, with_sql(PRED_SQL, f"SELECT {KEYS}, fold, {rs('actual_rv', 'pred_naive', 'pred_scaled', 'pred_ols')} FROM aligned")),
     "actual_consistency": (_consistency, CONSISTENCY_SQL),
-    "prediction_row_counts": (_counts, with_sql(PRED_SQL, """, b AS (SELECT count(*) AS b FROM long_pred WHERE model = 'naive')
-SELECT model, CAST(fold AS VARCHAR) AS fold, count(*) AS n_rows, CAST(NULL AS BIGINT) AS vs_base FROM long_pred GROUP BY model, fold
-UNION ALL SELECT model, 'all', count(*), count(*) - (SELECT b FROM b) FROM long_pred GROUP BY model""")),
+    "prediction_row_counts": (_counts, with_sql(PRED_SQL, """, c AS (SELECT model, CAST(fold AS VARCHAR) AS fold, count(*) AS n_rows FROM long_pred GROUP BY model, fold
+  UNION ALL SELECT model, 'all', count(*) FROM long_pred GROUP BY model)
+SELECT c.model, c.fold, c.n_rows, c.n_rows - coalesce(b.n_rows, 0) AS vs_base FROM c LEFT JOIN c b ON b.fold = c.fold AND b.model = 'naive'""")),
     "pooled_and_fold_metrics": (_pooled, with_sql(PRED_SQL, f"""SELECT model, CAST(fold AS VARCHAR) AS fold, count(*) AS n_rows, {r(_RM, 'rmspe')}, {r(_QL, 'qlike')} FROM long_aligned GROUP BY model, fold
 UNION ALL SELECT model, 'all', count(*), {r(_RM, 'rmspe')}, {r(_QL, 'qlike')} FROM long_aligned GROUP BY model""")),
     "metric_confidence_intervals": (_intervals, with_sql(PRED_SQL, f""", f AS (SELECT model, fold, {_RM} AS a, {_QL} AS b FROM long_aligned GROUP BY model, fold),
