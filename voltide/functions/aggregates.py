@@ -12,20 +12,19 @@ FLAT_SUM_SQUARES = 1e-14
 FLAT_CORR_SUM_SQUARES = 1e-20
 
 
-def in_window(lo: int | None, hi: int | None, second: C = "seconds_in_bucket") -> Column:
-    s = col(second)
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (s >= lo)
-    if hi is not None:
-        cond = cond & (s < hi)
-    return cond
+def window_text(lo: int | None, hi: int | None) -> str:
+    """SQL text: the second lies in [lo, hi)."""
+    cond = [f"seconds_in_bucket >= {lo}"] * (lo is not None) + [f"seconds_in_bucket < {hi}"] * (hi is not None)
+    return " AND ".join(cond) or "TRUE"
 
 
-def window_rv(ret: C, lo: int | None, hi: int | None) -> Column:
+def in_window(lo: int | None, hi: int | None) -> Column:
+    return F.expr(window_text(lo, hi))
+
+
+def window_rv(ret: str, lo: int | None, hi: int | None) -> Column:
     """sqrt of the sum of squared returns whose second lies in [lo, hi); NULL if none."""
-    r = col(ret)
-    return F.sqrt(F.sum(F.when(in_window(lo, hi), r * r)))
+    return F.expr(f"sqrt(sum(CASE WHEN {window_text(lo, hi)} THEN {ret} * {ret} END))")
 
 
 def count_where(cond: Column) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voltide.constants import FEATURE_EPS, REGIME_CUTS, REGIMES, TIERS  # noqa: F401
+from voltide.constants import FEATURE_EPS, REGIME_CUTS, REGIMES, TIERS
 
 C = Column | str
 
@@ -18,96 +16,67 @@ def col(c: C) -> Column:
 
 def finite(c: C) -> Column:
     """NaN and both infinities become NULL."""
-    c = col(c)
+    if isinstance(c, str):
+        return F.expr(f"CASE WHEN isnan({c}) OR abs({c}) = double('infinity') THEN NULL ELSE {c} END")
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
 
 
-def at_least(c: C, floor: float) -> Column:
-    """Lower clip that keeps NULL (``greatest`` alone would replace it by the floor)."""
-    c = col(c)
-    return F.when(c.isNotNull(), F.greatest(c, F.lit(floor)))
-
-
-def clip(c: C, lo: float, hi: float) -> Column:
-    c = col(c)
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
-
-
-def floored_log(c: C, floor: float = FEATURE_EPS) -> Column:
-    return F.log(at_least(c, floor))
-
-
-def ratio(num: C, den: C) -> Column:
-    """Division that gives NULL, not an error, at a zero denominator."""
-    return F.try_divide(col(num).cast("double"), col(den).cast("double"))
-
-
-def strict_greatest(a: C, b: C) -> Column:
-    """Larger of two, NULL when either is NULL."""
-    return F.when(col(a).isNotNull() & col(b).isNotNull(), F.greatest(col(a), col(b)))
-
-
-def strict_least(a: C, b: C) -> Column:
-    return F.when(col(a).isNotNull() & col(b).isNotNull(), F.least(col(a), col(b)))
-
+def floor_text(x: str, floor: float) -> str:
+    """SQL text: lower clip that keeps NULL (``greatest`` alone would replace it by the floor)."""
+    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest({x}, {float(floor)}D) END"
 
-# ---- book columns ------------------------------------------------------------
 
-def wap_level1() -> Column:
-    """Weighted average price from the first level only."""
-    return ratio(
-        F.col("bid_price1") * F.col("ask_size1") + F.col("ask_price1") * F.col("bid_size1"),
-        F.col("bid_size1") + F.col("ask_size1"),
-    )
+def clip_text(x: str, lo: float, hi: float) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least(greatest({x}, {float(lo)}D), {float(hi)}D) END"
 
 
-def best_bid_price() -> Column:
-    return strict_greatest("bid_price1", "bid_price2")
-
-
-def best_ask_price() -> Column:
-    return strict_least("ask_price1", "ask_price2")
-
-
-def best_bid_size() -> Column:
-    return F.when(F.col("bid_price1") >= F.col("bid_price2"), F.col("bid_size1")).otherwise(F.col("bid_size2"))
-
-
-def best_ask_size() -> Column:
-    return F.when(F.col("ask_price1") <= F.col("ask_price2"), F.col("ask_size1")).otherwise(F.col("ask_size2"))
-
-
-def wap_best_level() -> Column:
-    """Weighted average price from the better of two levels; the size follows the price."""
-    return ratio(
-        best_bid_price() * best_ask_size() + best_ask_price() * best_bid_size(),
-        best_bid_size() + best_ask_size(),
-    )
-
-
-def bid_ask_spread() -> Column:
-    """Relative spread: best ask over best bid, minus one."""
-    return ratio(best_ask_price(), best_bid_price()) - F.lit(1.0)
-
+def at_least(c: C, floor: float) -> Column:
+    """Lower clip that keeps NULL."""
+    if isinstance(c, str):
+        return F.expr(floor_text(c, floor))
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(floor)))
 
-def total_volume() -> Column:
-    sizes = [F.coalesce(F.col(c), F.lit(0)) for c in ("bid_size1", "bid_size2", "ask_size1", "ask_size2")]
-    return reduce(lambda a, b: a + b, sizes).cast("double")
 
+def clip(c: C, lo: float, hi: float) -> Column:
+    if isinstance(c, str):
+        return F.expr(clip_text(c, lo, hi))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
-def price_spread() -> Column:
-    prices = [F.col(c) for c in ("bid_price1", "bid_price2", "ask_price1", "ask_price2")]
-    return F.greatest(*prices) - F.least(*prices)
 
+def floored_log(c: str, floor: float = FEATURE_EPS) -> Column:
+    return F.expr(f"ln({floor_text(c, floor)})")
 
-def depth_imbalance() -> Column:
-    bid = F.col("bid_size1") + F.col("bid_size2")
-    ask = F.col("ask_size1") + F.col("ask_size2")
-    return ratio(bid - ask, bid + ask)
 
+# ---- book columns, as SQL text --------------------------------------------------
 
-def volume_imbalance_best() -> Column:
-    return ratio(best_bid_size() - best_ask_size(), best_bid_size() + best_ask_size())
+def _ratio(num: str, den: str) -> str:
+    """Division that gives NULL, not an error, at a zero denominator."""
+    return f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
+
+
+def _both(fn: str, a: str, b: str) -> str:
+    """greatest/least of two, NULL when either is NULL."""
+    return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {fn}({a}, {b}) END"
+
+
+BEST_BID = f"({_both('greatest', 'bid_price1', 'bid_price2')})"
+BEST_ASK = f"({_both('least', 'ask_price1', 'ask_price2')})"
+BEST_BID_SIZE = "(CASE WHEN bid_price1 >= bid_price2 THEN bid_size1 ELSE bid_size2 END)"
+BEST_ASK_SIZE = "(CASE WHEN ask_price1 <= ask_price2 THEN ask_size1 ELSE ask_size2 END)"
+_SIZES = ("bid_size1", "bid_size2", "ask_size1", "ask_size2")
+_PRICES = "bid_price1, bid_price2, ask_price1, ask_price2"
+
+# Weighted average price from the first level only.
+WAP_LEVEL1 = _ratio("bid_price1 * ask_size1 + ask_price1 * bid_size1", "bid_size1 + ask_size1")
+# Weighted average price from the better of two levels; the size follows the price.
+WAP_BEST = _ratio(f"{BEST_BID} * {BEST_ASK_SIZE} + {BEST_ASK} * {BEST_BID_SIZE}", f"{BEST_BID_SIZE} + {BEST_ASK_SIZE}")
+# Relative spread: best ask over best bid, minus one.
+BID_ASK_SPREAD = f"{_ratio(BEST_ASK, BEST_BID)} - 1D"
+TOTAL_VOLUME = f"CAST({' + '.join(f'coalesce({c}, 0)' for c in _SIZES)} AS DOUBLE)"
+# Price range over the levels present.
+PRICE_SPREAD = f"greatest({_PRICES}) - least({_PRICES})"
+DEPTH_IMBALANCE = _ratio("bid_size1 + bid_size2 - ask_size1 - ask_size2", "bid_size1 + bid_size2 + ask_size1 + ask_size2")
+VOLUME_IMBALANCE = _ratio(f"{BEST_BID_SIZE} - {BEST_ASK_SIZE}", f"{BEST_BID_SIZE} + {BEST_ASK_SIZE}")
 
 
 # ---- ids, labels -------------------------------------------------------------

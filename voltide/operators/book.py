@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltide.constants import PRICE_EPS, RETURN_CLIP, SECONDS_PER_SNAPSHOT
@@ -21,10 +20,8 @@ SNAPSHOT = ["stock_id", "time_id"]
 SECOND_KEY = [*SNAPSHOT, "seconds_in_bucket"]
 DERIVED = ["wap", "bid_ask_spread", "total_volume", "price_spread", "depth_imbalance"]
 
-
-def by_second():
-    """Rows of one snapshot in time order (at most 600)."""
-    return W.partitionBy(*SNAPSHOT).orderBy("seconds_in_bucket")
+# Window text: rows of one snapshot in time order (at most 600).
+BY_SECOND = "PARTITION BY stock_id, time_id ORDER BY seconds_in_bucket"
 
 
 def last_quote_per_second(df: DataFrame, order_col: str, value_cols: Sequence[str]) -> DataFrame:
@@ -38,16 +35,12 @@ def last_quote_per_second(df: DataFrame, order_col: str, value_cols: Sequence[st
 
 def with_book_columns(raw: DataFrame, wap: str = "level1") -> DataFrame:
     """Derived columns of each quote.  ``wap`` is 'level1' or 'best' (better of two levels)."""
-    price = vc.wap_level1() if wap == "level1" else vc.wap_best_level()
-    return raw.select(
-        *SECOND_KEY,
-        price.alias("wap"),
-        vc.bid_ask_spread().alias("bid_ask_spread"),
-        vc.total_volume().alias("total_volume"),
-        vc.price_spread().alias("price_spread"),
-        vc.depth_imbalance().alias("depth_imbalance"),
-        vc.volume_imbalance_best().alias("volume_imbalance"),
-    )
+    items = {
+        "wap": vc.WAP_LEVEL1 if wap == "level1" else vc.WAP_BEST, "bid_ask_spread": vc.BID_ASK_SPREAD,
+        "total_volume": vc.TOTAL_VOLUME, "price_spread": vc.PRICE_SPREAD, "depth_imbalance": vc.DEPTH_IMBALANCE,
+        "volume_imbalance": vc.VOLUME_IMBALANCE,
+    }
+    return raw.selectExpr(*SECOND_KEY, *[f"{text} AS {name}" for name, text in items.items()])
 
 
 def fill_seconds(df: DataFrame, value_cols: Sequence[str] = DERIVED) -> DataFrame:
@@ -56,19 +49,14 @@ def fill_seconds(df: DataFrame, value_cols: Sequence[str] = DERIVED) -> DataFram
     Each observed row is stretched up to the next observed second, so the fill needs one
     shuffle and no grid join.  Missing values inside observed rows are filled the same way.
     """
-    back = by_second().rowsBetween(W.unboundedPreceding, 0)
-    ahead = by_second().rowsBetween(0, W.unboundedFollowing)
-    filled = df.where(F.col("seconds_in_bucket").between(0, SECONDS_PER_SNAPSHOT - 1)).select(
+    back, ahead = f"({BY_SECOND} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", f"({BY_SECOND} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    filled = df.where(F.col("seconds_in_bucket").between(0, SECONDS_PER_SNAPSHOT - 1)).selectExpr(
         *SECOND_KEY,
-        *[F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)).alias(c) for c in value_cols],
-        F.row_number().over(by_second()).alias("_rn"),
-        F.lead("seconds_in_bucket").over(by_second()).alias("_next"),
-    )
-    start = F.when(F.col("_rn") == 1, 0).otherwise(F.col("seconds_in_bucket"))
-    stop = F.coalesce(F.col("_next"), F.lit(SECONDS_PER_SNAPSHOT)) - 1
-    return filled.select(
-        *SNAPSHOT, F.explode(F.sequence(start, stop)).alias("seconds_in_bucket"), *value_cols,
+        *[f"coalesce(last({c}, true) OVER {back}, first({c}, true) OVER {ahead}) AS {c}" for c in value_cols],
+        f"CASE WHEN row_number() OVER ({BY_SECOND}) = 1 THEN 0 ELSE seconds_in_bucket END AS _from",
+        f"coalesce(lead(seconds_in_bucket) OVER ({BY_SECOND}), {SECONDS_PER_SNAPSHOT}) - 1 AS _to",
     )
+    return filled.selectExpr(*SNAPSHOT, "explode(sequence(_from, _to)) AS seconds_in_bucket", *value_cols)
 
 
 def preprocess_book(raw: DataFrame, wap: str = "level1") -> DataFrame:
@@ -77,16 +65,16 @@ def preprocess_book(raw: DataFrame, wap: str = "level1") -> DataFrame:
 
 
 def add_log_price(df: DataFrame, eps: float | None = PRICE_EPS, price: str = "wap") -> DataFrame:
-    p = F.col(price) if eps is None else vc.at_least(price, eps)
-    return df.withColumn("log_wap", F.log(p))
+    p = price if eps is None else vc.floor_text(price, eps)
+    return df.withColumn("log_wap", F.expr(f"ln({p})"))
 
 
 def log_return(first: float | None = None, clip: float | None = None) -> Column:
     """Difference of log price within the snapshot; ``first`` replaces a missing return."""
-    r = F.col("log_wap") - F.lag("log_wap").over(by_second())
+    r = f"log_wap - lag(log_wap) OVER ({BY_SECOND})"
     if clip is not None:
-        r = vc.clip(r, -clip, clip)
-    return r if first is None else F.coalesce(r, F.lit(float(first)))
+        r = vc.clip_text(r, -clip, clip)
+    return F.expr(r if first is None else f"coalesce({r}, {float(first)}D)")
 
 
 def with_returns(df: DataFrame, eps: float | None = PRICE_EPS, first: float | None = None,

@@ -150,7 +150,7 @@ def diebold_mariano(aligned: DataFrame, models: Sequence[str], block_rows: int =
     tests = [(metric, a, b) for metric in LOSSES for a, b in combinations(models, 2)]
     cols = [f"d_{i}" for i in range(len(tests))]
     diffs = aligned.select(*KEY, *[
-        (LOSSES[metric]("actual_rv", f"pred_{a}", 1e-10) - LOSSES[metric]("actual_rv", f"pred_{b}", 1e-10)).alias(c)
+        F.expr(f"{LOSSES[metric]('actual_rv', f'pred_{a}', 1e-10)} - {LOSSES[metric]('actual_rv', f'pred_{b}', 1e-10)}").alias(c)
         for (metric, a, b), c in zip(tests, cols)])
     indexed = with_global_index(diffs, ["fold", "stock_id", "time_id"])
     base = indexed.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols],

@@ -79,6 +79,10 @@ def _as_double(c: str) -> Column:
     return F.col(c).cast("double")
 
 
+def _double_text(c: str) -> str:
+    return f"CAST({c} AS DOUBLE)"
+
+
 # ---- monitor --------------------------------------------------------------------
 
 def snapshot_status(master: DataFrame, time_id: int | None = None) -> DataFrame:
@@ -96,7 +100,7 @@ def snapshot_summary(master: DataFrame, model: str, time_id: int | None = None)
     return rows.groupBy("time_id").agg(
         F.avg(actual).alias("mean_rv"),
         (F.avg(F.col("regime").isin("elevated", "stressed").cast("double")) * 100.0).alias("pct_elevated"),
-        F.avg(pred).alias("mean_pred"), qlike(actual, pred, EPS).alias("qlike"))
+        F.avg(pred).alias("mean_pred"), qlike(_double_text("actual_rv"), _double_text(f"pred_{model}"), EPS).alias("qlike"))
 
 
 def heatmap_cells(master: DataFrame, model: str, time_id: int | None = None) -> DataFrame:
@@ -115,7 +119,7 @@ def risk_table(master: DataFrame, time_id: int, model: str, watchlist: Sequence[
     watched = F.col("stock_id").isin(list(watchlist)) if watchlist else F.lit(False)
     rows = master.where(F.col("time_id") == time_id).select(
         "stock_id", "regime", pred.alias("pred_rv"), actual.alias("actual_rv"), (pred - actual).alias("error"),
-        qlike_loss(actual, pred, EPS).alias("qlike"), watched.alias("watched"))
+        qlike_loss(_double_text("actual_rv"), _double_text(f"pred_{model}"), EPS).alias("qlike"), watched.alias("watched"))
     return rows.orderBy(F.col("watched").desc(), F.col("pred_rv").desc_nulls_last(), "stock_id")
 
 

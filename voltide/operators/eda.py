@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltide.constants import INPUT_END, PRICE_EPS, RV_FLOOR
@@ -172,7 +172,7 @@ def input_window_samples(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataF
     """Per sample: mean and std of each column over the input window, and log input RV."""
     rows = with_returns(df.where(F.col("seconds_in_bucket") < INPUT_END), PRICE_EPS, first=0.0)
     aggs = [a for c in cols for a in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))]
-    log_rv: Column = F.log(vc.at_least(window_rv("log_return", None, None), PRICE_EPS))
+    log_rv = F.log(vc.at_least(window_rv("log_return", None, None), PRICE_EPS))
     return rows.groupBy(*SNAPSHOT).agg(*aggs, log_rv.alias("log_rv_input"))
 
 

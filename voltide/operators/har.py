@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltide.constants import INPUT_END, PRICE_EPS, RV_FLOOR
 from voltide.functions import columns as vc
-from voltide.functions.aggregates import in_window, window_rv
+from voltide.functions.aggregates import window_rv, window_text
 from voltide.functions.losses import volatility_metrics
 from voltide.operators.book import SNAPSHOT, normalise_preprocessed, with_book_columns, with_returns
 
@@ -22,23 +22,21 @@ LOG_TARGET = f"log_{TARGET}"
 
 def _feature_table(rows: DataFrame) -> DataFrame:
     """Four RV windows and four liquidity columns in one conditional aggregate (no joins)."""
-    early = in_window(None, INPUT_END)
-
-    def when_early(c: str):
-        return F.when(early, F.col(c))
+    def early(agg: str, c: str):
+        return F.expr(f"{agg}(CASE WHEN {window_text(None, INPUT_END)} THEN {c} END)")
 
     wide = rows.groupBy(*SNAPSHOT).agg(
         window_rv("log_return", 360, 480).alias("rv_360_480"),
         window_rv("log_return", 240, 480).alias("rv_240_480"),
         window_rv("log_return", 0, 480).alias("rv_0_480"),
         window_rv("log_return", 480, 600).alias(TARGET),
-        F.avg(when_early("bid_ask_spread")).alias("spread_mean_0_480"),
-        F.max(when_early("bid_ask_spread")).alias("spread_max_0_480"),
-        F.sum(when_early("total_volume")).alias("volume_sum_0_480"),
-        F.avg(when_early("volume_imbalance")).alias("volume_imbalance_mean_0_480"),
+        early("avg", "bid_ask_spread").alias("spread_mean_0_480"),
+        early("max", "bid_ask_spread").alias("spread_max_0_480"),
+        early("sum", "total_volume").alias("volume_sum_0_480"),
+        early("avg", "volume_imbalance").alias("volume_imbalance_mean_0_480"),
     )
     cols = [*RV_FEATURES, TARGET, *LIQUIDITY]
-    zeroed = wide.select(*SNAPSHOT, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
+    zeroed = wide.selectExpr(*SNAPSHOT, *[f"coalesce({c}, 0D) AS {c}" for c in cols])
     return zeroed.select(*SNAPSHOT, *[vc.finite(c).alias(c) for c in cols]).na.drop(subset=cols)
 
 
@@ -57,7 +55,7 @@ def add_model_columns(features: DataFrame) -> DataFrame:
     logged = [*RV_FEATURES, TARGET, "spread_mean_0_480", "spread_max_0_480"]
     out = features.select(
         "*",
-        *[vc.finite(vc.floored_log(c, PRICE_EPS)).alias(f"log_{c}") for c in logged],
+        *[vc.floored_log(c, PRICE_EPS).alias(f"log_{c}") for c in logged],
         F.log1p(vc.at_least("volume_sum_0_480", 0.0)).alias("log_volume_sum_0_480"),
     )
     return out.na.drop()
@@ -87,12 +85,14 @@ def require_rows(df: DataFrame, least: int = 2) -> DataFrame:
     return df
 
 
-def inverse_log_rv(log_rv: vc.C, floor: float = RV_FLOOR):
-    return vc.at_least(F.exp(vc.col(log_rv)) - PRICE_EPS, floor)
+def inverse_log_rv(log_rv: str, floor: float = RV_FLOOR) -> str:
+    """SQL text: forecast RV from a forecast log RV, floored."""
+    return vc.floor_text(f"exp({log_rv}) - {PRICE_EPS}D", floor)
 
 
-def naive_last_two_minutes(floor: float = RV_FLOOR):
-    return vc.at_least("rv_360_480", floor)
+def naive_last_two_minutes(floor: float = RV_FLOOR) -> str:
+    """SQL text: the last two input minutes' RV as the forecast."""
+    return vc.floor_text("rv_360_480", floor)
 
 
 def with_error_columns(pred: DataFrame) -> DataFrame:

@@ -19,9 +19,9 @@ STOCK_HAR_X = ["log_rv_in", "log_rv_last_window"]
 
 
 def _with_forecasts(scored: DataFrame, log_pred: str, floor: float) -> DataFrame:
-    return scored.select(
-        "*", har.inverse_log_rv(log_pred, floor).alias("predicted_rv_480_600"),
-        har.naive_last_two_minutes(floor).alias("naive_rv_360_480"),
+    return scored.selectExpr(
+        "*", f"{har.inverse_log_rv(log_pred, floor)} AS predicted_rv_480_600",
+        f"{har.naive_last_two_minutes(floor)} AS naive_rv_360_480",
     ).drop(log_pred)
 
 

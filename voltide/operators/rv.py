@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from voltide.constants import BUCKET_EPS, FEATURE_EPS, INPUT_END, LIVE_TARGET_LOG_RV, PRICE_EPS, RV_FLOOR, TARGET_END
 from voltide.functions import columns as vc
-from voltide.functions.aggregates import in_window, window_rv
-from voltide.operators.book import SNAPSHOT, add_log_price, by_second, with_returns
+from voltide.functions.aggregates import window_rv, window_text
+from voltide.operators.book import BY_SECOND, SNAPSHOT, add_log_price, with_returns
 from voltide.plans.ordered import exact_quantiles
 
 BUCKETS_120 = [("rv_b0", 0, 120), ("rv_b1", 120, 240), ("rv_b2", 240, 360), ("rv_b3", 360, 480),
@@ -30,16 +30,14 @@ def realised_vol(df: DataFrame, windows: Sequence[tuple[str, int | None, int | N
         aggs = [window_rv("log_return", lo, hi).alias(name) for name, lo, hi in windows]
     else:
         priced = add_log_price(df, eps)
-        prev_sec = F.lag("seconds_in_bucket").over(by_second())
-        step = F.col("log_wap") - F.lag("log_wap").over(by_second())
-        rows = priced.select(*SNAPSHOT, "seconds_in_bucket", step.alias("log_return"), prev_sec.alias("_prev"))
+        rows = priced.selectExpr(
+            *SNAPSHOT, "seconds_in_bucket", f"coalesce(log_wap - lag(log_wap) OVER ({BY_SECOND}), 0D) AS log_return",
+            f"lag(seconds_in_bucket) OVER ({BY_SECOND}) AS _prev")
         # A row inside the window counts toward presence even when its return does not.
         aggs = []
         for name, lo, hi in windows:
-            inside = in_window(lo, hi)
-            from_inside = inside & (F.lit(True) if lo is None else F.col("_prev") >= lo)
-            r = F.when(from_inside, F.coalesce(F.col("log_return"), F.lit(0.0))).when(inside, F.lit(0.0))
-            aggs.append(F.sqrt(F.sum(r * r)).alias(name))
+            r = f"CASE WHEN {'TRUE' if lo is None else f'_prev >= {lo}'} THEN log_return ELSE 0D END"
+            aggs.append(F.expr(f"sqrt(sum(CASE WHEN {window_text(lo, hi)} THEN pow({r}, 2D) END))").alias(name))
     out = rows.groupBy(*SNAPSHOT).agg(*aggs)
     for name, _, _ in windows:
         c = F.col(name)

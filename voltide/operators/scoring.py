@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voltide.constants import LIVE_TARGET_LOG_RV
 from voltide.functions import columns as vc
-from voltide.functions.losses import log_metrics, qlike_loss
+from voltide.functions.losses import log_metrics, qlike_loss, squared_pct_loss
 from voltide.operators import ols
 
 EPS = 1e-8
@@ -84,10 +84,10 @@ def combined_loss(pred: DataFrame, weights: DataFrame, rmspe_w: float = 0.3, qli
     """Evaluation loss: RMSPE, QLIKE and the mean per-stock under-dispersion penalty."""
     live = pred.where((F.col("true_log_rv") != 0.0) & (F.col("true_log_rv") > LIVE_TARGET_LOG_RV))
     p_log = vc.clip("pred_log_rv", -20.0, 5.0)
-    p, t = vc.at_least(F.exp(p_log), EPS), vc.at_least(F.exp("true_log_rv"), EPS)
+    p_rv, t_rv = f"exp({vc.clip_text('pred_log_rv', -20.0, 5.0)})", "exp(true_log_rv)"
     per = live.groupBy("stock_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.pow((p - t) / t, F.lit(2.0))).alias("sq"),
-        F.sum(qlike_loss(t, p, EPS)).alias("ql"), F.stddev_samp(p_log).alias("ps"), F.stddev_samp("true_log_rv").alias("ts"),
+        F.count(F.lit(1)).alias("n"), F.sum(squared_pct_loss(t_rv, p_rv, EPS)).alias("sq"),
+        F.sum(qlike_loss(t_rv, p_rv, EPS)).alias("ql"), F.stddev_samp(p_log).alias("ps"), F.stddev_samp("true_log_rv").alias("ts"),
     ).join(weights, "stock_id", "left")
     gap = F.greatest(F.col("ts") - F.col("ps"), F.lit(0.0))
     penalty = F.when(F.col("n") >= 3, F.coalesce("spread_weight", F.lit(1.0)) * gap * gap)
@@ -114,10 +114,10 @@ def blend_weight_grid(rows: DataFrame, a: str, b: str, true_log: str = "true_log
     Each row is multiplied by the grid map-side and collapses there to one row per weight.
     """
     grid = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step")
-    w = F.col("step") / F.lit(float(steps))
-    mixed = vc.clip(w * F.col(a) + (1 - w) * F.col(b), -20.0, 5.0)
+    w = f"step / {float(steps)}D"
+    mixed = vc.clip_text(f"{w} * {a} + (1 - {w}) * {b}", -20.0, 5.0)
     return rows.select(a, b, true_log, grid).groupBy("step").agg(
-        F.avg(qlike_loss(F.exp(F.col(true_log)), F.exp(mixed), EPS)).alias("qlike")
+        F.avg(qlike_loss(f"exp({true_log})", f"exp({mixed})", EPS)).alias("qlike")
     ).select((F.col("step") / F.lit(float(steps))).alias("weight"), "qlike")
 
 

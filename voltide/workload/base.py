@@ -25,28 +25,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-level book from the event feed: 8 stocks, one snapshot a day, 144 s per book second."""
-    ts = F.col("ts")
-    second_of_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    feed = events(spark, sf_dir).select(
-        "event_id", F.col("user_id"), "value",
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        (F.col("user_id") % 8).cast("int").alias("stock_id"),
-        F.datediff(ts, F.lit("2024-01-01").cast("date")).cast("int").alias("time_id"),
-        F.floor(second_of_day / 144).cast("int").alias("seconds_in_bucket"),
-    )
-    last = last_quote_per_second(feed.withColumn("eid", F.col("event_id")), "event_id", ["eid", "user_id", "value", "k"])
-    mid, e = F.lit(1.0) + F.col("value") / F.lit(float(PRICE_DIVISOR)), F.col("eid")
-
-    def price(sign: int, steps):
-        return mid * (F.lit(1.0) + F.lit(sign * 1e-4) * (1 + steps))
-
-    return last.select(
+    feed = events(spark, sf_dir).selectExpr(
+        "event_id", "event_id AS e", "user_id", "value", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+        "CAST(user_id % 8 AS INT) AS stock_id", "datediff(ts, DATE'2024-01-01') AS time_id",
+        "CAST(floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 144) AS INT) AS seconds_in_bucket")
+    last = last_quote_per_second(feed, "event_id", ["e", "user_id", "value", "k"])
+    quotes = last.selectExpr("*", f"1D + value / {float(PRICE_DIVISOR)}D AS mid")
+
+    def price(sign: str, steps: str, name: str) -> str:
+        return f"mid * (1D {sign} 1e-4D * (1 + {steps})) AS {name}"
+
+    return quotes.selectExpr(
         "stock_id", "time_id", "seconds_in_bucket",
-        price(-1, e % 5).alias("bid_price1"), price(-1, (e * 3) % 7).alias("bid_price2"),
-        price(1, (e * 5) % 6).alias("ask_price1"), price(1, (e * 11 + F.col("k")) % 9).alias("ask_price2"),
-        F.col("k").alias("bid_size1"), (e % 50).alias("bid_size2"),
-        ((e * 7) % 100).alias("ask_size1"), (F.col("user_id") % 50).alias("ask_size2"),
-    )
+        price("-", "e % 5", "bid_price1"), price("-", "(e * 3) % 7", "bid_price2"),
+        price("+", "(e * 5) % 6", "ask_price1"), price("+", "(e * 11 + k) % 9", "ask_price2"),
+        "k AS bid_size1", "e % 50 AS bid_size2", "(e * 7) % 100 AS ask_size1", "user_id % 50 AS ask_size2")
 
 
 def book_sec(spark: SparkSession, sf_dir: str) -> DataFrame:
