@@ -64,6 +64,13 @@ def test_reports(spark, predictions):
     assert compare.actual_consistency(predictions, ["A", "B", "C"]).where("NOT consistent").count() == 0
 
 
+def test_stacked_models_align_like_inner_joins(spark, predictions):
+    frames = {m: predictions.where(f"model = '{m}'").drop("model") for m in ("A", "C")}
+    wide = compare.align(compare.stack_models(frames), ["A", "C"])
+    joined = frames["A"].join(frames["C"].withColumnRenamed("predicted_rv", "c").drop("actual_rv"), ["stock_id", "time_id", "fold"])
+    assert wide.count() == joined.count() == 175
+
+
 def test_coverage_and_completeness(spark):
     rows = [(t, 1, 0.0) for t in range(100)] + [(t, 2, 0.0) for t in range(49)] + [(t, 3, 0.0) for t in range(50)]
     panel = spark.createDataFrame(rows, "time_id int, stock_id int, log_rv double")

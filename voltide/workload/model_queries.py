@@ -235,14 +235,21 @@ def garch_test_rows(spark, sf_dir, solver):
     return with_folds(pred, assignment(spark, sf_dir)).where("split = 'test'")
 
 
-def _m7(p: str, prefix: str = "", eps: str = "1e-12", t: str = "true_log_rv") -> str:
+def _m7_items(p: str, eps: str, t: str) -> dict[str, str]:
     pl = f"greatest(least({p}, 5), -20)"
     pr, tr = f"greatest(exp({pl}), {eps})", f"greatest(exp({t}), {eps})"
-    items = {
+    return {
         "qlike": f"avg({tr} / {pr} - ln({tr} / {pr}) - 1)", "rmspe_pct": f"sqrt(avg(power(({pr} - {tr}) / {tr}, 2))) * 100",
         "mape_pct": f"avg(abs({pr} - {tr}) / {tr}) * 100", "rmse": f"sqrt(avg(power({pr} - {tr}, 2)))",
         "mse_rv": f"avg(power({pr} - {tr}, 2))", "mae_log": f"avg(abs({pl} - {t}))", "mse_log_rv": f"avg(power({pl} - {t}, 2))"}
-    return ", ".join(r(e, prefix + n) for n, e in items.items())
+
+
+def _m7(p: str, prefix: str = "", eps: str = "1e-12", t: str = "true_log_rv") -> str:
+    return ", ".join(r(e, prefix + n) for n, e in _m7_items(p, eps, t).items())
+
+
+def _m7_raw(p: str, prefix: str = "", eps: str = "1e-12", t: str = "true_log_rv") -> str:
+    return ", ".join(f"{e} AS {prefix}{n}" for n, e in _m7_items(p, eps, t).items())
 
 
 def _baseline_report(spark, sf_dir):
@@ -266,6 +273,15 @@ GARCH_FOLD_SQL = GARCH_SQL + folds_sql("dense") + ", gt AS (SELECT * FROM gl JOI
 
 # ---- scoring ----------------------------------------------------------------------
 
+_SEVEN = ["qlike", "rmspe_pct", "mape_pct", "rmse", "mse_rv", "mae_log", "mse_log_rv"]
+
+
+def _fold_aggregate(spark, sf_dir):
+    """Mean and std over folds of the seven metrics."""
+    report = garch.fold_report(garch_test_rows(spark, sf_dir, False))
+    return rounded(scoring.fold_aggregate(report, [f"garch_{m}" for m in _SEVEN]))
+
+
 def log_pred(spark, sf_dir):
     """The scaled-RV forecast in log form, all samples."""
     return garch.garch_predictions(book_sec(spark, sf_dir), solver=False)
@@ -433,6 +449,8 @@ QUERIES: dict[str, Entry] = {
     "scaled_rv_fold_report": (_baseline_report, with_sql(GARCH_FOLD_SQL, f"""SELECT fold, count(*) AS rows_eval, {r('100', 'fallback_pct')},
   {_m7('pred_log_rv', 'garch_')}, {_m7('anchor_log_rv', 'last_')} FROM gt GROUP BY fold""")),
     "scaled_rv_per_stock": (_baseline_per_stock, with_sql(GARCH_FOLD_SQL, f"SELECT fold, stock_id, count(*) AS n_rows, {_m7('pred_log_rv')} FROM gt GROUP BY fold, stock_id HAVING count(*) >= 5")),
+    "fold_metric_aggregate": (_fold_aggregate, with_sql(GARCH_FOLD_SQL, f""", fm AS (SELECT fold, {_m7_raw('pred_log_rv', 'garch_')} FROM gt GROUP BY fold)
+""" + " UNION ALL ".join(f"SELECT 'garch_{m}' AS metric, {r(f'avg(garch_{m})', 'mean')}, {r(f'stddev_pop(garch_{m})', 'std')} FROM fm" for m in _SEVEN))),
     "garch_predictions": (_garch, None),
     "garch_fold_report": (_garch_report, None),
     "garch_per_stock": (_garch_per_stock, None),
