@@ -8,13 +8,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltide.constants import LIVE_LOG_RV
+from voltide.functions.aggregates import corr0
 from voltide.functions.columns import mixed_hash
 from voltide.functions.distributions import upper_binomial_p, upper_f_p, upper_normal_p
 from voltide.operators import ols
-from voltide.plans.ordered import exact_quantiles, lag_by_index, with_global_index
+from voltide.plans.ordered import average_ranks, exact_quantiles, lag_by_index, with_global_index
 from voltide.plans.pairs import pair_correlations
 
 MIN_PAIR_ROWS = 10
@@ -218,8 +220,6 @@ def peer_graph(panel: DataFrame, k: int = 10) -> DataFrame:
 
     The ranking window holds one row per stock of the universe.
     """
-    from pyspark.sql import Window as W
-
     pairs = pair_correlations(_as_pairs_input(panel)).where("corr IS NOT NULL")
     both = pairs.select("stock_a", "stock_b", "corr").unionByName(
         pairs.select(F.col("stock_b").alias("stock_a"), F.col("stock_a").alias("stock_b"), "corr"))
@@ -247,9 +247,6 @@ def feature_target_correlations(samples: DataFrame, features: Sequence[str], tar
     Features are unpivoted, ranks come from a distributed sort per feature, and Spearman is the
     Pearson correlation of average ranks.
     """
-    from voltide.functions.aggregates import corr0
-    from voltide.plans.ordered import average_ranks
-
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
     long = samples.select(*keys, F.col(target).alias("y"), cells.alias("c")).select(*keys, "y", "c.*").where(
         "x IS NOT NULL AND y IS NOT NULL")

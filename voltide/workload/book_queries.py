@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from voltide.functions import columns as vc
 from voltide.functions.losses import volatility_metrics
-from voltide.operators import eda, har, rv, wide
-from voltide.operators.book import clipped_returns, fill_seconds, with_book_columns
+from voltide.operators import har, rv, wide
+from voltide.operators.book import clipped_returns, with_book_columns
 from voltide.operators.folds import distinct_snapshots
 from voltide.sources.readers import limit_stocks
 from voltide.workload.base import (
@@ -197,9 +197,7 @@ def _wide_sql() -> str:
           "* count({x}_lag) * var_pop(CASE WHEN {x}_lag IS NOT NULL THEN {x} END)) + 1e-10) ELSE 0 END")
     std = "CASE WHEN count(*) > 1 THEN sqrt(sum(power({0} - m_{0}, 2)) / (count(*) - 1)) END"
     cov_s = "sum((sec - m_sec) * (spread - m_spread))"
-    sp2, ar2 = "CASE WHEN r_lag IS NOT NULL THEN spread END", "CASE WHEN r_lag IS NOT NULL THEN abs_r END"
     corr = corr_centred("spread", "abs_r", "r_lag IS NOT NULL")
-    del sp2, ar2
     lags = ", ".join(f"coalesce({rv_sql(30 * i, 30 * (i + 1), 'r')}, 0) AS rv_lag_{i + 1}" for i in range(16))
     bkts = ", ".join(f"coalesce({rv_sql(120 * b, 120 * (b + 1), 'r')}, 0) AS past_rv_bkt{b}" for b in range(4))
     order = sorted(range(1, 17), key=str)

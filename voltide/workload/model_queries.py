@@ -10,8 +10,8 @@ from voltide.operators.folds import with_folds
 from voltide.plans.ordered import exact_quantiles
 from voltide.session import cut_lineage
 from voltide.workload.base import (
-    COLS_SQL, DENSE_SQL, HAR_SQL, PRED_SQL, RAW_SQL, Entry, book_raw, book_sec, folds_sql, har_rows, hash_sql, ols_solve_sql,
-    ols_sum_names, ols_sums_sql, predictions, qlike_sql, r, returns_sql, rounded, rs, rv_sql, sqpct_sql, with_sql,
+    DENSE_SQL, HAR_SQL, RAW_SQL, Entry, book_raw, book_sec, folds_sql, har_rows, hash_sql, ols_solve_sql,
+    ols_sum_names, ols_sums_sql, qlike_sql, r, returns_sql, rounded, rs, rv_sql, sqpct_sql, with_sql,
 )
 from voltide.workload.book_queries import TENSOR_SQL
 
