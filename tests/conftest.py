@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 
-from voltide.session import build_session  # noqa: E402
+from voltide.session import build_session, drop_tables  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +13,7 @@ def spark():
     session = build_session("tests", "local[4]", 4, spark__ui__enabled="false", spark__driver__memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_tables(session)
     session.stop()
 
 

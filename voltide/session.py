@@ -32,7 +32,7 @@ def build_session(app_name: str = "voltide", master: str | None = None,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one is made only in local mode."""
+    """The cluster's shared checkpoint folder; a scratch one is made only in local mode where none is set."""
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -43,12 +43,34 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+_written: dict[str, list[str]] = {}
+
+
+def scratch_path(spark: SparkSession, scope: str = "session") -> str:
+    """A new path in the shared folder, noted under ``scope`` for :func:`drop_tables`."""
+    path = f"{shared_folder(spark).rstrip('/')}/voltide-{uuid.uuid4().hex}"
+    _written.setdefault(scope, []).append(path)
+    return path
+
+
+def cut_lineage(df: DataFrame, scope: str = "session") -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     The table survives the loss of any executor, is computed once, and stays columnar, so later
-    steps read only the columns they use.
+    steps read only the columns they use. It is kept until :func:`drop_tables` is called for its scope.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/voltide-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, scope)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, scope: str | None = None) -> int:
+    """Delete the scratch tables of one scope, or of all; returns how many. Frames that read them end with it."""
+    paths = _written.pop(scope, []) if scope else [p for ps in _written.values() for p in ps]
+    if not scope:
+        _written.clear()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
