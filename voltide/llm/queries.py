@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import chat, sharding
+from voltide.llm import chat, sharding, warc
 from voltide.llm.common import read
+from voltide.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
@@ -47,6 +48,25 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
   CAST(formatted_chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS expanded_tokens FROM sums
 """
 
+# ---- 8: WARC ------------------------------------------------------------------------
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    path = scratch_path(spark)
+    warc.write_archive(pages, warc.plan_revisits(pages), path)
+    return warc.resolve(warc.read_archive(spark, path))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+keeper AS (SELECT b, max(page_id) AS keeper FROM p WHERE octet_length(b) >= 1000 GROUP BY b)
+SELECT page_id, octet_length(p.b) AS payload_bytes, sha1(p.b) AS payload_digest,
+  CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper > page_id THEN keeper END AS refers_to, 'ok' AS status
+FROM p LEFT JOIN keeper ON p.b = keeper.b
+"""
+
 # ---- 9: sharding --------------------------------------------------------------------
 
 
@@ -60,6 +80,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
+    "op8_warc": (op8_warc, OP8_SQL),
     "op9_shard": (op9_shard, None),
 }
 

@@ -66,8 +66,10 @@ def find_splitters(rows: DataFrame, targets: list[int], tolerance: int, measure:
 
     The driver holds targets x fan_out probes; a round is one pass over the key columns.
     """
-    # an interval is (level, fixed h, low, high): the splitter lies in (low, high] of that level's key
+    # an interval is (level, fixed h, low, high): the splitter lies in (low, high] of that level's key;
+    # with the rows below either end it is known when one row is left and no splitter can be nearer
     state = [[0, 0, LOW, HIGH] for _ in targets]
+    rows_at = [[0, HIGH] for _ in targets]
     best: list[tuple[float, tuple[int, int]]] = [(float("inf"), (HIGH, HIGH))] * len(targets)
     open_ = set(range(len(targets)))
     which = 0 if measure == "size" else 1
@@ -81,7 +83,8 @@ def find_splitters(rows: DataFrame, targets: list[int], tolerance: int, measure:
             asked[i] = [(p, LOW) if level == 0 else (h, p) for p in points]
             probes.update(dict.fromkeys(asked[i]))
         ordered = sorted(probes)
-        below = dict(zip(ordered, (c[which] for c in counts_below(rows, ordered))))
+        counted = dict(zip(ordered, counts_below(rows, ordered)))
+        below = {key: c[which] for key, c in counted.items()}
         for i in list(open_):
             level, h, low, high = state[i]
             for key in asked[i]:
@@ -93,7 +96,8 @@ def find_splitters(rows: DataFrame, targets: list[int], tolerance: int, measure:
             new_low = under[-1][level] if under else low
             new_high = over[0][level] if over else high
             state[i][2:] = [new_low, new_high]
-            if best[i][0] <= tolerance:
+            rows_at[i] = [counted[under[-1]][1] if under else rows_at[i][0], counted[over[0]][1] if over else rows_at[i][1]]
+            if best[i][0] <= tolerance or rows_at[i][1] - rows_at[i][0] <= 1:
                 open_.discard(i)
             elif new_high - new_low <= 1:
                 if level == 0:   # all that is left is the group with hash new_low
