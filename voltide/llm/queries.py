@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import chat, sharding, warc
+from voltide.llm import bpe, chat, sharding, warc
 from voltide.llm.common import read
 from voltide.session import scratch_path
 
@@ -48,6 +48,21 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
   CAST(formatted_chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS expanded_tokens FROM sums
 """
 
+# ---- 2: BPE -------------------------------------------------------------------------
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), bpe.load_vocabulary(vocabulary or vocabulary_path()))
+    return encoded.selectExpr("doc_id", "CAST(octet_length(ids) DIV 4 AS BIGINT) AS n_tokens", "sha2(ids, 256) AS ids_sha256",
+                              "sha2(decoded, 256) AS decoded_sha256")
+
+
 # ---- 8: WARC ------------------------------------------------------------------------
 
 
@@ -80,6 +95,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
+    "op2_bpe": (op2_bpe, None),
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_shard": (op9_shard, None),
 }
