@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import bpe, chat, sharding, warc
+from voltide.llm import bpe, chat, langid, quality, sharding, warc
 from voltide.llm.common import read
 from voltide.session import scratch_path
 
@@ -63,6 +63,24 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
                               "sha2(decoded, 256) AS decoded_sha256")
 
 
+# ---- 3: quality ---------------------------------------------------------------------
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, scores, drawn = quality.choose(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "log_weight", "sort_key", F.expr(drawn).alias("kept"))
+
+
+# ---- 7: language ID -----------------------------------------------------------------
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn(
+        "held_out", F.expr("crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) % 4 = 2"))
+    model = langid.fit(docs.where("NOT held_out"))
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
 # ---- 8: WARC ------------------------------------------------------------------------
 
 
@@ -96,6 +114,8 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
+    "op3_quality": (op3_quality, None),
+    "op7_language": (op7_language, None),
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_shard": (op9_shard, None),
 }
