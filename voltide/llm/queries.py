@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import bpe, chat, langid, quality, sharding, warc
+from voltide.llm import bpe, chat, decontam, fingerprint, langid, quality, sharding, warc
 from voltide.llm.common import read
 from voltide.session import scratch_path
 
@@ -71,6 +71,32 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "log_weight", "sort_key", F.expr(drawn).alias("kept"))
 
 
+# ---- 5: decontamination -------------------------------------------------------------
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = """
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') FROM benchmark),
+shingles AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT id AS item_id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id),
+shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL),
+hits AS (
+  SELECT doc_id, item_id, n_shared / n AS containment FROM shared JOIN sizes USING (item_id) WHERE n_shared / n >= 0.8),
+best AS (
+  SELECT doc_id, count(*) AS n_items, max(containment) AS containment, arg_max(item_id, (containment, -item_id)) AS item_id FROM hits GROUP BY doc_id)
+SELECT d.doc_id, b.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, item_id, coalesce(containment, 0.0::DOUBLE) AS containment
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id
+"""
+
 # ---- 7: language ID -----------------------------------------------------------------
 
 
@@ -111,13 +137,22 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard")
 
 
+# ---- 10: fingerprints ---------------------------------------------------------------
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
     "op3_quality": (op3_quality, None),
+    "op5_decontaminate": (op5_decontaminate, OP5_SQL),
     "op7_language": (op7_language, None),
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_shard": (op9_shard, None),
+    "op10_fingerprint": (op10_fingerprint, None),
 }
 
 
