@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import bpe, chat, decontam, fingerprint, langid, quality, sharding, warc
+from voltide.llm import bpe, chat, decontam, fingerprint, jaccard_join, langid, quality, sharding, warc
 from voltide.llm.common import read
 from voltide.session import scratch_path
 
@@ -97,6 +97,13 @@ SELECT d.doc_id, b.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n
 FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id
 """
 
+# ---- 6: Jaccard join ----------------------------------------------------------------
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_groups(read(spark, sf_dir, "documents"))
+
+
 # ---- 7: language ID -----------------------------------------------------------------
 
 
@@ -149,6 +156,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_bpe": (op2_bpe, None),
     "op3_quality": (op3_quality, None),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
+    "op6_jaccard": (op6_jaccard, None),
     "op7_language": (op7_language, None),
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_shard": (op9_shard, None),
