@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import bpe, chat, decontam, fingerprint, jaccard_join, langid, quality, sharding, warc
+from voltide.llm import bpe, chat, decontam, fingerprint, jaccard_join, langid, quality, sharding, suffix_dedup, warc
 from voltide.llm.common import read
 from voltide.session import scratch_path
 
@@ -71,6 +71,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "log_weight", "sort_key", F.expr(drawn).alias("kept"))
 
 
+# ---- 4: suffix-array dedup ----------------------------------------------------------
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
 # ---- 5: decontamination -------------------------------------------------------------
 
 
@@ -155,6 +162,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
     "op3_quality": (op3_quality, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_decontaminate": (op5_decontaminate, OP5_SQL),
     "op6_jaccard": (op6_jaccard, None),
     "op7_language": (op7_language, None),
