@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,22 +46,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _written: dict[str, list[str]] = {}
+_scope: list[str] = ["session"]
 
 
-def scratch_path(spark: SparkSession, scope: str = "session") -> str:
-    """A new path in the shared folder, noted under ``scope`` for :func:`drop_tables`."""
+@contextlib.contextmanager
+def scratch_scope(name: str) -> Iterator[None]:
+    """Tables written inside are noted under ``name``, so that they can be dropped apart from others."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, noted under the current scope for :func:`drop_tables`."""
     path = f"{shared_folder(spark).rstrip('/')}/voltide-{uuid.uuid4().hex}"
-    _written.setdefault(scope, []).append(path)
+    _written.setdefault(_scope[-1], []).append(path)
     return path
 
 
-def cut_lineage(df: DataFrame, scope: str = "session") -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     The table survives the loss of any executor, is computed once, and stays columnar, so later
     steps read only the columns they use. It is kept until :func:`drop_tables` is called for its scope.
     """
-    path = scratch_path(df.sparkSession, scope)
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
