@@ -55,6 +55,13 @@ class Vocabulary:
     pieces: list[str]
 
 
+def default_vocabulary() -> str:
+    """Where the installed vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def load_vocabulary(path: str) -> Vocabulary:
     """Vocabulary, merge ranks and special strings of a tokenizer file in JSON."""
     with open(path, encoding="utf-8") as f:

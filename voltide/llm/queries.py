@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from voltide.llm import bpe, chat, decontam, fingerprint, jaccard_join, langid, quality, sharding, suffix_dedup, warc
 from voltide.llm.common import read
 from voltide.session import scratch_path
@@ -51,14 +53,8 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 # ---- 2: BPE -------------------------------------------------------------------------
 
 
-def vocabulary_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    encoded = bpe.encode(read(spark, sf_dir, "documents"), bpe.load_vocabulary(vocabulary or vocabulary_path()))
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), bpe.load_vocabulary(vocabulary or bpe.default_vocabulary()))
     return encoded.selectExpr("doc_id", "CAST(octet_length(ids) DIV 4 AS BIGINT) AS n_tokens", "sha2(ids, 256) AS ids_sha256",
                               "sha2(decoded, 256) AS decoded_sha256")
 
@@ -173,4 +169,4 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}

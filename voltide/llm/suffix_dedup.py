@@ -14,7 +14,7 @@ in the same document or another one; strings do not cross documents.
 
 Equal texts are one text from the start. Where all strings of several places of a bucket agree, they are settled by
 one comparison; a bucket of more than ``crowd`` places is resolved by hashes of its strings, dealt out by
-hash, instead of in one task. Texts and q-grams are named by 64-bit digests.
+hash, instead of in one task. Texts are named by 60-bit and q-grams by 64-bit digests.
 
 Defined results: null is an empty text; texts shorter than ``length`` lose nothing; repeated rows are equal
 texts and lose all of it; extra columns and ids of any kind pass through; an empty table gives an empty result.
@@ -40,7 +40,7 @@ CHUNK = 1 << 22
 
 
 def text_key(text):
-    """64 bits of the text's SHA-256, as a number."""
+    """60 bits of the text's SHA-256, as a number."""
     return F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("bigint")
 
 
@@ -311,6 +311,7 @@ def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ids = small(changed.select(F.col("text_key").alias("_key")))
     same = keyed.join(ids, "_key", "left_anti").select(*docs.columns)
     cut = keyed.join(ids, "_key", "left_semi").drop("text").join(changed.withColumnRenamed("text_key", "_key"), "_key")
+    names = docs.columns
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,6 +320,6 @@ def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns["text"] = pa.array(kept, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(x) for x in kept], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     return same.unionByName(cut.drop("_key").mapInArrow(decode, docs.schema))

@@ -37,7 +37,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 # ---- which record is a revisit ------------------------------------------------------
 
-def plan_revisits(pages: DataFrame, least_bytes: int = 1000, scope: str = "session") -> DataFrame:
+def plan_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """(page_id, payload_key, keeper): pages whose payload, of ``least_bytes`` or more, a larger page id has too.
 
     Equal payloads are counted by an aggregate that combines map-side; the keepers are then a written table,
@@ -46,7 +46,7 @@ def plan_revisits(pages: DataFrame, least_bytes: int = 1000, scope: str = "sessi
     keyed = pages.select("page_id", payload_key(F.col("html")).alias("payload_key")).where(
         F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes)
     keepers = cut_lineage(keyed.groupBy("payload_key").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-                          .where("n > 1").drop("n"), scope)
+                          .where("n > 1").drop("n"))
     return keyed.join(keepers, "payload_key").where("page_id < keeper").dropDuplicates(["page_id", "payload_key"])
 
 
@@ -236,11 +236,11 @@ def responses(records: DataFrame) -> DataFrame:
     return one.unionByName(many).mapInArrow(decode, schema("record_id string, page_id bigint, uri string, payload binary, status string"))
 
 
-def resolve(records: DataFrame, scope: str = "session") -> DataFrame:
+def resolve(records: DataFrame) -> DataFrame:
     """Per page: size and SHA-1 of the full payload as decoded, record type, and the page a revisit refers to."""
     full = cut_lineage(
         responses(records).selectExpr("record_id", "page_id", "octet_length(payload) AS payload_bytes", "sha1(payload) AS payload_digest", "status")
-        .dropDuplicates(["record_id"]), scope)
+        .dropDuplicates(["record_id"]))
     revisits = records.where("type = 'revisit'").select("record_id", "page_id", "refers_to").dropDuplicates(["record_id"])
     named = full.selectExpr("record_id AS refers_to", "page_id AS refers_page", "payload_bytes", "payload_digest", "status")
     return full.selectExpr("page_id", "CAST(payload_bytes AS BIGINT) AS payload_bytes", "payload_digest", "'response' AS record_type",
