@@ -46,6 +46,7 @@ def test_diebold_mariano(spark, predictions, block):
     assert row.dm_stat == pytest.approx(stat) and row.p_value == pytest.approx(math.erfc(abs(stat) / math.sqrt(2)))
     fixed = compare.pair_winner(compare.benjamini_hochberg(compare.diebold_mariano(wide, models, block))).toPandas()
     assert (fixed.p_value_corrected >= fixed.p_value - 1e-15).all()
+    assert ((fixed.dm_stat > 0) == (fixed.winner == fixed.model_2)).all() and (fixed.winner != "tie").all()
     assert compare.lookup_pair(compare.benjamini_hochberg(compare.diebold_mariano(wide, models)), "QLIKE", "C", "A").count() == 1
 
 

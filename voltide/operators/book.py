@@ -49,10 +49,11 @@ def fill_seconds(df: DataFrame, value_cols: Sequence[str] = DERIVED) -> DataFram
     Each observed row is stretched up to the next observed second, so the fill needs one
     shuffle and no grid join.  Missing values inside observed rows are filled the same way.
     """
-    back, ahead = f"({BY_SECOND} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", f"({BY_SECOND} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    # what is missing in front takes the first value of the whole snapshot, so both frames are linear
+    back, whole = f"({BY_SECOND} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", f"({BY_SECOND} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     filled = df.where(F.col("seconds_in_bucket").between(0, SECONDS_PER_SNAPSHOT - 1)).selectExpr(
         *SECOND_KEY,
-        *[f"coalesce(last({c}, true) OVER {back}, first({c}, true) OVER {ahead}) AS {c}" for c in value_cols],
+        *[f"coalesce(last({c}, true) OVER {back}, first({c}, true) OVER {whole}) AS {c}" for c in value_cols],
         f"CASE WHEN row_number() OVER ({BY_SECOND}) = 1 THEN 0 ELSE seconds_in_bucket END AS _from",
         f"coalesce(lead(seconds_in_bucket) OVER ({BY_SECOND}), {SECONDS_PER_SNAPSHOT}) - 1 AS _to",
     )

@@ -184,9 +184,9 @@ def benjamini_hochberg(tests: DataFrame, family: str = "metric", p: str = "p_val
 
 
 def pair_winner(tests: DataFrame) -> DataFrame:
-    """Significantly better model of each pair, or 'tie'."""
+    """Better model of each pair by the sign of the statistic; significance is a column of its own."""
     better = F.when(F.col("dm_stat") > 0, F.col("model_2")).otherwise(F.col("model_1"))
-    return tests.withColumn("winner", F.when(F.col("rejected_corrected"), better).otherwise("tie"))
+    return tests.withColumn("winner", better)
 
 
 def lookup_pair(tests: DataFrame, metric: str, a: str, b: str) -> DataFrame:

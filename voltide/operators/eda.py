@@ -156,11 +156,6 @@ def kernel_density(df: DataFrame, col: str, points: int = 500, factor: float = 0
     return gridded.groupBy("point").agg(F.max(x).alias("x"), F.avg(height).alias("density"))
 
 
-def first_stocks(df: DataFrame, n: int) -> DataFrame:
-    """Rows of the ``n`` smallest stock ids."""
-    return df.join(df.select("stock_id").distinct().orderBy("stock_id").limit(n), "stock_id", "left_semi")
-
-
 def second_profile(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
     """Mean and std of each column, and the std of the log return, at every second."""
     rows = with_returns(df, PRICE_EPS, first=0.0)
@@ -177,5 +172,8 @@ def input_window_samples(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataF
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], n: int = 5000, seed: int = 42) -> DataFrame:
-    """Deterministic random sample of at most ``n`` rows (a top-k by hash, merged across tasks)."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+    """Deterministic random sample of at most ``n`` rows (a top-k by hash of whole-number keys, merged across tasks)."""
+    h = vc.mixed_hash(F.col(keys[0]), seed)
+    for k in keys[1:]:
+        h = vc.mixed_hash(h + F.col(k), seed)
+    return df.orderBy(h, *keys).limit(n)

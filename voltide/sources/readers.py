@@ -19,9 +19,10 @@ def stock_id_from_file():
 def read_raw_book(spark: SparkSession, folder: str) -> DataFrame:
     """All ``stock_<n>.csv`` files of a folder, the ten book columns only.
 
-    The header decides column order, so the schema is applied by name after an all-string read.
+    The first file's header names the columns; a file whose header differs fails the read instead of being
+    taken by position. Types are applied by name after an all-string read.
     """
-    text = spark.read.option("header", True).option("pathGlobFilter", "stock_*.csv").csv(folder)
+    text = spark.read.option("header", True).option("enforceSchema", False).option("pathGlobFilter", "stock_*.csv").csv(folder)
     missing = sorted(set(schemas.BOOK_RAW_COLUMNS) - set(text.columns))
     if missing:
         raise ValueError(f"{folder} is missing book columns: {missing}")
@@ -53,12 +54,12 @@ def read_fold(spark: SparkSession, path: str, fold: int, split: str) -> DataFram
 def read_predictions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Prediction CSVs of several folds; paths that do not exist are skipped, none at all fails.
 
-    Column order comes from each file's header; ids may carry a ``stock_`` prefix.
+    All headers must agree (a file with another order fails the read); ids may carry a ``stock_`` prefix.
     """
     present = [p for p in paths if _exists(spark, p)]
     if not present:
         raise ValueError(f"no prediction files among {list(paths)}")
-    text = spark.read.option("header", True).csv(present)
+    text = spark.read.option("header", True).option("enforceSchema", False).csv(present)
     return text.select(
         stock_number("stock_id").alias("stock_id"), F.col("time_id").cast("int").alias("time_id"),
         F.col("fold").cast("int").alias("fold"), F.col("actual_rv").cast("double").alias("actual_rv"),

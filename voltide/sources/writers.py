@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voltide.operators.folds import with_folds
 from voltide.sources.readers import _exists
@@ -18,7 +17,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Snappy Parquet; partitioned outputs are clustered first so each folder gets few files."""
     if partition_by:
-        df = df.repartition(*partition_by, F.pmod(F.xxhash64("time_id"), F.lit(64)))
+        df = df.hint("rebalance", *partition_by)   # by size: large folders get more files
     df.write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
 
 
@@ -41,9 +40,8 @@ def write_tensor(tensor: DataFrame, path: str) -> None:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """A metric table as one JSON row: named structs instead of a driver-side dictionary."""
-    packed = metrics.agg(F.collect_list(F.struct(*metrics.columns)).alias("metrics"))
-    write_json(packed, path)
+    """A metric table as JSON lines, one object per row."""
+    write_json(metrics, path)
 
 
 def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -54,5 +52,13 @@ def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame])
 
 
 def save_trees(trees, path: str) -> None:
+    """Write fitted trees in order; :func:`load_trees` reads them back."""
     for i, tree in enumerate(trees):
         tree.write().overwrite().save(f"{path}/tree_{i:05d}")
+
+
+def load_trees(path: str, n: int) -> list:
+    """The first ``n`` trees saved under ``path``."""
+    from pyspark.ml.regression import DecisionTreeRegressionModel
+
+    return [DecisionTreeRegressionModel.load(f"{path}/tree_{i:05d}") for i in range(n)]

@@ -24,10 +24,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-level book from the event feed: 8 stocks, one snapshot a day, 144 s per book second."""
+    """Two-level book from the event feed: 8 stocks, one snapshot a day for every 150 users, 144 s per book second.
+
+    The number of snapshots grows with the feed, so nearly every event stays a quote at any size.
+    """
     feed = events(spark, sf_dir).selectExpr(
         "event_id", "event_id AS e", "user_id", "value", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
-        "CAST(user_id % 8 AS INT) AS stock_id", "datediff(ts, DATE'2024-01-01') AS time_id",
+        "CAST(user_id % 8 AS INT) AS stock_id", "CAST(datediff(ts, DATE'2024-01-01') + 30 * (user_id DIV 150) AS INT) AS time_id",
         "CAST(floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 144) AS INT) AS seconds_in_bucket")
     last = last_quote_per_second(feed, "event_id", ["e", "user_id", "value", "k"])
     quotes = last.selectExpr("*", f"1D + value / {float(PRICE_DIVISOR)}D AS mid")
@@ -111,9 +114,9 @@ raw AS (
     SELECT event_id AS e, user_id, 1e0 + value / {PRICE_DIVISOR}e0 AS mid,
            CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
            CAST(user_id % 8 AS INTEGER) AS stock_id,
-           CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS time_id,
+           CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) + 30 * (user_id // 150) AS INTEGER) AS time_id,
            CAST(floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 144e0) AS INTEGER) AS seconds_in_bucket,
-           row_number() OVER (PARTITION BY user_id % 8, date_diff('day', TIMESTAMP '2024-01-01', ts),
+           row_number() OVER (PARTITION BY user_id % 8, user_id // 150, date_diff('day', TIMESTAMP '2024-01-01', ts),
              floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 144e0) ORDER BY event_id DESC) AS rn
     FROM events) q
   WHERE rn = 1)"""

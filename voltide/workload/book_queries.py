@@ -105,8 +105,7 @@ def _tensor(spark, sf_dir):
 
 
 def _dense_tensor(spark, sf_dir):
-    """Dense cells with every fourth snapshot of stock 7 removed first, so absent cells occur."""
-    tensor = rv.bucket_tensor(book_sec(spark, sf_dir)).where("NOT (stock_id = 7 AND time_id % 4 = 0)")
+    tensor = rv.bucket_tensor(book_sec(spark, sf_dir))
     return _flat_tensor(rv.dense_tensor(tensor))
 
 
@@ -125,9 +124,9 @@ FROM feats f JOIN target t ON t.stock_id = f.stock_id AND t.time_id = f.time_id"
     return with_sql(TENSOR_SQL, f"""SELECT g.time_id, g.stock_id, CAST(g.b AS INTEGER) AS bucket, {r('coalesce(CAST(t.y AS FLOAT), 0)', 'y')}, {cols}
 FROM (SELECT a.time_id, b.stock_id, c.b FROM (SELECT DISTINCT time_id FROM feats) a, (SELECT DISTINCT stock_id FROM feats) b,
       (SELECT unnest(range(8)) AS b) c) g
-LEFT JOIN (SELECT * FROM feats WHERE NOT (stock_id = 7 AND time_id % 4 = 0)) f
+LEFT JOIN feats f
   ON f.stock_id = g.stock_id AND f.time_id = g.time_id AND f.bucket = g.b
-LEFT JOIN (SELECT * FROM target WHERE NOT (stock_id = 7 AND time_id % 4 = 0)) t ON t.stock_id = g.stock_id AND t.time_id = g.time_id""")
+LEFT JOIN target t ON t.stock_id = g.stock_id AND t.time_id = g.time_id""")
 
 
 WEIGHTS_SQL = with_sql(TENSOR_SQL, f""", w AS (SELECT time_id, 1 / greatest(avg(exp(y)), 1e-8) AS w FROM target WHERE y > -10 GROUP BY time_id),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voltide.operators import compare, eda, interaction, rv
 from voltide.operators.book import with_book_columns
 from voltide.session import cut_lineage
+from voltide.sources.readers import limit_stocks
 from voltide.workload.base import (
     COLS_SQL, DENSE_SQL, MODELS, PRED_SQL, Entry, book_raw, book_sec, corr_sql, ols_solve_sql, ols_sums_sql, predictions, hash_sql,
     qlike_sql, r, returns_sql, rounded, rs, rv_sql, sqpct_sql, with_sql,
@@ -110,17 +111,16 @@ SELECT fold, model, {r('p_value')}, {r('pc', 'p_value_corrected')}, pc <= 5e-2 A
 # ---- co-movement ------------------------------------------------------------------
 
 def panel(spark, sf_dir):
-    """Live log-RV cells, written once; a few are removed by rule so coverage and completeness matter."""
+    """Live log-RV cells, written once."""
     live = interaction.live_panel(rv.target_rv_panel(book_sec(spark, sf_dir)))
-    return cut_lineage(live.where("NOT (stock_id = 3 AND time_id % 2 = 1) AND NOT (stock_id = 5 AND time_id % 3 <> 0) AND NOT (stock_id = 6 AND time_id = 11)"))
+    return cut_lineage(live)
 
 
 EDA_RV_SQL = DENSE_SQL + returns_sql("dense", "ret") + f""",
 eda_rv AS (SELECT stock_id, time_id, {rv_sql(480, 600, '(CASE WHEN prev_s >= 480 THEN coalesce(lr, 0) ELSE 0 END)')} AS rv FROM ret GROUP BY stock_id, time_id),
 rvl AS (SELECT *, CASE WHEN rv > 0 THEN ln(rv) END AS log_rv FROM eda_rv)"""
 PANEL_SQL = EDA_RV_SQL + """,
-panel AS (SELECT time_id, stock_id, log_rv FROM rvl WHERE log_rv > -18 AND NOT (stock_id = 3 AND time_id % 2 = 1)
-  AND NOT (stock_id = 5 AND time_id % 3 <> 0) AND NOT (stock_id = 6 AND time_id = 11))"""
+panel AS (SELECT time_id, stock_id, log_rv FROM rvl WHERE log_rv > -18)"""
 
 
 def covered_cte(share: str) -> str:
@@ -170,7 +170,7 @@ def _lead_lag(spark, sf_dir):
 
 def _granger(spark, sf_dir):
     p = panel(spark, sf_dir)
-    return interaction.granger(p, interaction.random_pairs(p, 40))
+    return interaction.granger(p, interaction.random_pairs(p, 200))
 
 
 def _granger_stats(spark, sf_dir):
@@ -184,8 +184,8 @@ def _granger_summary(spark, sf_dir):
 GRANGER_SQL = with_sql(PANEL_SQL, f""",
 sl AS (SELECT list(stock_id ORDER BY stock_id) AS s FROM (SELECT DISTINCT stock_id FROM panel) q),
 dr AS (SELECT i AS pair, s[CAST({hash_sql('(i * 7919 + 13)', 42)} % len(s) AS INTEGER) + 1] AS cause,
-  s[CAST({hash_sql('(i * 6271 + 101)', 43)} % len(s) AS INTEGER) + 1] AS effect FROM (SELECT unnest(range(120)) AS i) g, sl),
-pr AS (SELECT * FROM dr WHERE cause <> effect ORDER BY pair LIMIT 40),
+  s[CAST({hash_sql('(i * 6271 + 101)', 43)} % len(s) AS INTEGER) + 1] AS effect FROM (SELECT unnest(range(600)) AS i) g, sl),
+pr AS (SELECT * FROM dr WHERE cause <> effect ORDER BY pair LIMIT 200),
 bo AS (SELECT p.pair, y.time_id, y.log_rv AS y, x.log_rv AS x, row_number() OVER (PARTITION BY p.pair ORDER BY y.time_id) AS i
   FROM pr p JOIN panel y ON y.stock_id = p.effect JOIN panel x ON x.stock_id = p.cause AND x.time_id = y.time_id),
 lg AS (SELECT a.pair, a.y, b.y AS y1, b.x AS x1 FROM bo a JOIN bo b ON a.pair = b.pair AND b.i = a.i - 3),
@@ -198,30 +198,30 @@ FROM pr p JOIN u USING (pair) JOIN w USING (pair) WHERE u.n >= 10 AND u.rss > 0"
 
 
 def _permutation(spark, sf_dir):
-    return rounded(interaction.permutation_test(panel(spark, sf_dir), 20))
+    return rounded(interaction.permutation_test(panel(spark, sf_dir), 100))
 
 
 def _verdict(spark, sf_dir):
     p = panel(spark, sf_dir)
     return rounded(interaction.verdict(
         interaction.correlation_summary(interaction.correlation_pairs(p)),
-        interaction.granger_summary(interaction.granger(p, interaction.random_pairs(p, 40))),
-        interaction.permutation_test(p, 10), interaction.lead_lag(p)))
+        interaction.granger_summary(interaction.granger(p, interaction.random_pairs(p, 200))),
+        interaction.permutation_test(p, 100), interaction.lead_lag(p)))
 
 
 def _peers(spark, sf_dir):
-    return rounded(interaction.peer_graph(panel(spark, sf_dir), 3))
+    return rounded(interaction.peer_graph(panel(spark, sf_dir), 10))
 
 
 def _peer_average(spark, sf_dir):
     p = panel(spark, sf_dir)
-    return rounded(interaction.peer_average(p, interaction.peer_graph(p, 3)))
+    return rounded(interaction.peer_average(p, interaction.peer_graph(p, 10)))
 
 
 PEERS_CTE = """,
 bothp AS (SELECT stock_a AS src, stock_b AS dst, corr FROM pairs WHERE corr IS NOT NULL UNION ALL SELECT stock_b, stock_a, corr FROM pairs WHERE corr IS NOT NULL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY corr DESC, dst) AS "rank" FROM bothp),
-peers AS (SELECT src, dst, corr, "rank", exp(corr) / sum(exp(corr)) OVER (PARTITION BY src) AS weight FROM rk WHERE "rank" <= 3)"""
+peers AS (SELECT src, dst, corr, "rank", exp(corr) / sum(exp(corr)) OVER (PARTITION BY src) AS weight FROM rk WHERE "rank" <= 10)"""
 
 
 # ---- exploratory ------------------------------------------------------------------
@@ -250,11 +250,11 @@ DESCRIBE_SQL = with_sql(QUOTES_SQL + LONG_CTE, f"""SELECT feature, count(v) AS "
 
 
 def _hist(spark, sf_dir):
-    return rounded(eda.clipped_histogram(quotes(spark, sf_dir), ["wap", "bid_ask_spread", "price_spread"], 100).select("feature", "bin", "n", "density"))
+    return rounded(eda.clipped_histogram(quotes(spark, sf_dir), Q, 100).select("feature", "bin", "n", "density"))
 
 
 HIST_SQL = with_sql(QUOTES_SQL + LONG_CTE, f""", b AS (SELECT feature, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM long
-  WHERE feature IN ('wap', 'bid_ask_spread', 'price_spread') GROUP BY feature),
+  GROUP BY feature),
 h AS (SELECT feature, lo, hi, CAST(least(floor((least(greatest(v, lo), hi) - lo) / ((hi - lo) / 100e0)), 99) AS INTEGER) AS bin FROM long JOIN b USING (feature) WHERE v IS NOT NULL),
 c AS (SELECT feature, bin, count(*) AS n, max(lo) AS lo, max(hi) AS hi FROM h GROUP BY feature, bin)
 SELECT feature, bin, n, {r('CAST(n AS DOUBLE) / (sum(n) OVER (PARTITION BY feature) * ((hi - lo) / 100e0))', 'density')} FROM c""")
@@ -313,18 +313,17 @@ SELECT feature, count(*) AS n, {r(corr_sql('x', 'y'), 'pearson')}, {r(corr_sql('
 
 
 def _hash_sample(spark, sf_dir):
-    """The sample's size and range only: its members depend on the engine's hash."""
     s = eda.hash_sample(quotes(spark, sf_dir), ["stock_id", "time_id", "seconds_in_bucket"], 5000)
-    return rounded(s.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("stock_id").alias("n_stocks")))
+    return rounded(s.select("stock_id", "time_id", "seconds_in_bucket", "wap"))
 
 
 def _profile(spark, sf_dir):
-    return rounded(eda.second_profile(eda.first_stocks(eda_book(spark, sf_dir), 5)))
+    return rounded(eda.second_profile(limit_stocks(eda_book(spark, sf_dir), 20)))
 
 
 PROFILE_SQL = with_sql(DENSE_SQL + returns_sql("dense", "ret"), f"""SELECT seconds_in_bucket, {', '.join(r(f'avg({s})', f'{c}_mean') + ', ' + r(f'stddev_samp({s})', f'{c}_std')
   for c, s in zip(Q, ['wap', 'bid_ask_spread', 'total_volume', 'price_spread', 'depth_imbalance']))}, {r('stddev_samp(coalesce(lr, 0))', 'lr_std')}
-FROM ret WHERE stock_id IN (SELECT DISTINCT stock_id FROM ret ORDER BY stock_id LIMIT 5) GROUP BY seconds_in_bucket""")
+FROM ret WHERE stock_id IN (SELECT DISTINCT stock_id FROM ret ORDER BY stock_id LIMIT 20) GROUP BY seconds_in_bucket""")
 
 
 QUERIES: dict[str, Entry] = {
@@ -387,5 +386,7 @@ SELECT count(CASE WHEN f > 5e-1 THEN 1 END) AS n_above_50pct, count(CASE WHEN f
     "second_profile": (_profile, PROFILE_SQL),
     "input_window_samples": (lambda s, d: rounded(_samples(s, d)), with_sql(SAMPLES_SQL, f"SELECT {KEYS}, {rs(*SAMPLE_FEATURES)} FROM smp")),
     "feature_target_correlations": (_feature_corr, _feature_corr_sql()),
-    "hash_sample": (_hash_sample, with_sql(QUOTES_SQL, "SELECT least(count(*), 5000) AS n, count(DISTINCT stock_id) AS n_stocks FROM q")),
+    "hash_sample": (_hash_sample, with_sql(QUOTES_SQL, f""", h1 AS (SELECT *, {hash_sql("stock_id", 42)} AS h FROM q), h2 AS (SELECT * REPLACE ({hash_sql("(h + time_id)", 42)} AS h) FROM h1),
+h3 AS (SELECT * REPLACE ({hash_sql("(h + seconds_in_bucket)", 42)} AS h) FROM h2)
+SELECT {KEYS}, seconds_in_bucket, {r("wap")} FROM h3 ORDER BY h, stock_id, time_id, seconds_in_bucket LIMIT 5000""")),
 }

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from voltide.functions.losses import log_metrics
 from voltide.operators import boost, folds, garch, har, har_models, ols, rv, scoring, wide
 from voltide.operators.folds import with_folds
-from voltide.plans.ordered import exact_quantiles
 from voltide.session import cut_lineage
 from voltide.workload.base import (
     DENSE_SQL, HAR_SQL, RAW_SQL, Entry, book_raw, book_sec, folds_sql, har_rows, hash_sql, ols_solve_sql,
@@ -199,10 +198,9 @@ def _stock_oof(spark, sf_dir):
 
 def _weights(spark, sf_dir):
     """Inverse-RV training weights capped at the 99th percentile of their fold and split."""
-    rows = stock_oof(spark, sf_dir).withColumn("w", F.lit(1.0) / F.greatest(F.exp("log_rv_fut"), F.lit(1e-4)))
-    caps = exact_quantiles(rows, ["fold", "split"], "w", {"cap": 0.99})
-    return rounded(rows.join(F.broadcast(caps), ["fold", "split"]).select(
-        "fold", "split", "stock_id", "time_id", F.least("w", "cap").alias("sample_weight")))
+    oof = cut_lineage(stock_oof(spark, sf_dir))
+    table = boost.training_table(oof.select("time_id", "stock_id").distinct(), oof)
+    return rounded(table.select("fold", "split", "stock_id", "time_id", "sample_weight"))
 
 
 WEIGHTS_SQL = with_sql(OOF_SQL, f""", w AS (SELECT *, 1 / greatest(exp(log_rv_fut), 1e-4) AS w FROM oof)
@@ -297,7 +295,7 @@ def _dispersion(spark, sf_dir):
 
 def _extremes(spark, sf_dir):
     per = garch.per_stock_report(log_pred(spark, sf_dir))
-    return rounded(scoring.stock_extremes(per, 3).select("side", "stock_id", "n_rows", "rmspe_pct"))
+    return rounded(scoring.stock_extremes(per, 5).select("side", "stock_id", "n_rows", "rmspe_pct"))
 
 
 def _bias(spark, sf_dir):
@@ -392,11 +390,11 @@ BOOST = boost.BoostParams(rounds=4, learning_rate=0.3, max_depth=3, min_rows=10,
 
 
 def boost_table(spark, sf_dir):
-    features = wide.add_zscores(cut_lineage(wide.wide_features(book_sec(spark, sf_dir))))
+    features = wide.add_zscores(wide.wide_features(book_sec(spark, sf_dir)))
     return boost.training_table(cut_lineage(features), stock_oof(spark, sf_dir))
 
 
-def _boost_all(spark, sf_dir, n_folds=2):
+def _boost_all(spark, sf_dir, n_folds=5):
     table = cut_lineage(boost_table(spark, sf_dir))
     parts = [boost.boost_fold(table, k, BOOST)[0] for k in range(n_folds)]
     out = parts[0]
@@ -406,7 +404,7 @@ def _boost_all(spark, sf_dir, n_folds=2):
 
 
 def _boost_predictions(spark, sf_dir):
-    return rounded(_boost_all(spark, sf_dir, 1))
+    return rounded(_boost_all(spark, sf_dir))
 
 
 def _boost_report(spark, sf_dir):
@@ -417,13 +415,13 @@ def _importance(spark, sf_dir):
     table = cut_lineage(boost_table(spark, sf_dir)).where("fold = 0")
     rows = boost.assemble(table)
     trees, _ = boost.fit_booster(rows.where("split = 'train'"), BOOST)
-    return rounded(boost.permutation_importance(rows.where("split = 'test'"), trees, BOOST.learning_rate).limit(10))
+    return rounded(boost.permutation_importance(rows.where("split = 'test'"), trees, BOOST.learning_rate))
 
 
 def _search(spark, sf_dir):
     table = boost_table(spark, sf_dir).where("fold = 0 AND split = 'train'")
     parts = assignment(spark, sf_dir).where("fold = 0").select("time_id", "inner")
-    return rounded(boost.search(boost.assemble(table.join(parts, "time_id")), trials=2, inner_folds=2, rounds=2))
+    return rounded(boost.search(boost.assemble(table.join(parts, "time_id")), trials=2, inner_folds=5, rounds=2))
 
 
 QUERIES: dict[str, Entry] = {
@@ -459,8 +457,8 @@ QUERIES: dict[str, Entry] = {
     "dispersion_ratio": (_dispersion, with_sql(GARCH_SQL, f"SELECT {r('stddev_pop(pred_log_rv)', 'pred_std')}, {r('stddev_pop(true_log_rv)', 'true_std')}, {r('stddev_pop(pred_log_rv) / stddev_pop(true_log_rv)', 'spread_ratio')} FROM gl")),
     "stock_extremes": (_extremes, with_sql(GARCH_SQL, f""", e AS (SELECT stock_id, count(*) AS n_rows, sqrt(avg(power((exp(pred_log_rv) - exp(true_log_rv)) / exp(true_log_rv), 2))) * 100 AS m
   FROM gl GROUP BY stock_id HAVING count(*) >= 5)
-SELECT * FROM (SELECT 'best' AS side, stock_id, n_rows, {r('m', 'rmspe_pct')} FROM e ORDER BY m, stock_id LIMIT 3) a
-UNION ALL SELECT * FROM (SELECT 'worst', stock_id, n_rows, {r('m', 'rmspe_pct')} FROM e ORDER BY m DESC, stock_id LIMIT 3) b""")),
+SELECT * FROM (SELECT 'best' AS side, stock_id, n_rows, {r('m', 'rmspe_pct')} FROM e ORDER BY m, stock_id LIMIT 5) a
+UNION ALL SELECT * FROM (SELECT 'worst', stock_id, n_rows, {r('m', 'rmspe_pct')} FROM e ORDER BY m DESC, stock_id LIMIT 5) b""")),
     "stock_fixed_effects": (_bias, with_sql(GARCH_SQL, f"SELECT stock_id, {r('avg(true_log_rv - pred_log_rv)', 'stock_bias')} FROM gl GROUP BY stock_id")),
     "stock_effect_summary": (_bias_summary, with_sql(GARCH_SQL, f""", b AS (SELECT avg(true_log_rv - pred_log_rv) AS b FROM gl GROUP BY stock_id)
 SELECT {r('avg(b)', 'mean')}, {r('stddev_pop(b)', 'std')}, {r('min(b)', 'min')}, {r('max(b)', 'max')} FROM b""")),
