@@ -12,9 +12,9 @@ in the same document or another one; strings do not cross documents.
    left in one bucket are equal.
 3. Runs of equal strings become spans, spans of a document are united and cut out.
 
-Equal texts are one text from the start. Where all strings of several places of a bucket agree, they are settled by
-one comparison; a bucket of more than ``crowd`` places is resolved by hashes of its strings, dealt out by
-hash, instead of in one task. Texts are named by 60-bit and q-grams by 64-bit digests.
+Equal texts are one text from the start. Places of a bucket whose strings all agree are settled by one comparison,
+so a task holds the distinct surroundings of a bucket's places only; a bucket of more than ``crowd`` of these is
+resolved by hashes of its strings, dealt out by hash, instead of in one task. Texts are named by 60-bit and q-grams by 64-bit digests.
 
 Defined results: null is an empty text; texts shorter than ``length`` lose nothing; repeated rows are equal
 texts and lose all of it; extra columns and ids of any kind pass through; an empty table gives an empty result.
@@ -35,7 +35,7 @@ from voltide.llm.decontam import small
 from voltide.session import cut_lineage
 
 LENGTH, Q = 200, 32
-CROWD = 4096
+CROWD = 8192
 CHUNK = 1 << 22
 
 
@@ -150,36 +150,26 @@ def string_buckets(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
 
 
 def refine(rows: list[tuple], length: int) -> list[tuple[int, int, int]]:
-    """(text_key, start, end) of bytes covered by equal strings, from rows (key, text_key, place, first, bytes) of whole buckets."""
-    spans: list[tuple[int, int, int]] = []
-    alike: dict[tuple, list[tuple]] = {}
-    for r in rows:
-        alike.setdefault((r[0], r[2] - r[3], r[4]), []).append(r)
-    kinds: dict[int, int] = {}
-    for key, _, _ in alike:
-        kinds[key] = kinds.get(key, 0) + 1
-    open_: list[tuple[tuple, bool]] = []
-    for (key, _, _), members in alike.items():
-        if len(members) > 1:
-            spans += [(t, first, first + len(x)) for _, t, _, first, x in members]
-        if kinds[key] > 1:
-            open_.append((members[0], len(members) > 1))
-    if open_:
-        data = np.frombuffer(b"".join(r[4] for r, _ in open_), np.uint8)
-        ids = string_buckets(data, length)
-        sizes = np.array([len(r[4]) for r, _ in open_])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        counts = sizes - length + 1
-        owner = np.repeat(np.arange(len(open_)), counts)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        mine = ids[starts[owner] + offset]
-        equal = np.bincount(mine)[mine] > 1
-        run = np.flatnonzero(equal & np.concatenate([[True], ~equal[:-1] | (owner[1:] != owner[:-1])]))
-        stop = np.flatnonzero(equal & np.concatenate([~equal[1:] | (owner[1:] != owner[:-1]), [True]]))
-        for i, j in zip(run.tolist(), stop.tolist()):
-            r, settled = open_[owner[i]]
-            if not settled:
-                spans.append((r[1], int(r[3] + offset[i]), int(r[3] + offset[j] + length)))
+    """(text_key, start, end) of bytes covered by equal strings.
+
+    ``rows``: (text_key, first, bytes, settled) of the distinct contexts of whole buckets; what is settled is not reported.
+    """
+    data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    ids = string_buckets(data, length)
+    sizes = np.array([len(r[2]) for r in rows])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    counts = sizes - length + 1
+    owner = np.repeat(np.arange(len(rows)), counts)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    mine = ids[starts[owner] + offset]
+    equal = np.bincount(mine)[mine] > 1
+    run = np.flatnonzero(equal & np.concatenate([[True], ~equal[:-1] | (owner[1:] != owner[:-1])]))
+    stop = np.flatnonzero(equal & np.concatenate([~equal[1:] | (owner[1:] != owner[:-1]), [True]]))
+    spans = []
+    for i, j in zip(run.tolist(), stop.tolist()):
+        text_key, first, _, settled = rows[owner[i]]
+        if not settled:
+            spans.append((text_key, int(first + offset[i]), int(first + offset[j] + length)))
     return spans
 
 
@@ -202,42 +192,53 @@ def equal_strings(texts: DataFrame, length: int, q: int, crowd: int) -> DataFram
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["text_key", "start", "end", "hash"]
 
-        def spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            found = refine(rows, length)
+        def spans(found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
             if found:
                 t, s, e = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.nulls(len(t), pa.int64())], names)
 
-        def hashed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for _, t, _, first, x in rows:
-                data = np.frombuffer(x, np.uint8)
-                s = np.arange(len(data) - length + 1)
-                h = substring_hash(prefix_hash(data, False), s, s + length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t)), pa.array(s + first), pa.array(s + first + length), pa.array(signed(h))], names)
+        def hashed(t: int, first: int, x: bytes) -> pa.RecordBatch:
+            data = np.frombuffer(x, np.uint8)
+            s = np.arange(len(data) - length + 1)
+            h = substring_hash(prefix_hash(data, False), s, s + length)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t)), pa.array(s + first), pa.array(s + first + length), pa.array(signed(h))], names)
 
-        done, now, held, key, crowded = [], [], 0, None, False
+        # of each bucket, its distinct contexts: [text_key, first, bytes, settled]; a second place of one settles both
+        done, settled, now, held, key, crowded = [], [], {}, 0, None, False
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[0] != key:
-                    if crowded:
-                        yield from hashed(now)
-                    else:
-                        done += now
-                        if held > 1 << 20:
-                            yield from spans(done)
-                            done, held = [], 0
-                    now, key, crowded = [], r[0], False
-                now.append(r)
-                held += len(r[4])
+            for k, t, place, first, x in zip(*(c.to_pylist() for c in b.columns)):
+                if k != key:
+                    if len(now) > 1 and not crowded:
+                        done += now.values()
+                    if held > 1 << 20:
+                        if done:
+                            settled += refine(done, length)
+                        yield from spans(settled)
+                        done, settled, held = [], [], 0
+                    now, key, crowded = {}, k, False
+                if crowded:
+                    yield hashed(t, first, x)
+                    continue
+                seen = now.get((place - first, x))
+                if seen:
+                    settled.append((t, first, first + len(x)))
+                    if not seen[3]:
+                        settled.append((seen[0], seen[1], seen[1] + len(x)))
+                        seen[3] = True
+                    held += 24
+                    continue
+                now[place - first, x] = [t, first, x, False]
+                held += len(x)
                 if len(now) > crowd:
                     crowded = True
-                    yield from hashed(now)
-                    now, held = [], 0
-        if crowded:
-            yield from hashed(now)
-        else:
-            done += now
-        yield from spans(done)
+                    for t, first, x, _ in now.values():
+                        yield hashed(t, first, x)
+                    now = {}
+        if len(now) > 1 and not crowded:
+            done += now.values()
+        if done:
+            settled += refine(done, length)
+        yield from spans(settled)
 
     found = cut_lineage(
         texts.mapInArrow(contexts, schema("key bigint, text_key bigint, place bigint, first bigint, bytes binary"))
@@ -272,7 +273,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, crowd: int
     shared = cut_lineage(shared)
     wanted = named.join(small(shared.select("text_key")), "text_key", "left_semi").dropDuplicates(["text_key"])
     texts = cut_lineage(wanted.join(shared, "text_key").select("text_key", "text", "places"))
-    spans = equal_strings(texts, length, q, crowd).join(counts, "text_key", "left_anti").groupBy("text_key").agg(
+    spans = equal_strings(texts, length, q, crowd).groupBy("text_key").agg(
         F.collect_list(F.struct("start", "end")).alias("spans")).selectExpr("text_key", "spans.start AS starts", "spans.end AS ends")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +283,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, q: int = Q, crowd: int
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([s], pa.list_(pa.int64())), pa.array([e], pa.list_(pa.int64())),
                                                   pa.array([kept], pa.binary())], ["text_key", "starts", "ends", "kept"])
 
-    lost = texts.select("text_key", "text").join(spans, "text_key").mapInArrow(
+    single = texts.select("text_key", "text").join(counts, "text_key", "left_anti")
+    lost = single.join(spans, "text_key").mapInArrow(
         cut, schema("text_key bigint, starts array<bigint>, ends array<bigint>, kept binary"))
     return members, cut_lineage(lost)
 
