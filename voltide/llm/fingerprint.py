@@ -90,13 +90,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus fingerprint."""
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in by_size(batch, at):
                 prints = [as_text(s) for s in text_signatures(texts)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.string())], [*docs.columns, "fingerprint"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints, pa.string())], [*names, "fingerprint"])
 
     return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
