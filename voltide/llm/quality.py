@@ -7,8 +7,9 @@ keeping the k largest.
 
 * The raw model counts every document. The target model counts labelled good documents of a sample of
   ``sample_rows`` labels (by hash), which bounds what is broadcast.
-* The log ratio grows with a text's length, so it is divided by the square root of its features, and
-  multiplied by ``sharpness`` so that the noise decides only near the border.
+* The log ratio grows with a text's length, so its mean per feature counts, drawn towards 0 for short texts as if
+  they had ``prior`` more features of ratio 0, and multiplied by ``sharpness`` so that the noise decides only near
+  the border.
 * k is how many documents have a weight above the border that best parts the sample's good and bad labels.
 * The k-th largest key is found by counting passes over a thin table of keys (see ``sharding``), never by
   gathering or sorting keys in one place.
@@ -75,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model:
     return Model(smooth(target) - smooth(raw), sample)
 
 
-def score(docs: DataFrame, model: Model, sharpness: float = 4.0, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, model: Model, sharpness: float = 200.0, prior: float = 200.0, seed: int = 7) -> DataFrame:
     """``docs`` plus log_weight, sort_key (with Gumbel noise drawn by doc_id) and key_bits (integers in its order)."""
     weights = model.log_ratio[:, None]
     noisy = docs.withColumn("_noise", F.xxhash64("doc_id", F.lit(seed)))
@@ -85,7 +86,7 @@ def score(docs: DataFrame, model: Model, sharpness: float = 4.0, seed: int = 7)
         for part, data, ends in text_slices(batches):
             row, bucket = features(data, ends)
             sums, n = row_sums(weights, row, bucket, part.num_rows)
-            log_weight = sharpness * sums[:, 0] / np.sqrt(np.maximum(n, 1))
+            log_weight = sharpness * sums[:, 0] / (n + prior)
             noise = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
             u = ((noise >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
             key = log_weight - np.log(-np.log(u))
