@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voltide.llm import bpe, decontam, jaccard_join, quality, suffix_dedup
-from voltide.llm.common import read
+from voltide.llm.common import bounded_batches, read
 from voltide.session import drop_tables, scratch_path, scratch_scope
 
 SCOPE = "pipeline stage"
@@ -28,6 +28,7 @@ def stage(work: Stage) -> Stage:
     """A stage whose scratch tables live until the next stage begins."""
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_tables(spark, SCOPE)
+        bounded_batches(spark)
         with scratch_scope(SCOPE):
             return work(spark, docs, sf_dir)
 

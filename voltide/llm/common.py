@@ -18,7 +18,17 @@ WORD_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SHINGLE_WORDS = 5
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of 4 MB where the session has Spark's default of 64 MB: a task holds several copies of one."""
+    if spark.conf.get(ARROW_BYTES) in ("64MB", "64m", "67108864b", "67108864"):
+        spark.conf.set(ARROW_BYTES, "4m")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
