@@ -12,8 +12,9 @@ neighbourhood (itself and itself less one shingle, each), as that misses only pa
   segments it shares, each side can have left out only such as come before the last.
 * Equal sets are one class from the start. A set is indexed in the band of every larger partner's size.
 * Verification. Sets that meet in a segment are verified against the first of them on all their shingles; links
-  make components. Where a segment's sets are in several components, pairs across these are verified too, large
-  segments block by block. Pairs inside a component need no test, as they cannot change it.
+  make components. Where a segment's sets are in several components, they are compared with all others that such
+  segments tie them to, block by block inside tasks. Segments within one component need no more, as nothing can
+  change it.
 
 Shingles and sets are named by 64-bit hashes; "exact" is up to their collisions.
 
@@ -39,8 +40,7 @@ from voltide.llm.decontam import small
 from voltide.session import cut_lineage
 
 RATIO = 1.5                 # of a band's largest to its smallest size
-SLICE = 4 << 20
-BLOCK = 64                  # sets of a crowded segment that are compared at a time
+BLOCK_SETS, BLOCK_TOKENS = 400, 200_000     # bounds of a block of sets that are compared at a time
 
 
 # ---- bands and allocation -------------------------------------------------------------
@@ -140,7 +140,7 @@ def set_names(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray
 def with_set_name(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and name of the set, per row."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, ends in text_slices(batches, limit=SLICE):
+        for part, data, ends in text_slices(batches):
             size, name = set_names(*distinct_sorted(*shingles(data, ends)), part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(name)], ["doc_id", "n_shingles", "name"])
 
@@ -151,7 +151,7 @@ def index_rows(docs: DataFrame) -> DataFrame:
     """(key, name) of every set; equal sets of one task are indexed once."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part, data, ends in text_slices(batches, limit=SLICE):
+        for part, data, ends in text_slices(batches):
             row, token = distinct_sorted(*shingles(data, ends))
             size, name = set_names(row, token, part.num_rows)
             new = np.zeros(part.num_rows, bool)
@@ -220,7 +220,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
     held = docs.select("doc_id", "text").join(small(ids.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, ends in text_slices(batches, limit=SLICE):
+        for part, data, ends in text_slices(batches):
             row, token = distinct_sorted(*shingles(data, ends))
             size, name = set_names(row, token, part.num_rows)
             raw = token.tobytes()
@@ -252,23 +252,61 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(rows, schema("a bigint, b bigint"))
 
 
-def across(live: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Untested pairs (a < b) of sets that share a key but not a component.
+def cross_links(live: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets that share a key but not a component, beyond the pairs with the first set of a key.
 
-    A key's sets are cut into blocks by hash and blocks are paired, so a task holds two blocks at most.
+    Sets that keys with several components hold together make a cluster, so that sets which share many keys meet
+    once. A cluster is cut into blocks by hash and a task compares two blocks, of which it reports links that
+    join them and no more. Blocks are bounded by sets and by shingles, and no pair becomes a row.
     """
-    marked = cut_lineage(live.join(labels.selectExpr("node AS name", "component"), "name", "left").selectExpr(
-        "key", "name", "coalesce(component, name) AS component"))
-    mixed = cut_lineage(marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-                        .where("x <> y").select("key", "n"))
-    rest = marked.join(mixed, "key").withColumn("blocks", F.expr(f"CAST(ceil(n / {BLOCK}) AS INT)"))
-    placed = rest.withColumn("block", F.expr("CAST(pmod(xxhash64(name), blocks) AS INT)"))
+    known = cut_lineage(sets.selectExpr("name", "CAST(octet_length(tokens) DIV 8 AS BIGINT) AS size").join(
+        labels.withColumnRenamed("node", "name"), "name", "left").selectExpr("name", "size", "coalesce(component, name) AS component"))
+    marked = cut_lineage(live.join(known, "name").select("key", "name", "first", "component"))
+    mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2")
+    together = marked.where("name <> first").join(cut_lineage(mixed.select("key")), "key").selectExpr("name AS a", "first AS b")
+    clusters = cut_lineage(components(together).selectExpr("node AS name", "component AS cluster").join(known.select("name", "size"), "name"))
+    sized = cut_lineage(clusters.groupBy("cluster").agg(F.expr(
+        f"CAST(ceil(greatest(count(*) / {BLOCK_SETS}, sum(size) / {BLOCK_TOKENS})) AS INT)").alias("blocks")))
+    placed = clusters.join(sized, "cluster").withColumn("block", F.expr("CAST(pmod(xxhash64(name), blocks) AS INT)"))
     dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr(
-        "key", "least(block, other) AS i", "greatest(block, other) AS j", "block", "name", "component")
-    grouped = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("block", "name", "component")).alias("s"))
-    pairs = grouped.select("i", "j", F.explode("s").alias("x"), "s").select("i", "j", "x", F.explode("s").alias("y")).where(
-        "x.name < y.name AND x.component <> y.component AND (i = j OR x.block <> y.block)")
-    return pairs.selectExpr("x.name AS a", "y.name AS b").distinct().join(tried, ["a", "b"], "left_anti")
+        "cluster", "least(block, other) AS i", "greatest(block, other) AS j", "block", "name")
+    return dealt.join(sets, "name").groupBy("cluster", "i", "j").applyInArrow(compare_blocks, schema("a bigint, b bigint"))
+
+
+def compare_blocks(table: pa.Table) -> pa.Table:
+    """A forest of the links between the two blocks (or inside the one) of a group."""
+    names, block = table.column("name").to_numpy(), table.column("block").to_numpy()
+    tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+    size = np.array([len(x) for x in tokens])
+    one, two = (np.flatnonzero(block == b) for b in (block.min(), block.max()))
+    owner = np.repeat(np.arange(len(tokens)), size)
+    _, column, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    owner, column = owner[times[column] > 1], column[times[column] > 1]     # the rest adds to no intersection
+    shared = np.zeros((len(one), len(two)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.unique(column[order], return_inverse=True)[1]
+    for s in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [s, s + 4096])
+        holds = np.zeros((len(tokens), 4096), np.float32)
+        holds[owner[a:b], column[a:b] - s] = 1
+        shared += holds[one] @ holds[two].T
+    both = np.rint(shared).astype(np.int64)
+    linked = 100 * both >= 80 * (size[one][:, None] + size[two][None, :] - both)
+    parent = list(range(len(tokens)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(*(z.tolist() for z in np.nonzero(linked))):
+        p, q = find(int(one[x])), find(int(two[y]))
+        if p != q:
+            parent[p] = q
+            out.append((names[one[x]], names[two[y]]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def link_groups(docs: DataFrame) -> DataFrame:
@@ -281,9 +319,9 @@ def link_groups(docs: DataFrame) -> DataFrame:
     sets = sets_of(docs, classes, names)
     links = cut_lineage(verify(first, sets))
     labels = components(links)
-    more = cut_lineage(across(live, labels, first))
+    more = cut_lineage(cross_links(live, labels, sets))
     if more.limit(1).count():
-        labels = components(links.unionByName(verify(more, sets)))
+        labels = components(links.unionByName(more))
     named = cut_lineage(classes.join(labels.selectExpr("node AS name", "component"), "name", "left").selectExpr(
         "name", "doc_id", "coalesce(component, name) AS component"))
     least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
