@@ -77,13 +77,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rewrite_table(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
+    """Like :func:`cut_lineage`, and deletes the table at ``path``, which nothing but ``df`` may still read."""
+    spark, new = df.sparkSession, scratch_path(df.sparkSession)
+    df.write.parquet(new)
+    if path:
+        delete_path(spark, path)
+    return spark.read.schema(df.schema).parquet(new), new
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_tables(spark: SparkSession, scope: str | None = None) -> int:
     """Delete the scratch tables of one scope, or of all; returns how many. Frames that read them end with it."""
     paths = _written.pop(scope, []) if scope else [p for ps in _written.values() for p in ps]
     if not scope:
         _written.clear()
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        delete_path(spark, path)
     return len(paths)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltide.functions.losses import log_metrics
@@ -386,7 +389,9 @@ grid AS (SELECT w, avg(greatest(exp(t), 1e-8) / greatest(exp(m), 1e-8) - ln(grea
 
 # ---- booster ----------------------------------------------------------------------
 
-BOOST = boost.BoostParams(rounds=4, learning_rate=0.3, max_depth=3, min_rows=10, checkpoint_every=2)
+# Rounds and patience as in the reference: early stopping decides.
+BOOST = boost.BoostParams(rounds=5000, learning_rate=0.3, max_depth=3, min_rows=10, patience=50, checkpoint_every=25)
+FOLDS, TRIALS = range(5), 10
 
 
 def boost_table(spark, sf_dir):
@@ -394,13 +399,14 @@ def boost_table(spark, sf_dir):
     return boost.training_table(cut_lineage(features), stock_oof(spark, sf_dir))
 
 
-def _boost_all(spark, sf_dir, n_folds=5):
+def _all_folds(parts):
+    """One frame of the folds' frames."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _boost_all(spark, sf_dir):
     table = cut_lineage(boost_table(spark, sf_dir))
-    parts = [boost.boost_fold(table, k, BOOST)[0] for k in range(n_folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _all_folds(boost.at_once(spark, lambda k: boost.boost_fold(table, k, BOOST)[0], FOLDS))
 
 
 def _boost_predictions(spark, sf_dir):
@@ -412,16 +418,27 @@ def _boost_report(spark, sf_dir):
 
 
 def _importance(spark, sf_dir):
-    table = cut_lineage(boost_table(spark, sf_dir)).where("fold = 0")
-    rows = boost.assemble(table)
-    trees, _ = boost.fit_booster(rows.where("split = 'train'"), BOOST)
-    return rounded(boost.permutation_importance(rows.where("split = 'test'"), trees, BOOST.learning_rate))
+    table = cut_lineage(boost_table(spark, sf_dir))
+
+    def one(k):
+        rows = boost.assemble(table.where(F.col("fold") == k))
+        trees, _ = boost.fit_booster(rows.where("split = 'train'"), BOOST)
+        ranked = boost.permutation_importance(rows.where("split = 'test'"), trees, BOOST.learning_rate)
+        return ranked.select(F.lit(k).alias("fold"), *ranked.columns)
+
+    return rounded(_all_folds(boost.at_once(spark, one, FOLDS)))
 
 
 def _search(spark, sf_dir):
-    table = boost_table(spark, sf_dir).where("fold = 0 AND split = 'train'")
-    parts = assignment(spark, sf_dir).where("fold = 0").select("time_id", "inner")
-    return rounded(boost.search(boost.assemble(table.join(parts, "time_id")), trials=2, inner_folds=5, rounds=2))
+    parts = assignment(spark, sf_dir).where("split = 'train'").select("fold", "time_id", "inner")
+    table = cut_lineage(boost_table(spark, sf_dir).where("split = 'train'").join(parts, ["fold", "time_id"]))
+
+    def one(k):
+        found = boost.search(boost.assemble(table.where(F.col("fold") == k)), TRIALS, 5, BOOST.rounds,
+                             patience=BOOST.patience, checkpoint_every=BOOST.checkpoint_every)
+        return found.select(F.lit(k).alias("fold"), *found.columns)
+
+    return rounded(_all_folds([one(k) for k in FOLDS]))
 
 
 QUERIES: dict[str, Entry] = {
