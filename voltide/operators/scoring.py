@@ -46,13 +46,13 @@ def fold_aggregate(fold_metrics: DataFrame, metrics: Sequence[str]) -> DataFrame
     return agg.select(rows.alias("r")).select("r.*")
 
 
-def stock_bias(pred: DataFrame) -> DataFrame:
-    """Per-stock fixed effect: mean log error of the training rows."""
-    return pred.groupBy("stock_id").agg(F.avg(F.col("true_log_rv") - F.col("pred_log_rv")).alias("stock_bias"))
+def stock_bias(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per-stock fixed effect: mean log error of the training rows (of each group of ``keys``)."""
+    return pred.groupBy(*keys, "stock_id").agg(F.avg(F.col("true_log_rv") - F.col("pred_log_rv")).alias("stock_bias"))
 
 
-def apply_stock_bias(pred: DataFrame, bias: DataFrame) -> DataFrame:
-    joined = pred.join(bias, "stock_id", "left")
+def apply_stock_bias(pred: DataFrame, bias: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    joined = pred.join(bias, [*keys, "stock_id"], "left")
     return joined.withColumn("pred_log_rv", F.col("pred_log_rv") + F.coalesce("stock_bias", F.lit(0.0)))
 
 
@@ -97,36 +97,38 @@ def combined_loss(pred: DataFrame, weights: DataFrame, rmspe_w: float = 0.3, qli
     ).withColumn("loss", rmspe_w * F.col("rmspe") + qlike_w * F.col("qlike") + spread_w * F.col("spread"))
 
 
-def bucket_har_forecast(tensor: DataFrame, split: str = "split", floor: float = 1e-4) -> DataFrame:
-    """Linear forecast of log target RV from the eight log bucket RVs; fitted on training rows."""
+def bucket_har_forecast(tensor: DataFrame, split: str = "split", floor: float = 1e-4, keys: Sequence[str] = ()) -> DataFrame:
+    """Linear forecast of log target RV from the eight log bucket RVs; fitted on training rows (of each group of ``keys``)."""
     xs = [f"lb_{b}" for b in range(8)]
+    by = list(keys) or ["_k"]
     rows = tensor.select(
-        "stock_id", "time_id", split, F.col("y").cast("double").alias("true_log_rv"), F.lit(0).alias("_k"),
+        "stock_id", "time_id", split, F.col("y").cast("double").alias("true_log_rv"), *(keys or [F.lit(0).alias("_k")]),
         *[F.log(F.greatest(F.col("x")[b][1].cast("double"), F.lit(floor))).alias(xs[b]) for b in range(8)])
-    coefs = ols.fit(rows.where(F.col(split) == "train"), ["_k"], xs, "true_log_rv")
-    return ols.predict(rows, coefs, ["_k"], xs, "pred_log_rv", small=True).select(
-        "stock_id", "time_id", split, "true_log_rv", "pred_log_rv")
+    coefs = ols.fit(rows.where(F.col(split) == "train"), by, xs, "true_log_rv")
+    return ols.predict(rows, coefs, by, xs, "pred_log_rv", small=True).select(
+        *keys, "stock_id", "time_id", split, "true_log_rv", "pred_log_rv")
 
 
-def blend_weight_grid(rows: DataFrame, a: str, b: str, true_log: str = "true_log_rv", steps: int = 100) -> DataFrame:
-    """QLIKE of w*a + (1-w)*b on a grid of weights, in one pass over the data.
+def blend_weight_grid(rows: DataFrame, a: str, b: str, true_log: str = "true_log_rv", steps: int = 100,
+                      keys: Sequence[str] = ()) -> DataFrame:
+    """QLIKE of w*a + (1-w)*b on a grid of weights, in one pass over the data (for each group of ``keys``).
 
     Each row is multiplied by the grid map-side and collapses there to one row per weight.
     """
     grid = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step")
     w = f"step / {float(steps)}D"
     mixed = vc.clip_text(f"{w} * {a} + (1 - {w}) * {b}", -20.0, 5.0)
-    return rows.select(a, b, true_log, grid).groupBy("step").agg(
+    return rows.select(*keys, a, b, true_log, grid).groupBy(*keys, "step").agg(
         F.avg(qlike_loss(f"exp({true_log})", f"exp({mixed})", EPS)).alias("qlike")
-    ).select((F.col("step") / F.lit(float(steps))).alias("weight"), "qlike")
+    ).select(*keys, (F.col("step") / F.lit(float(steps))).alias("weight"), "qlike")
 
 
-def best_blend(grid: DataFrame) -> DataFrame:
-    return grid.agg(F.min_by("weight", F.struct("qlike", "weight")).alias("weight"), F.min("qlike").alias("qlike"))
+def best_blend(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return grid.groupBy(*keys).agg(F.min_by("weight", F.struct("qlike", "weight")).alias("weight"), F.min("qlike").alias("qlike"))
 
 
-def least_squares_blend(rows: DataFrame, a: str, b: str, true_log: str = "true_log_rv") -> DataFrame:
-    """Closed-form weight in [0, 1] minimising squared log error."""
+def least_squares_blend(rows: DataFrame, a: str, b: str, true_log: str = "true_log_rv", keys: Sequence[str] = ()) -> DataFrame:
+    """Closed-form weight in [0, 1] minimising squared log error (for each group of ``keys``)."""
     d = F.col(a) - F.col(b)
-    return rows.agg(F.sum((F.col(true_log) - F.col(b)) * d).alias("_num"), F.sum(d * d).alias("_den")).select(
-        vc.clip(F.coalesce(F.try_divide("_num", "_den"), F.lit(0.5)), 0.0, 1.0).alias("weight"))
+    return rows.groupBy(*keys).agg(F.sum((F.col(true_log) - F.col(b)) * d).alias("_num"), F.sum(d * d).alias("_den")).select(
+        *keys, vc.clip(F.coalesce(F.try_divide("_num", "_den"), F.lit(0.5)), 0.0, 1.0).alias("weight"))

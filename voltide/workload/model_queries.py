@@ -322,6 +322,14 @@ def _bias_scored(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), *log_metrics("pred_log_rv", "true_log_rv", 1e-8)))
 
 
+def _bias_scored_folds(spark, sf_dir):
+    """Stock effects learned on the training snapshots of each fold, applied to its test snapshots."""
+    rows = with_folds(log_pred(spark, sf_dir), assignment(spark, sf_dir)).drop("inner")
+    bias = scoring.stock_bias(rows.where("split = 'train'"), ["fold"])
+    return rounded(scoring.apply_stock_bias(rows.where("split = 'test'"), bias, ["fold"]).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), *log_metrics("pred_log_rv", "true_log_rv", 1e-8)))
+
+
 def _spread_weights(spark, sf_dir):
     return rounded(scoring.spread_weights(log_pred(spark, sf_dir)))
 
@@ -387,6 +395,51 @@ grid AS (SELECT w, avg(greatest(exp(t), 1e-8) / greatest(exp(m), 1e-8) - ln(grea
   SELECT s / 100e0 AS w, t, greatest(least(s / 100e0 * a + (1 - s / 100e0) * b, 5), -20) AS m FROM bl, (SELECT unnest(range(101)) AS s) g) z GROUP BY w)"""
 
 
+# ---- the same in every fold -----------------------------------------------------------
+
+def _bucket_har_rows(spark, sf_dir):
+    tensor = with_folds(rv.bucket_tensor(book_sec(spark, sf_dir)), assignment(spark, sf_dir)).drop("inner")
+    return scoring.bucket_har_forecast(tensor, keys=["fold"])
+
+
+def _bucket_har_folds(spark, sf_dir):
+    return rounded(_bucket_har_rows(spark, sf_dir))
+
+
+def _blend_fold_rows(spark, sf_dir):
+    har_side = _bucket_har_rows(spark, sf_dir).where("split = 'train'").withColumnRenamed("pred_log_rv", "a")
+    other = log_pred(spark, sf_dir).select("stock_id", "time_id", F.col("pred_log_rv").alias("b"))
+    return har_side.join(other, ["stock_id", "time_id"])
+
+
+def _blend_grid_folds(spark, sf_dir):
+    return rounded(scoring.blend_weight_grid(_blend_fold_rows(spark, sf_dir), "a", "b", keys=["fold"]))
+
+
+def _blend_best_folds(spark, sf_dir):
+    rows = cut_lineage(_blend_fold_rows(spark, sf_dir))
+    grid = scoring.best_blend(scoring.blend_weight_grid(rows, "a", "b", keys=["fold"]), ["fold"])
+    return rounded(grid.select("fold", F.lit("qlike_grid").alias("method"), "weight").unionByName(
+        scoring.least_squares_blend(rows, "a", "b", keys=["fold"]).select("fold", F.lit("least_squares").alias("method"), "weight")))
+
+
+BUCKET_HAR_FOLDS_SQL = TENSOR_SQL + folds_sql("dense") + f""",
+tw AS (SELECT fo.fold, f.stock_id, f.time_id, fo.split, CAST(CAST(t.y AS FLOAT) AS DOUBLE) AS true_log_rv,
+  {', '.join(f'ln(greatest(CAST(max(CASE WHEN f.bucket = {b} THEN CAST(f.rv AS FLOAT) END) AS DOUBLE), 1e-4)) AS lb_{b}' for b in range(8))}
+  FROM feats f JOIN target t ON t.stock_id = f.stock_id AND t.time_id = f.time_id JOIN folds fo ON fo.time_id = f.time_id
+  GROUP BY fo.fold, f.stock_id, f.time_id, fo.split, t.y),
+sums AS (SELECT {ols_sums_sql(['fold'], _LB, 'true_log_rv')} FROM tw WHERE split = 'train' GROUP BY fold),
+{ols_solve_sql('sums', ['fold'], 8, 'coef')},
+bh AS (SELECT fold, stock_id, time_id, split, true_log_rv, b_0 + {' + '.join(f'b_{b + 1} * lb_{b}' for b in range(8))} AS pred_log_rv FROM tw JOIN coef USING (fold))"""
+
+BLEND_FOLDS_SQL = BUCKET_HAR_FOLDS_SQL + returns_sql("dense", "ret2") + f""",
+cl AS (SELECT *, CASE WHEN lr IS NULL THEN 0 ELSE greatest(least(lr, 5e-2), -5e-2) END AS c FROM ret2),
+sc AS (SELECT stock_id, time_id, ln(greatest({rv_sql(None, 480, 'c')} * sqrt(120 / 480e0), 1e-12) + 1e-12) AS b FROM cl GROUP BY stock_id, time_id),
+bl AS (SELECT fold, true_log_rv AS t, pred_log_rv AS a, b FROM bh JOIN sc USING (stock_id, time_id) WHERE split = 'train'),
+grid AS (SELECT fold, w, avg(greatest(exp(t), 1e-8) / greatest(exp(m), 1e-8) - ln(greatest(exp(t), 1e-8) / greatest(exp(m), 1e-8)) - 1) AS q FROM (
+  SELECT fold, s / 100e0 AS w, t, greatest(least(s / 100e0 * a + (1 - s / 100e0) * b, 5), -20) AS m FROM bl, (SELECT unnest(range(101)) AS s) g) z GROUP BY fold, w)"""
+
+
 # ---- booster ----------------------------------------------------------------------
 
 # Rounds and patience as in the reference: early stopping decides.
@@ -492,6 +545,14 @@ SELECT count(*) AS n_rows, {_m7('p', eps='1e-8')} FROM y""")),
     "blend_weight_grid": (_blend_grid, with_sql(BLEND_SQL, f"SELECT {r('w', 'weight')}, {r('q', 'qlike')} FROM grid")),
     "blend_best_weight": (_blend_best, with_sql(BLEND_SQL, f"""SELECT 'qlike_grid' AS method, {r('(SELECT w FROM grid ORDER BY q, w LIMIT 1)', 'weight')}
 UNION ALL SELECT 'least_squares', {r('(SELECT least(greatest(sum((t - b) * (a - b)) / sum(power(a - b, 2)), 0), 1) FROM bl)', 'weight')}""")),
+    "stock_effect_scored_folds": (_bias_scored_folds, with_sql(GARCH_SQL + folds_sql("dense"), f""", z AS (SELECT g.*, f.fold, f.split FROM gl g JOIN folds f USING (time_id)),
+b AS (SELECT fold, stock_id, avg(true_log_rv - pred_log_rv) AS b FROM z WHERE split = 'train' GROUP BY fold, stock_id),
+y AS (SELECT fold, true_log_rv, pred_log_rv + coalesce(b, 0) AS p FROM z LEFT JOIN b USING (fold, stock_id) WHERE split = 'test')
+SELECT fold, count(*) AS n_rows, {_m7('p', eps='1e-8')} FROM y GROUP BY fold""")),
+    "bucket_har_forecast_folds": (_bucket_har_folds, with_sql(BUCKET_HAR_FOLDS_SQL, f"SELECT fold, stock_id, time_id, split, {rs('true_log_rv', 'pred_log_rv')} FROM bh")),
+    "blend_weight_grid_folds": (_blend_grid_folds, with_sql(BLEND_FOLDS_SQL, f"SELECT fold, {r('w', 'weight')}, {r('q', 'qlike')} FROM grid")),
+    "blend_best_weight_folds": (_blend_best_folds, with_sql(BLEND_FOLDS_SQL, f"""SELECT fold, 'qlike_grid' AS method, {r('min_by(w, (q, w))', 'weight')} FROM grid GROUP BY fold
+UNION ALL SELECT fold, 'least_squares', {r('least(greatest(sum((t - b) * (a - b)) / sum(power(a - b, 2)), 0), 1)', 'weight')} FROM bl GROUP BY fold""")),
     "boost_predictions": (_boost_predictions, None),
     "boost_report": (_boost_report, None),
     "boost_permutation_importance": (_importance, None),
