@@ -48,3 +48,12 @@ def test_decode_alone(spark, vocabulary, reference):
 
 def test_no_documents(no_docs, vocabulary):
     assert bpe.encode(no_docs, vocabulary).count() == 0
+
+
+def test_repeated_rows_that_fill_a_block_each_get_their_result(spark, vocabulary, reference):
+    long = " ".join(f"word{i} and more" for i in range(60))
+    rows = [(7, long)] * 3 + [(8, "short"), (None, long), (None, long)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = bpe.encode(frame, vocabulary, block_bytes=200).collect()
+    ids = {t: np.array(reference.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (long, "short")}
+    assert sorted((r["doc_id"] or 0, bytes(r["ids"])) for r in got) == sorted((k or 0, ids[t]) for k, t in rows)

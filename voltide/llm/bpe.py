@@ -252,8 +252,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", t
     def assemble(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "data", "row_ids"))), key=lambda r: r[0])
-        if [r[0] for r in rows] != list(range(-1, n)):
+        # equal blocks have one name and equal rows: k of them come as k equal sets, of which one is worked out
+        k = sum(r[0] == -1 for r in rows)
+        if not k or [r[0] for r in rows] != [b for b in range(-1, n) for _ in range(k)]:
             raise ValueError("the two passes over the documents saw different blocks; pass a table that reads the same twice")
+        rows = rows[::k]
         counts, flats = [], []
         for _, data, _ in rows[1:]:
             x = np.frombuffer(unpack(data), np.uint32)
@@ -268,14 +271,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", t
         planes = np.frombuffer(raw, np.uint8, 4 * words_n, 12 + 4 * int(docs_n) + 4 * int(distinct)).reshape(4, -1)
         word = order[np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)] if words_n else np.zeros(0, np.uint32)
         pieces, ids, decoded, at = shared.value.pieces, [], [], 0
-        for k in per_doc.tolist():
-            mine = word[at:at + k]
-            at += k
+        for size in per_doc.tolist():
+            mine = word[at:at + size]
+            at += size
             got = gather(flat, starts[mine], lengths[mine])
             ids.append(got.astype("<u4").tobytes())
             decoded.append(join_pieces(got, pieces))
-        return pa.Table.from_arrays([pa.array(rows[0][2], table.schema.field("row_ids").type.value_type), pa.array(ids, pa.binary()),
-                                     pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+        one = pa.Table.from_arrays([pa.array(rows[0][2], table.schema.field("row_ids").type.value_type), pa.array(ids, pa.binary()),
+                                    pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+        return pa.concat_tables([one] * k)
 
     out = meeting.groupBy("block").applyInArrow(assemble, target)
     return out.withColumnRenamed("id", id_column)
