@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from voltide.llm import bpe, chat, decontam, fingerprint, jaccard_join, langid, quality, sharding, suffix_dedup, warc
+from voltide.llm import bpe, centroids, chat, decontam, fingerprint, jaccard_join, langid, quality, sharding, suffix_dedup, warc
 from voltide.llm.common import read
 from voltide.session import scratch_path
 
@@ -154,6 +154,39 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---- 13: centroid clustering --------------------------------------------------------
+
+CENTROIDS, ROUNDS = 40, 5
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(read(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS)
+    return centroids.with_inertia(found).selectExpr("id AS vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_sql() -> str:
+    """The same rounds with every distance taken, as one chain of materialised tables."""
+    near = """(SELECT vec_id, any_value(x) AS x, min((d, c)) AS best FROM (
+      SELECT vec_id, n, x, c, list_sum(list_transform(range(1, 65), lambda i: (x[i] - m[i]) * (x[i] - m[i]))) AS d FROM v, c{r}) GROUP BY vec_id, n)"""
+    steps = [f"""v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""", f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS m FROM (SELECT x, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v ORDER BY h, x LIMIT {CENTROIDS}))"""]
+    for r in range(ROUNDS):
+        steps.append(f"""sums{r} AS (
+  SELECT best[2] AS c, u.i AS i, sum(x[u.i]) AS s, count(*) AS k FROM {near.format(r=r)}, (SELECT unnest(range(1, 65)) AS i) u GROUP BY ALL)""")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(any_value(t.m), any_value(c{r}.m)) AS m FROM c{r}
+  LEFT JOIN (SELECT c, list(CAST((s - ((s % k + k) % k)) // k AS BIGINT) ORDER BY i) AS m FROM sums{r} GROUP BY c) t ON t.c = c{r}.c GROUP BY c{r}.c)""")
+    return "WITH " + ",\n".join(steps) + f""",
+placed AS MATERIALIZED (SELECT vec_id, best[2] AS cluster, best[1] AS distance FROM {near.format(r=ROUNDS)})
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM placed JOIN c{ROUNDS} ON c = cluster
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op2_bpe": (op2_bpe, None),
@@ -165,6 +198,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_shard": (op9_shard, None),
     "op10_fingerprint": (op10_fingerprint, None),
+    "op13_centroids": (op13_centroids, op13_sql()),
 }
 
 
