@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from voltide.llm import bpe, centroids, chat, decontam, fingerprint, jaccard_join, langid, quality, sharding, suffix_dedup, warc
+from voltide.llm import bpe, centroids, chat, decontam, fingerprint, jaccard_join, langid, quality, repair, sharding, suffix_dedup, warc
 from voltide.llm.common import read
 from voltide.session import scratch_path
 
@@ -154,6 +155,82 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---- 12: conversation repair --------------------------------------------------------
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Deterministic faults, chosen by crc32 of ``conv_id:turn`` modulo 20."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kinds = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+                         (F.crc32(key.cast("binary")) % 20).alias("kind")).where("kind <> 0")
+    return kinds.selectExpr(
+        "conv_id", "turn", "IF(kind = 4, 'user', role) AS role",
+        "CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text",
+        "explode(array_repeat(0, IF(kind = 3, 2, 1))) AS copy").drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    report = repair.repair_report(damaged_turns(turns)).withColumnRenamed("conv_id", "found_id").withColumn("found", F.lit(True))
+    ids = turns.select("conv_id").distinct()
+    empty = hashlib.sha256(b"").hexdigest()
+    return ids.join(report, F.expr("conv_id <=> found_id"), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in repair.COUNTS], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
+
+
+def op12_sql() -> str:
+    """Forward program over rows in a recursive query: of each state the least (cost, audit) and the text so far."""
+    big = "{'c': 1000000000::BIGINT, 'a': '', 'r': ''}"
+    add = lambda s, cost, edit, said="''": f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 'r': {s}.r || {said}}}"
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+    kept = "chr(10) || role || ':' || text"
+    keep = lambda s, letter: f"CASE WHEN stays AND initial = '{letter}' THEN {add(s, 'late', 'K', kept)} ELSE {big} END"
+    name = lambda s, role: f"CASE WHEN stays THEN {add(s, '2 + late', 'R', f"chr(10) || '{role}:' || text")} ELSE {big} END"
+    put = lambda s, role: add(s, 2, "I", f"chr(10) || '{role}:'")
+    return f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+keyed AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(k) + 1), lambda i:
+      [CAST(ascii(k[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295::BIGINT) % 20 AS kind FROM raw),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM keyed, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+numbered AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial, i,
+    CASE WHEN NOT regexp_matches(text, '[^ \x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ \x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    coalesce(lag(left(role, 1)) OVER w || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+ruled AS MATERIALIZED (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late FROM numbered),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS s0, {big} AS s1, {{'c': 2::BIGINT, 'a': 'I', 'r': chr(10) || 'user:'}} AS s2,
+    {{'c': 4::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM ids
+  UNION ALL
+  SELECT conv_id, i, b0, b1, {least('c2', put('b3', 'user'))}, {least('b3', put('c2', 'assistant'))} FROM (
+    SELECT *, {least('b2', put('b0', 'user'), put('b1', 'user'))} AS c2 FROM (
+      SELECT dp.conv_id, dp.i + 1 AS i, {add('s0', 3, 'D')} AS b0, {least(add('s1', 3, 'D'), keep('s0', 's'))} AS b1,
+        {least(add('s2', 3, 'D'), keep('s0', 'u'), keep('s1', 'u'), keep('s3', 'u'), name('s0', 'user'), name('s1', 'user'), name('s3', 'user'))} AS b2,
+        {least(add('s3', 3, 'D'), keep('s2', 'a'), name('s2', 'assistant'))} AS b3
+      FROM dp JOIN ruled ON dp.conv_id IS NOT DISTINCT FROM ruled.conv_id AND ruled.i = dp.i + 1))),
+ends AS (SELECT conv_id, {least('max_by(s0, i)', 'max_by(s3, i)')} AS best FROM dp GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM ruled GROUP BY conv_id)
+SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(substr(best.r, 2)) AS repaired_sha256
+FROM ends LEFT JOIN counts ON ends.conv_id IS NOT DISTINCT FROM counts.conv_id
+"""
+
+
 # ---- 13: centroid clustering --------------------------------------------------------
 
 CENTROIDS, ROUNDS = 40, 5
@@ -198,6 +275,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_shard": (op9_shard, None),
     "op10_fingerprint": (op10_fingerprint, None),
+    "op12_repair": (op12_repair, op12_sql()),
     "op13_centroids": (op13_centroids, op13_sql()),
 }
 
