@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from voltide.llm import bpe, centroids, chat, decontam, fingerprint, jaccard_join, langid, quality, repair, sharding, suffix_dedup, warc
+from voltide.llm import bpe, centroids, chat, decontam, fingerprint, jaccard_join, langid, quality, repair, secret_scan, sharding, suffix_dedup, warc
 from voltide.llm.common import read
 from voltide.session import scratch_path
 
@@ -155,6 +155,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# ---- 11: secret scan ----------------------------------------------------------------
+
+
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    said = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"),
+                        said(F.col("spans")).alias("spans"), count("guess"))
+
+
 # ---- 12: conversation repair --------------------------------------------------------
 
 
@@ -275,6 +287,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_shard": (op9_shard, None),
     "op10_fingerprint": (op10_fingerprint, None),
+    "op11_secrets": (op11_secrets, None),
     "op12_repair": (op12_repair, op12_sql()),
     "op13_centroids": (op13_centroids, op13_sql()),
 }
