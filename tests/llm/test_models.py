@@ -1,10 +1,13 @@
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import DOCS
 from voltide.llm import fingerprint, langid, quality, sharding
 from tests.llm import brute
+from voltide.llm.common import mix
 
 
 def made(rng, letters, n):
@@ -40,6 +43,16 @@ def test_quality_odd_cases(spark, docs, no_docs):
     assert quality.resample(docs, none).columns == docs.columns
 
 
+def test_quality_keeps_clashing_columns(spark, docs):
+    names = ["log_weight", "_noise", "rest", "own", "good", "noise", "key_bits", "sort_key"]
+    odd = docs.select("doc_id", "text", *[F.concat(F.lit(f"{n} "), F.coalesce("source", F.lit("?"))).alias(n) for n in names])
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    kept = quality.resample(odd, labels)
+    assert kept.columns == odd.columns
+    whole = [tuple(r) for r in odd.collect()]
+    assert 0 < kept.count() <= len(whole) and all(tuple(r) in whole for r in kept.collect())
+
+
 def test_ordered_bits():
     x = np.array([-np.inf, -1e300, -1.5, -0.0, 1e-300, 2.0, np.inf])
     assert (np.diff(quality.ordered_bits(x).astype(object)) > 0).all()
@@ -138,3 +151,54 @@ def test_edited_and_next(docs, no_docs):
     assert fingerprint.compare_with_next(no_docs).count() == 0
     assert fingerprint.compare_with_next(docs, 3).count() == docs.count()        # repeated rows and a null id
     assert fingerprint.fingerprints(docs).count() == docs.count()
+
+
+def test_quality_equals_plain_counts(spark):
+    """Weights, border, k and the drawn rows against plain counting."""
+    rng = random.Random(9)
+    rows = [(i, None if i == 5 else "" if i == 6 else made(rng, "aeioulmnrst" if i % 3 else "XQZ#%&ae", rng.randint(1, 60)), "en", "s", 1) for i in range(150)]
+    labels = [(i, int(i % 3 > 0), int(i % 10 == 1)) for i in range(0, 150, 2)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    model, thin, drawn = quality.choose(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    n = quality.BUCKETS + 2
+
+    def bag(text):
+        data = (text or "").encode()
+        found = Counter()
+        for at in range(len(data) - 2):
+            code = np.uint64(int.from_bytes(data[at:at + 3], "big") + 3)
+            found[int(mix(np.array([code]))[0] % np.uint64(quality.BUCKETS))] += 1
+        words = (text or "").split()
+        for a, b in zip(words, words[1:]):
+            found[quality.BUCKETS + (a.lower() == b.lower())] += 1
+        return found
+
+    bags = {i: bag(t) for i, t, *_ in rows}
+    good = {i for i, q, tox in labels if q and not tox}
+    raw, target = np.zeros(n), np.zeros(n)
+    for i, b in bags.items():
+        for k, c in b.items():
+            raw[k] += c
+            target[k] += c * (i in good)
+    share = (raw + 1) / (raw.sum() + n)
+    ratio = np.log((target + quality.BACKING * share) / (target.sum() + quality.BACKING) / share)
+    assert np.allclose(model.log_ratio, ratio)
+    weight = {i: 200 * sum(c * ratio[k] for k, c in b.items()) / (sum(b.values()) + 200) for i, b in bags.items()}
+    got = {r["doc_id"]: r for r in thin.selectExpr("*", f"{drawn} AS kept").collect()}
+    assert all(abs(got[i]["log_weight"] - w) < 1e-6 for i, w in weight.items())
+    def held_out(i):
+        less = target.copy()
+        for b, c in bags[i].items():
+            less[b] -= c * (i in good)
+        other = np.log((less + quality.BACKING * share) / (less.sum() + quality.BACKING) / share)
+        return 200 * sum(c * other[b] for b, c in bags[i].items()) / (sum(bags[i].values()) + 200)
+
+    assert all(abs(got[i]["held_out_weight"] - held_out(i)) < 1e-6 for i in weight)
+    marked = sorted((got[i]["held_out_weight"], q) for i, q, _ in labels)
+    n_bad, n_good = sum(not q for _, q in marked), sum(q for _, q in marked)
+    gain = [sum(not q for _, q in marked[:j + 1]) / n_bad + sum(q for _, q in marked[j + 1:]) / n_good for j in range(len(marked))]
+    at = int(np.argmax(gain))
+    edge = (marked[at][0] + marked[at + 1][0]) / 2
+    k = sum(r["log_weight"] > edge for r in got.values())
+    best = sorted(got, key=lambda i: -got[i]["sort_key"])[:k]
+    assert {i for i, r in got.items() if r["kept"]} == set(best)

@@ -10,7 +10,8 @@ keeping the k largest.
 * The log ratio grows with a text's length, so its mean per feature counts, drawn towards 0 for short texts as if
   they had ``prior`` more features of ratio 0, and multiplied by ``sharpness`` so that the noise decides only near
   the border.
-* k is how many documents have a weight above the border that best parts the sample's good and bad labels.
+* k is how many documents have a weight above the border that best parts the sample's good and bad labels. For this,
+  a document that the target model counts is weighed by the model without it.
 * The k-th largest key is found by counting passes over a thin table of keys (see ``sharding``), never by
   gathering or sorting keys in one place.
 
@@ -36,7 +37,9 @@ from voltide.llm.sharding import HIGH, LOW, find_splitters
 from voltide.session import cut_lineage
 
 BUCKETS = 1 << 15
-SCORES = "log_weight double, sort_key double, key_bits bigint"
+BACKING = 1000
+SCORES = ("log_weight", "held_out_weight", "sort_key", "key_bits")
+SCORES_DDL = "log_weight double, held_out_weight double, sort_key double, key_bits bigint"
 
 
 def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +58,25 @@ def ordered_bits(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    log_ratio: np.ndarray       # per bucket
-    sample: DataFrame           # doc_id, good: the bounded label sample
+    target: np.ndarray          # counts per bucket
+    raw: np.ndarray
+    sample: DataFrame           # doc_id, good, toxic: the bounded label sample
+
+    @property
+    def share(self) -> np.ndarray:
+        return (self.raw + 1) / (self.raw.sum() + len(self.raw))
+
+    @property
+    def log_ratio(self) -> np.ndarray:
+        """Per bucket the log of its share in the target over its share in the raw corpus.
+
+        The raw shares have one count more each. The target's counts are filled up with ``BACKING`` features dealt out
+        like the raw corpus, so a bucket that the target says nothing about has a ratio near 1 whatever the totals are.
+        """
+        if not self.target.sum():
+            return np.zeros(len(self.raw))
+        share = self.share
+        return np.log((self.target + BACKING * share) / (self.target.sum() + BACKING) / share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model:
@@ -69,36 +89,48 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model:
         "text", F.expr("IF(good AND NOT toxic, 'target', 'rest')").alias("label"))
     table = count_table(class_counts(named, features, BUCKETS + 2), BUCKETS + 2)
     target = table.get("target", np.zeros(BUCKETS + 2, np.int64))
-    if not target.sum():
-        return Model(np.zeros(BUCKETS + 2), sample)
-    raw = target + table.get("rest", 0)
-    smooth = lambda c: np.log((c + 1) / (c.sum() + len(c)))
-    return Model(smooth(target) - smooth(raw), sample)
+    return Model(target, target + table.get("rest", 0), sample)
 
 
 def score(docs: DataFrame, model: Model, sharpness: float = 200.0, prior: float = 200.0, seed: int = 7) -> DataFrame:
-    """``docs`` plus log_weight, sort_key (with Gumbel noise drawn by doc_id) and key_bits (integers in its order)."""
-    weights = model.log_ratio[:, None]
-    noisy = docs.withColumn("_noise", F.xxhash64("doc_id", F.lit(seed)))
-    own = docs.columns
+    """doc_id, text, rest (a struct of the other columns, null if there are none), and per row
+
+    log_weight, held_out_weight (the same without the row's own share in the target, where it has one), sort_key
+    (with Gumbel noise drawn by doc_id) and key_bits (integers in its order).
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("boolean")
+    boxed = docs.select("doc_id", "text", rest.alias("rest")).join(F.broadcast(model.sample), "doc_id", "left").select(
+        "doc_id", "text", "rest", F.expr("coalesce(good AND NOT toxic, false)").alias("own"), F.xxhash64("doc_id", F.lit(seed)).alias("noise"))
+    weights, target, share = model.log_ratio[:, None], model.target, model.share
+
+    def without(bucket: np.ndarray) -> float:
+        used, n = np.unique(bucket, return_counts=True)
+        left = target.sum() - len(bucket)
+        return float(n @ np.log((target[used] - n + BACKING * share[used]) / (left + BACKING) / share[used])) if left else 0.0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, ends in text_slices(batches):
             row, bucket = features(data, ends)
             sums, n = row_sums(weights, row, bucket, part.num_rows)
-            log_weight = sharpness * sums[:, 0] / (n + prior)
-            noise = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
+            mean = sharpness / (n + prior)
+            log_weight = sums[:, 0] * mean
+            held = log_weight.copy()
+            for i in np.flatnonzero(part.column(3).to_numpy(zero_copy_only=False)):
+                a, b = np.searchsorted(row, [i, i + 1])
+                held[i] = without(bucket[a:b]) * mean[i]
+            noise = part.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
             u = ((noise >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
             key = log_weight - np.log(-np.log(u))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(log_weight), pa.array(key), pa.array(ordered_bits(key))],
-                                             [*own, "log_weight", "sort_key", "key_bits"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, (log_weight, held, key, ordered_bits(key)))],
+                                             ["doc_id", "text", "rest", *SCORES])
 
-    return noisy.mapInArrow(rows, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(SCORES).fields]))
+    return boxed.mapInArrow(rows, T.StructType([*boxed.schema.fields[:3], *T.StructType.fromDDL(SCORES_DDL).fields]))
 
 
 def border(scored: DataFrame, sample: DataFrame) -> float:
-    """The log weight that best parts good from bad labels of the sample; minus infinity if either is missing."""
-    seen = scored.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("log_weight").alias("w"), F.first("good").alias("good")).collect()
+    """The weight that best parts good from bad labels of the sample, each held out; minus infinity if either is missing."""
+    seen = scored.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("held_out_weight").alias("w"), F.first("good").alias("good")).collect()
     w, good = np.array([r["w"] for r in seen]), np.array([r["good"] for r in seen], bool)
     if not good.any() or good.all():
         return float("-inf")
@@ -118,7 +150,7 @@ def kept(key_bits: str, splitter: tuple[int, int]) -> str:
 def choose(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> tuple[Model, DataFrame, str]:
     """(model, thin table of doc_id and scores, the condition on key_bits under which a row is drawn)."""
     model = fit(docs, labels, sample_rows)
-    thin = cut_lineage(score(docs.select("doc_id", "text"), model).drop("text"))
+    thin = cut_lineage(score(docs.select("doc_id", "text"), model).drop("text", "rest"))
     edge = border(thin, model.sample)
     total, k = thin.agg(F.count("*"), F.coalesce(F.sum((F.col("log_weight") > edge).cast("bigint")), F.lit(0))).first()
     if k >= total:
@@ -130,4 +162,5 @@ def choose(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> tup
 def resample(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their columns. The decision is one key, so no text is shuffled."""
     model, _, condition = choose(docs, labels, sample_rows)
-    return score(docs, model).where(condition).select(*docs.columns)
+    drawn = score(docs, model).where(condition)
+    return drawn.select(*[c if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
