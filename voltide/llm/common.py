@@ -36,6 +36,17 @@ def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column has it, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text",
                 limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with at most ``limit`` bytes of text (one row at least).

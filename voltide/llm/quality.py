@@ -100,9 +100,9 @@ def score(docs: DataFrame, model: Model, sharpness: float = 200.0, prior: float
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("boolean")
-    boxed = docs.select("doc_id", "text", rest.alias("rest")).join(F.broadcast(model.sample), "doc_id", "left").select(
-        "doc_id", "text", "rest", F.expr("coalesce(good AND NOT toxic, false)").alias("own"), F.xxhash64("doc_id", F.lit(seed)).alias("noise"))
+    boxed = docs.select("doc_id", "text", rest.alias("rest"), F.xxhash64("doc_id", F.lit(seed)).alias("noise"))
     weights, target, share = model.log_ratio[:, None], model.target, model.share
+    counted = {r["doc_id"] for r in model.sample.where("good AND NOT toxic").select("doc_id").collect()}    # at most the sample
 
     def without(bucket: np.ndarray) -> float:
         used, n = np.unique(bucket, return_counts=True)
@@ -116,10 +116,10 @@ def score(docs: DataFrame, model: Model, sharpness: float = 200.0, prior: float
             mean = sharpness / (n + prior)
             log_weight = sums[:, 0] * mean
             held = log_weight.copy()
-            for i in np.flatnonzero(part.column(3).to_numpy(zero_copy_only=False)):
+            for i in (i for i, d in enumerate(part.column(0).to_pylist()) if d in counted):
                 a, b = np.searchsorted(row, [i, i + 1])
                 held[i] = without(bucket[a:b]) * mean[i]
-            noise = part.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
+            noise = part.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
             u = ((noise >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
             key = log_weight - np.log(-np.log(u))
             yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, (log_weight, held, key, ordered_bits(key)))],
