@@ -153,28 +153,3 @@ def test_early_stopping_decides_in_the_registered_booster(spark):
     assert len(fitted) == len(trees) + 4 < 200
     held = rows.where(vc.mixed_hash(folds.row_key(), params.seed) % 1000 < 100)
     assert boost._score(boost.add_margin(held, trees, 0.9, "margin")) == pytest.approx(best, rel=1e-9)
-    found = boost.search(rows, trials=2, inner_folds=2, rounds=200, patience=2).collect()
-    assert [r.trial for r in found] == [0, 1] and all(0 < r.mean_qlike < 10 for r in found)
-
-
-def test_registered_search_and_importance_cover_every_fold(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    stock, time, fold = (x.ravel() for x in np.meshgrid(np.arange(3), np.arange(20), np.arange(5)))
-    pdf = pd.DataFrame({"stock_id": stock, "time_id": time, "fold": fold, "split": np.where(time % 5 == fold, "test", "train"),
-                        "har_pred_log_rv": -6.0, "har_residual": rng.normal(size=len(stock)) * 0.2})
-    pdf = pd.concat([pdf, pd.DataFrame({f: rng.normal(size=len(stock)) for f in boost.FINAL_FEATURES})], axis=1)
-    parts = pdf[["fold", "time_id", "split"]].drop_duplicates().assign(inner=lambda d: np.where(d.split == "test", -1, d.time_id % 5))
-    monkeypatch.setattr(model_queries, "boost_table", lambda *_: spark.createDataFrame(pdf))
-    monkeypatch.setattr(model_queries, "assignment", lambda *_: spark.createDataFrame(parts))
-    asked = []
-
-    def one_row(rows, *args, **kwargs):
-        asked.append((args, kwargs))
-        return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.min("fold").alias("least"), F.max("fold").alias("most"))
-
-    monkeypatch.setattr(boost, "fit_booster", lambda rows, params: ([], 0.0))
-    monkeypatch.setattr(boost, "search", one_row)
-    monkeypatch.setattr(boost, "permutation_importance", one_row)
-    assert sorted(model_queries._search(spark, "").collect()) == [(k, 48, k, k) for k in range(5)]
-    assert {args for args, _ in asked} == {(10, 5, 5000)} and all(kw["patience"] == 50 for _, kw in asked)
-    assert sorted(model_queries._importance(spark, "").collect()) == [(k, 12, k, k) for k in range(5)]

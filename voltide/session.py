@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,23 +47,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _written: dict[str, list[str]] = {}
-_scope: list[str] = ["session"]
+_drops = 0
+_scope: ContextVar[str] = ContextVar("scope", default="session")
 
 
 @contextlib.contextmanager
 def scratch_scope(name: str) -> Iterator[None]:
     """Tables written inside are noted under ``name``, so that they can be dropped apart from others."""
-    _scope.append(name)
+    before = _scope.set(name)
     try:
         yield
     finally:
-        _scope.pop()
+        _scope.reset(before)
 
 
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder, noted under the current scope for :func:`drop_tables`."""
     path = f"{shared_folder(spark).rstrip('/')}/voltide-{uuid.uuid4().hex}"
-    _written.setdefault(_scope[-1], []).append(path)
+    _written.setdefault(_scope.get(), []).append(path)
     return path
 
 
@@ -91,8 +93,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tables_dropped() -> int:
+    """How often :func:`drop_tables` ran; what is kept between queries and reads a scratch table holds only as long as this stays."""
+    return _drops
+
+
 def drop_tables(spark: SparkSession, scope: str | None = None) -> int:
     """Delete the scratch tables of one scope, or of all; returns how many. Frames that read them end with it."""
+    global _drops
+    _drops += 1
     paths = _written.pop(scope, []) if scope else [p for ps in _written.values() for p in ps]
     if not scope:
         _written.clear()

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltide.functions.losses import log_metrics
-from voltide.operators import boost, folds, garch, har, har_models, ols, rv, scoring, wide
+from voltide.operators import boost, folds, garch, har, har_models, lockstep, ols, rv, scoring, wide
 from voltide.operators.folds import with_folds
-from voltide.session import cut_lineage
+from voltide.session import cut_lineage, tables_dropped
 from voltide.workload.base import (
     DENSE_SQL, HAR_SQL, RAW_SQL, Entry, book_raw, book_sec, folds_sql, har_rows, hash_sql, ols_solve_sql,
     ols_sum_names, ols_sums_sql, qlike_sql, r, returns_sql, rounded, rs, rv_sql, sqpct_sql, with_sql,
@@ -315,14 +313,6 @@ def _bias_extremes(spark, sf_dir):
 
 
 def _bias_scored(spark, sf_dir):
-    """Stock effects learned on the training snapshots of fold 0, applied to its test snapshots."""
-    rows = with_folds(log_pred(spark, sf_dir), assignment(spark, sf_dir)).where("fold = 0").drop("fold", "inner")
-    bias = scoring.stock_bias(rows.where("split = 'train'"))
-    return rounded(scoring.apply_stock_bias(rows.where("split = 'test'"), bias).agg(
-        F.count(F.lit(1)).alias("n_rows"), *log_metrics("pred_log_rv", "true_log_rv", 1e-8)))
-
-
-def _bias_scored_folds(spark, sf_dir):
     """Stock effects learned on the training snapshots of each fold, applied to its test snapshots."""
     rows = with_folds(log_pred(spark, sf_dir), assignment(spark, sf_dir)).drop("inner")
     bias = scoring.stock_bias(rows.where("split = 'train'"), ["fold"])
@@ -353,77 +343,36 @@ one AS (SELECT sqrt(sum(sq) / sum(n)) AS rmspe, sum(ql) / sum(n) AS qlike,
 SELECT {rs('rmspe', 'qlike', 'spread')}, {r('3e-1 * rmspe + 5e-1 * qlike + 2e-1 * spread', 'loss')} FROM one""")
 
 
-def _bucket_har(spark, sf_dir):
-    tensor = with_folds(rv.bucket_tensor(book_sec(spark, sf_dir)), assignment(spark, sf_dir)).where("fold = 0").drop("fold", "inner")
-    return rounded(scoring.bucket_har_forecast(tensor))
-
-
 _LB = [f"lb_{b}" for b in range(8)]
-BUCKET_HAR_SQL = TENSOR_SQL + folds_sql("dense") + f""",
-tw AS (SELECT f.stock_id, f.time_id, fo.split, CAST(CAST(t.y AS FLOAT) AS DOUBLE) AS true_log_rv,
-  {', '.join(f'ln(greatest(CAST(max(CASE WHEN f.bucket = {b} THEN CAST(f.rv AS FLOAT) END) AS DOUBLE), 1e-4)) AS lb_{b}' for b in range(8))}
-  FROM feats f JOIN target t ON t.stock_id = f.stock_id AND t.time_id = f.time_id JOIN folds fo ON fo.time_id = f.time_id AND fo.fold = 0
-  GROUP BY f.stock_id, f.time_id, fo.split, t.y),
-sums AS (SELECT {ols_sums_sql([], _LB, 'true_log_rv')} FROM tw WHERE split = 'train'),
-{ols_solve_sql('sums', [], 8, 'coef')},
-bh AS (SELECT stock_id, time_id, split, true_log_rv, b_0 + {' + '.join(f'b_{b + 1} * lb_{b}' for b in range(8))} AS pred_log_rv FROM tw, coef)"""
-
-
-def _blend_rows(spark, sf_dir):
-    tensor = with_folds(rv.bucket_tensor(book_sec(spark, sf_dir)), assignment(spark, sf_dir)).where("fold = 0").drop("fold", "inner")
-    har_side = scoring.bucket_har_forecast(tensor).select("stock_id", "time_id", "split", "true_log_rv", F.col("pred_log_rv").alias("a"))
-    other = log_pred(spark, sf_dir).select("stock_id", "time_id", F.col("pred_log_rv").alias("b"))
-    return har_side.join(other, ["stock_id", "time_id"]).where("split = 'train'")
-
-
-def _blend_grid(spark, sf_dir):
-    return rounded(scoring.blend_weight_grid(_blend_rows(spark, sf_dir), "a", "b"))
-
-
-def _blend_best(spark, sf_dir):
-    rows = _blend_rows(spark, sf_dir)
-    grid = scoring.best_blend(scoring.blend_weight_grid(rows, "a", "b"))
-    return rounded(grid.select(F.lit("qlike_grid").alias("method"), "weight").unionByName(
-        scoring.least_squares_blend(rows, "a", "b").select(F.lit("least_squares").alias("method"), "weight")))
 
 
-BLEND_SQL = BUCKET_HAR_SQL + returns_sql("dense", "ret2") + f""",
-cl AS (SELECT *, CASE WHEN lr IS NULL THEN 0 ELSE greatest(least(lr, 5e-2), -5e-2) END AS c FROM ret2),
-sc AS (SELECT stock_id, time_id, ln(greatest({rv_sql(None, 480, 'c')} * sqrt(120 / 480e0), 1e-12) + 1e-12) AS b FROM cl GROUP BY stock_id, time_id),
-bl AS (SELECT true_log_rv AS t, pred_log_rv AS a, b FROM bh JOIN sc USING (stock_id, time_id) WHERE split = 'train'),
-grid AS (SELECT w, avg(greatest(exp(t), 1e-8) / greatest(exp(m), 1e-8) - ln(greatest(exp(t), 1e-8) / greatest(exp(m), 1e-8)) - 1) AS q FROM (
-  SELECT s / 100e0 AS w, t, greatest(least(s / 100e0 * a + (1 - s / 100e0) * b, 5), -20) AS m FROM bl, (SELECT unnest(range(101)) AS s) g) z GROUP BY w)"""
-
-
-# ---- the same in every fold -----------------------------------------------------------
-
 def _bucket_har_rows(spark, sf_dir):
     tensor = with_folds(rv.bucket_tensor(book_sec(spark, sf_dir)), assignment(spark, sf_dir)).drop("inner")
     return scoring.bucket_har_forecast(tensor, keys=["fold"])
 
 
-def _bucket_har_folds(spark, sf_dir):
+def _bucket_har(spark, sf_dir):
     return rounded(_bucket_har_rows(spark, sf_dir))
 
 
-def _blend_fold_rows(spark, sf_dir):
+def _blend_rows(spark, sf_dir):
     har_side = _bucket_har_rows(spark, sf_dir).where("split = 'train'").withColumnRenamed("pred_log_rv", "a")
     other = log_pred(spark, sf_dir).select("stock_id", "time_id", F.col("pred_log_rv").alias("b"))
     return har_side.join(other, ["stock_id", "time_id"])
 
 
-def _blend_grid_folds(spark, sf_dir):
-    return rounded(scoring.blend_weight_grid(_blend_fold_rows(spark, sf_dir), "a", "b", keys=["fold"]))
+def _blend_grid(spark, sf_dir):
+    return rounded(scoring.blend_weight_grid(_blend_rows(spark, sf_dir), "a", "b", keys=["fold"]))
 
 
-def _blend_best_folds(spark, sf_dir):
-    rows = cut_lineage(_blend_fold_rows(spark, sf_dir))
+def _blend_best(spark, sf_dir):
+    rows = cut_lineage(_blend_rows(spark, sf_dir))
     grid = scoring.best_blend(scoring.blend_weight_grid(rows, "a", "b", keys=["fold"]), ["fold"])
     return rounded(grid.select("fold", F.lit("qlike_grid").alias("method"), "weight").unionByName(
         scoring.least_squares_blend(rows, "a", "b", keys=["fold"]).select("fold", F.lit("least_squares").alias("method"), "weight")))
 
 
-BUCKET_HAR_FOLDS_SQL = TENSOR_SQL + folds_sql("dense") + f""",
+BUCKET_HAR_SQL = TENSOR_SQL + folds_sql("dense") + f""",
 tw AS (SELECT fo.fold, f.stock_id, f.time_id, fo.split, CAST(CAST(t.y AS FLOAT) AS DOUBLE) AS true_log_rv,
   {', '.join(f'ln(greatest(CAST(max(CASE WHEN f.bucket = {b} THEN CAST(f.rv AS FLOAT) END) AS DOUBLE), 1e-4)) AS lb_{b}' for b in range(8))}
   FROM feats f JOIN target t ON t.stock_id = f.stock_id AND t.time_id = f.time_id JOIN folds fo ON fo.time_id = f.time_id
@@ -432,7 +381,7 @@ sums AS (SELECT {ols_sums_sql(['fold'], _LB, 'true_log_rv')} FROM tw WHERE split
 {ols_solve_sql('sums', ['fold'], 8, 'coef')},
 bh AS (SELECT fold, stock_id, time_id, split, true_log_rv, b_0 + {' + '.join(f'b_{b + 1} * lb_{b}' for b in range(8))} AS pred_log_rv FROM tw JOIN coef USING (fold))"""
 
-BLEND_FOLDS_SQL = BUCKET_HAR_FOLDS_SQL + returns_sql("dense", "ret2") + f""",
+BLEND_SQL = BUCKET_HAR_SQL + returns_sql("dense", "ret2") + f""",
 cl AS (SELECT *, CASE WHEN lr IS NULL THEN 0 ELSE greatest(least(lr, 5e-2), -5e-2) END AS c FROM ret2),
 sc AS (SELECT stock_id, time_id, ln(greatest({rv_sql(None, 480, 'c')} * sqrt(120 / 480e0), 1e-12) + 1e-12) AS b FROM cl GROUP BY stock_id, time_id),
 bl AS (SELECT fold, true_log_rv AS t, pred_log_rv AS a, b FROM bh JOIN sc USING (stock_id, time_id) WHERE split = 'train'),
@@ -442,9 +391,11 @@ grid AS (SELECT fold, w, avg(greatest(exp(t), 1e-8) / greatest(exp(m), 1e-8) - l
 
 # ---- booster ----------------------------------------------------------------------
 
-# Rounds and patience as in the reference: early stopping decides.
-BOOST = boost.BoostParams(rounds=5000, learning_rate=0.3, max_depth=3, min_rows=10, patience=50, checkpoint_every=25)
-FOLDS, TRIALS = range(5), 10
+# Rounds and patience as published: early stopping decides. Tree settings come from the search, in every fold.
+BOOST = boost.BoostParams(rounds=5000, patience=50, max_bins=64)
+FOLDS, TRIALS, PARTS = range(5), 10, 5
+FEATURES = boost.FINAL_FEATURES
+_tuned: dict[tuple[str, str, int], tuple] = {}
 
 
 def boost_table(spark, sf_dir):
@@ -452,14 +403,27 @@ def boost_table(spark, sf_dir):
     return boost.training_table(cut_lineage(features), stock_oof(spark, sf_dir))
 
 
-def _all_folds(parts):
-    """One frame of the folds' frames."""
-    return reduce(DataFrame.unionByName, parts)
+def tuned(spark, sf_dir):
+    """(training table with inner parts, result rows of the search, best settings by fold, bin edges), made once per application and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, tables_dropped())
+    if key not in _tuned:
+        parts = assignment(spark, sf_dir).where("split = 'train'").select("fold", "time_id", "inner")
+        table = cut_lineage(boost_table(spark, sf_dir).join(parts, ["fold", "time_id"], "left"))
+        train = table.where("split = 'train'")
+        edges = lockstep.bin_edges(train, FEATURES, BOOST.max_bins)
+        _tuned[key] = table, *lockstep.search(train, FOLDS, FEATURES, BOOST, TRIALS, PARTS, edges), edges
+    return _tuned[key]
+
+
+def _boosters(spark, sf_dir):
+    table, _, best, edges = tuned(spark, sf_dir)
+    models, _ = lockstep.fit_folds(table.where("split = 'train'"), best, FEATURES, edges)
+    return table.where("split = 'test'"), models, edges
 
 
 def _boost_all(spark, sf_dir):
-    table = cut_lineage(boost_table(spark, sf_dir))
-    return _all_folds(boost.at_once(spark, lambda k: boost.boost_fold(table, k, BOOST)[0], FOLDS))
+    test, models, edges = _boosters(spark, sf_dir)
+    return boost.with_predictions(lockstep.forecast(test.drop("split", "inner"), models, FEATURES, edges))
 
 
 def _boost_predictions(spark, sf_dir):
@@ -471,27 +435,11 @@ def _boost_report(spark, sf_dir):
 
 
 def _importance(spark, sf_dir):
-    table = cut_lineage(boost_table(spark, sf_dir))
-
-    def one(k):
-        rows = boost.assemble(table.where(F.col("fold") == k))
-        trees, _ = boost.fit_booster(rows.where("split = 'train'"), BOOST)
-        ranked = boost.permutation_importance(rows.where("split = 'test'"), trees, BOOST.learning_rate)
-        return ranked.select(F.lit(k).alias("fold"), *ranked.columns)
-
-    return rounded(_all_folds(boost.at_once(spark, one, FOLDS)))
+    return rounded(lockstep.importance(*_boosters(spark, sf_dir)[:2], FEATURES, tuned(spark, sf_dir)[3]))
 
 
 def _search(spark, sf_dir):
-    parts = assignment(spark, sf_dir).where("split = 'train'").select("fold", "time_id", "inner")
-    table = cut_lineage(boost_table(spark, sf_dir).where("split = 'train'").join(parts, ["fold", "time_id"]))
-
-    def one(k):
-        found = boost.search(boost.assemble(table.where(F.col("fold") == k)), TRIALS, 5, BOOST.rounds,
-                             patience=BOOST.patience, checkpoint_every=BOOST.checkpoint_every)
-        return found.select(F.lit(k).alias("fold"), *found.columns)
-
-    return rounded(_all_folds([one(k) for k in FOLDS]))
+    return rounded(tuned(spark, sf_dir)[1])
 
 
 QUERIES: dict[str, Entry] = {
@@ -535,23 +483,15 @@ SELECT {r('avg(b)', 'mean')}, {r('stddev_pop(b)', 'std')}, {r('min(b)', 'min')},
     "stock_effect_extremes": (_bias_extremes, with_sql(GARCH_SQL, f""", b AS (SELECT stock_id, avg(true_log_rv - pred_log_rv) AS b FROM gl GROUP BY stock_id)
 SELECT * FROM (SELECT stock_id, {r('b', 'stock_bias')}, 'largest' AS side FROM b ORDER BY b DESC, stock_id LIMIT 3) x
 UNION ALL SELECT * FROM (SELECT stock_id, {r('b', 'stock_bias')}, 'smallest' FROM b ORDER BY b, stock_id LIMIT 3) y""")),
-    "stock_effect_scored": (_bias_scored, with_sql(GARCH_SQL + folds_sql("dense"), f""", z AS (SELECT g.*, f.split FROM gl g JOIN folds f ON f.time_id = g.time_id AND f.fold = 0),
-b AS (SELECT stock_id, avg(true_log_rv - pred_log_rv) AS b FROM z WHERE split = 'train' GROUP BY stock_id),
-y AS (SELECT true_log_rv, pred_log_rv + coalesce(b, 0) AS p FROM z LEFT JOIN b USING (stock_id) WHERE split = 'test')
-SELECT count(*) AS n_rows, {_m7('p', eps='1e-8')} FROM y""")),
     "spread_weights": (_spread_weights, with_sql(SPREAD_SQL, f"SELECT stock_id, {r('spread_weight')} FROM spread_w")),
     "combined_loss": (_combined, COMBINED_SQL),
-    "bucket_har_forecast": (_bucket_har, with_sql(BUCKET_HAR_SQL, f"SELECT stock_id, time_id, split, {rs('true_log_rv', 'pred_log_rv')} FROM bh")),
-    "blend_weight_grid": (_blend_grid, with_sql(BLEND_SQL, f"SELECT {r('w', 'weight')}, {r('q', 'qlike')} FROM grid")),
-    "blend_best_weight": (_blend_best, with_sql(BLEND_SQL, f"""SELECT 'qlike_grid' AS method, {r('(SELECT w FROM grid ORDER BY q, w LIMIT 1)', 'weight')}
-UNION ALL SELECT 'least_squares', {r('(SELECT least(greatest(sum((t - b) * (a - b)) / sum(power(a - b, 2)), 0), 1) FROM bl)', 'weight')}""")),
-    "stock_effect_scored_folds": (_bias_scored_folds, with_sql(GARCH_SQL + folds_sql("dense"), f""", z AS (SELECT g.*, f.fold, f.split FROM gl g JOIN folds f USING (time_id)),
+    "stock_effect_scored": (_bias_scored, with_sql(GARCH_SQL + folds_sql("dense"), f""", z AS (SELECT g.*, f.fold, f.split FROM gl g JOIN folds f USING (time_id)),
 b AS (SELECT fold, stock_id, avg(true_log_rv - pred_log_rv) AS b FROM z WHERE split = 'train' GROUP BY fold, stock_id),
 y AS (SELECT fold, true_log_rv, pred_log_rv + coalesce(b, 0) AS p FROM z LEFT JOIN b USING (fold, stock_id) WHERE split = 'test')
 SELECT fold, count(*) AS n_rows, {_m7('p', eps='1e-8')} FROM y GROUP BY fold""")),
-    "bucket_har_forecast_folds": (_bucket_har_folds, with_sql(BUCKET_HAR_FOLDS_SQL, f"SELECT fold, stock_id, time_id, split, {rs('true_log_rv', 'pred_log_rv')} FROM bh")),
-    "blend_weight_grid_folds": (_blend_grid_folds, with_sql(BLEND_FOLDS_SQL, f"SELECT fold, {r('w', 'weight')}, {r('q', 'qlike')} FROM grid")),
-    "blend_best_weight_folds": (_blend_best_folds, with_sql(BLEND_FOLDS_SQL, f"""SELECT fold, 'qlike_grid' AS method, {r('min_by(w, (q, w))', 'weight')} FROM grid GROUP BY fold
+    "bucket_har_forecast": (_bucket_har, with_sql(BUCKET_HAR_SQL, f"SELECT fold, stock_id, time_id, split, {rs('true_log_rv', 'pred_log_rv')} FROM bh")),
+    "blend_weight_grid": (_blend_grid, with_sql(BLEND_SQL, f"SELECT fold, {r('w', 'weight')}, {r('q', 'qlike')} FROM grid")),
+    "blend_best_weight": (_blend_best, with_sql(BLEND_SQL, f"""SELECT fold, 'qlike_grid' AS method, {r('min_by(w, (q, w))', 'weight')} FROM grid GROUP BY fold
 UNION ALL SELECT fold, 'least_squares', {r('least(greatest(sum((t - b) * (a - b)) / sum(power(a - b, 2)), 0), 1)', 'weight')} FROM bl GROUP BY fold""")),
     "boost_predictions": (_boost_predictions, None),
     "boost_report": (_boost_report, None),
