@@ -1,9 +1,11 @@
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
+from voltide.functions import distributions as dist
 from voltide.operators import compare, dashboard, eda, interaction
 
 PRED = "model string, stock_id int, time_id int, fold int, actual_rv double, predicted_rv double"
@@ -150,3 +152,38 @@ def test_dashboard_master_and_ranking(spark):
     assert dashboard.regime_counts(m).groupBy("time_id").count().where("count <> 4").count() == 0
     hits = dashboard.hit_rates(dashboard.stack(m, ["x"])).first().hit
     assert hits == 100.0
+
+
+@pytest.mark.parametrize("duck", [False, True])
+def test_tail_probabilities_as_sql(spark, duck):
+    """Series and continued fractions in the JVM (and in the other engine) against plain Python."""
+    def run(text, columns, rows):
+        if not duck:
+            return [r[0] for r in spark.createDataFrame(rows, columns).selectExpr(text).collect()]
+        kinds = ", ".join(f"CAST(${i + 1} AS {'BIGINT' if isinstance(v, int) else 'DOUBLE'}) AS {c}" for i, (c, v) in enumerate(zip(columns, rows[0])))
+        return [duckdb.execute(f"SELECT {text} FROM (SELECT {kinds})", list(row)).fetchall()[0][0] for row in rows]
+
+    normal = [(z,) for z in (-8.0, -3.1, -1.0, 0.0, 0.5, 1.96, 4.2, 4.3, 9.0, 30.0)]
+    assert run(dist.upper_normal_text("z", duck), ["z"], normal) == pytest.approx([dist.normal_sf(z) for z, in normal], rel=1e-9)
+    assert run(dist.two_sided_normal_text("z", duck), ["z"], normal) == pytest.approx([2 * dist.normal_sf(abs(z)) for z, in normal], rel=1e-9)
+    f = [(0.5, 3.0, 7.0), (4.96, 1.0, 10.0), (2.0, 3.0, 237.0), (0.0, 3.0, 20.0), (30.0, 3.0, 5000.0), (1.1, 3.0, 2e5)]
+    assert run(dist.upper_f_text("f", "d1", "d2", duck), ["f", "d1", "d2"], f) == pytest.approx([dist.f_sf(*x) for x in f], rel=1e-8)
+    binomial = [(0, 200, 0.05), (10, 200, 0.05), (30, 200, 0.05), (200, 200, 0.05), (3, 56, 0.05)]
+    assert run(dist.upper_binomial_text("k", "n", "p", duck), ["k", "n", "p"], binomial) == pytest.approx([dist.binomial_sf(*x) for x in binomial], rel=1e-8)
+    if not duck:
+        t = [(0.975, 4.0), (0.975, 1.0), (0.9, 30.0), (0.025, 9.0), (0.5, 3.0)]
+        assert run(dist.t_quantile_text("p", "df"), ["p", "df"], t) == pytest.approx([dist.t_quantile(*x) for x in t], rel=1e-8, abs=1e-12)
+        assert run(dist.upper_normal_text("z"), "z double", [(None,)]) == [None]
+
+
+@pytest.mark.parametrize("holes", [0, 1, 3])
+def test_null_means_equal_all_pairs(spark, holes):
+    rng = np.random.default_rng(holes)
+    rows = [(t, s, float(rng.normal() + 0.3 * t)) for t in range(25) for s in range(6) if s >= holes or rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "time_id int, stock_id int, log_rv double").repartition(3)
+    got = {r.perm: r.m for r in interaction.null_means(df, 5).collect()}
+    moved = interaction.permuted_panels(df, 5).toPandas()
+    assert set(got) == set(range(5))
+    for perm, mine in moved.groupby("perm"):
+        wide = mine.pivot(index="time_id", columns="stock_id", values="log_rv").corr(min_periods=2).to_numpy()
+        assert got[perm] == pytest.approx(np.nanmean(wide[np.triu_indices(6, 1)]), rel=1e-9)

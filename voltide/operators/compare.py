@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltide.functions.columns import stars
-from voltide.functions.distributions import t_quantile_of, two_sided_normal_p
+from voltide.functions.distributions import t_quantile_text, two_sided_normal_text
 from voltide.functions.losses import LOSSES, qlike, rmspe
 from voltide.plans.ordered import with_global_index
 
@@ -91,7 +91,7 @@ def confidence_intervals(fold_metrics: DataFrame, confidence: float = 0.95) -> D
     stats = long.groupBy("model", "metric").agg(
         F.count("v").alias("n_folds"), F.avg("v").alias("mean"),
         F.try_divide(F.stddev_samp("v"), F.sqrt(F.count("v"))).alias("se"))
-    t = t_quantile_of(F.lit((1 + confidence) / 2), (F.col("n_folds") - 1).cast("double"))
+    t = F.expr(t_quantile_text(f"{(1 + confidence) / 2!r}D", "(n_folds - 1D)"))
     return stats.select("model", "metric", "n_folds", "mean", (F.col("mean") - t * F.col("se")).alias("ci_low"),
                         (F.col("mean") + t * F.col("se")).alias("ci_high"))
 
@@ -167,7 +167,7 @@ def diebold_mariano(aligned: DataFrame, models: Sequence[str], block_rows: int =
     variance = (F.col("gamma0") + 2 * F.coalesce(F.col("weighted"), F.lit(0.0))) / F.lit(float(n))
     stat = F.col("mean") / F.sqrt(F.greatest(variance, F.lit(VARIANCE_FLOOR)))
     scored = labels.join(weighted, "series", "left").select("metric", "model_1", "model_2", stat.alias("dm_stat"))
-    scored = scored.withColumn("p_value", two_sided_normal_p("dm_stat"))
+    scored = scored.withColumn("p_value", F.expr(two_sided_normal_text("dm_stat")))
     return scored.withColumn("sig", stars("p_value"))
 
 

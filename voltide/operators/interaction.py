@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from voltide.constants import LIVE_LOG_RV
 from voltide.functions.aggregates import corr0
 from voltide.functions.columns import mixed_hash
-from voltide.functions.distributions import upper_binomial_p, upper_f_p, upper_normal_p
+from voltide.functions.distributions import upper_binomial_text, upper_f_text, upper_normal_text
 from voltide.operators import ols
 from voltide.plans.ordered import average_ranks, exact_quantiles, lag_by_index, with_global_index
 from voltide.plans.pairs import pair_correlations
+from voltide.session import cut_lineage
 
 MIN_PAIR_ROWS = 10
 
@@ -148,7 +149,7 @@ def granger(panel: DataFrame, pairs: DataFrame, lags: int = 3, parity: bool = Tr
     f_stat = F.try_divide((F.col("rss_r") - F.col("rss_u")) / q, F.col("rss_u") / df2)
     tested = rss_u.join(rss_r, "pair").where((F.col("n") >= 10) & (F.col("rss_u") > 0))
     scored = tested.select("pair", "n", f_stat.alias("f_stat"), q.alias("q"), df2.alias("df2"))
-    return F.broadcast(pairs).join(scored, "pair").withColumn("p_value", upper_f_p("f_stat", "q", "df2"))
+    return F.broadcast(pairs).join(scored, "pair").withColumn("p_value", F.expr(upper_f_text("f_stat", "q", "df2")))
 
 
 def granger_summary(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -159,7 +160,7 @@ def granger_summary(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     median = exact_quantiles(rows, ["_k"], "p_value", {"median_pvalue": 0.5})
     out = stats.join(F.broadcast(median), "_k").drop("_k").withColumns({
         "expected_by_chance": F.lit(alpha),
-        "binom_pvalue": upper_binomial_p(F.col("n_significant").cast("double"), F.col("n_pairs_tested").cast("double"), F.lit(alpha)),
+        "binom_pvalue": F.expr(upper_binomial_text("n_significant", "n_pairs_tested", f"{alpha!r}D")),
     })
     return out.withColumn("interaction_significant", F.col("binom_pvalue") < 0.05)
 
@@ -175,25 +176,50 @@ def permuted_panels(panel: DataFrame, n_perm: int = 100) -> DataFrame:
     snap = panel.groupBy("time_id").agg(F.sort_array(F.collect_list(F.struct("stock_id", "log_rv"))).alias("cells"))
     perms = snap.select("time_id", "cells", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
     shuffled = F.sort_array(F.transform("cells", lambda c: F.struct(
-        F.xxhash64(F.col("perm"), F.col("time_id"), c["stock_id"]).alias("h"), c["log_rv"].alias("v"))))
+        mixed_hash(F.col("perm") * F.lit(1000003).cast("bigint") * 1009 + F.col("time_id") * F.lit(1009).cast("bigint") + c["stock_id"], 5).alias("h"),
+        c["stock_id"].alias("s"), c["log_rv"].alias("v"))))
     cell = F.explode(F.arrays_zip(F.transform("cells", lambda c: c["stock_id"]).alias("s"),
                                   F.transform(shuffled, lambda c: c["v"]).alias("v")))
     return perms.select("perm", "time_id", cell.alias("c")).select(
         "perm", "time_id", F.col("c.s").alias("stock_id"), F.col("c.v").alias("log_rv"))
 
 
+def null_means(panel: DataFrame, n_perm: int = 100) -> DataFrame:
+    """``perm, m``: the mean pair correlation of each permuted panel.
+
+    Holes stay where they are under a permutation. For the S stocks that are present everywhere, the correlations of all
+    pairs add up to the sum over snapshots of (sum of z)^2 - sum of z^2, over 2 n, with z the values standardised by
+    stock: no pairs are made. Only pairs with a gappy stock are multiplied out.
+    """
+    shuffled = cut_lineage(permuted_panels(panel, n_perm))
+    one = F.lit(0).alias("_k")
+    size = panel.select(one, "time_id").groupBy("_k").agg(F.count_distinct("time_id").alias("n"))
+    per_stock = panel.select(one, "stock_id").groupBy("_k", "stock_id").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(size), "_k")
+    present = per_stock.select("stock_id", "n", (F.col("c") == F.col("n")).alias("whole"))
+    moments = shuffled.groupBy("perm", "stock_id").agg(F.avg("log_rv").alias("mean"), F.stddev_pop("log_rv").alias("sd")).join(
+        F.broadcast(present.where("whole")), "stock_id").where("sd > 0")
+    z = (F.col("log_rv") - F.col("mean")) / F.col("sd")
+    rows = shuffled.join(moments, ["perm", "stock_id"]).groupBy("perm", "time_id").agg(
+        F.sum(z).alias("s"), F.sum(z * z).alias("q"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    whole = rows.groupBy("perm").agg((F.sum(F.col("s") * F.col("s") - F.col("q")) / (2 * F.first("n"))).alias("total"),
+                                     (F.max("k") * (F.max("k") - 1) / 2).alias("pairs"))
+    gappy = [r["stock_id"] for r in present.where("NOT whole").select("stock_id").collect()]     # at most the stock universe
+    if gappy:
+        mixed = pair_correlations(_as_pairs_input(shuffled, "perm"), extra=["perm"], touching=gappy).where("corr IS NOT NULL")
+        whole = whole.unionByName(mixed.groupBy("perm").agg(F.sum("corr").alias("total"), F.count(F.lit(1)).cast("double").alias("pairs")))
+    return whole.groupBy("perm").agg((F.sum("total") / F.sum("pairs")).alias("m"))
+
+
 def permutation_test(panel: DataFrame, n_perm: int = 100, share: float = 0.5) -> DataFrame:
     """Mean pair correlation against its distribution under within-snapshot shuffles."""
     good = well_covered(panel, share)
     real = pair_correlations(_as_pairs_input(good)).groupBy(F.lit(0).alias("_k")).agg(F.avg("corr").alias("real_mean_corr"))
-    null = pair_correlations(_as_pairs_input(permuted_panels(good, n_perm), "perm"), extra=["perm"])
-    per_perm = null.groupBy("perm").agg(F.avg("corr").alias("m"))
-    dist = per_perm.groupBy(F.lit(0).alias("_k")).agg(
+    dist = null_means(good, n_perm).groupBy(F.lit(0).alias("_k")).agg(
         F.avg("m").alias("null_mean_corr"), F.stddev_pop("m").alias("null_std_corr"), F.count(F.lit(1)).alias("n_permutations"))
     out = real.join(F.broadcast(dist), "_k").drop("_k")
     out = out.withColumn("excess_corr", F.col("real_mean_corr") - F.col("null_mean_corr"))
     out = out.withColumn("z_score", F.col("excess_corr") / (F.col("null_std_corr") + 1e-10))
-    out = out.withColumn("p_value", upper_normal_p("z_score"))
+    out = out.withColumn("p_value", F.expr(upper_normal_text("z_score")))
     return out.withColumn("spatial_significant", F.col("p_value") < 0.05)
 
 

@@ -22,7 +22,7 @@ SLICE_SNAPSHOTS = 4096
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
-def _block_products(extra: Sequence[str]):
+def _block_products(extra: Sequence[str], touching: Sequence[int] | None = None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         times, t = np.unique(pdf["t"].to_numpy(), return_inverse=True)
         is_left = pdf["left"].to_numpy()
@@ -40,6 +40,8 @@ def _block_products(extra: Sequence[str]):
         rj, y, my = dense(~is_left)
         sums = (mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y)
         keep = (li[:, None] < rj[None, :]) & (sums[0] > 0)
+        if touching is not None:
+            keep &= np.isin(li, touching)[:, None] | np.isin(rj, touching)[None, :]
         i, j = np.nonzero(keep)
         out = {name: [pdf[name].iloc[0]] * len(i) for name in extra}
         out |= {"stock_a": li[i], "stock_b": rj[j]}
@@ -48,8 +50,9 @@ def _block_products(extra: Sequence[str]):
     return run
 
 
-def pair_sums(left: DataFrame, right: DataFrame, extra: Sequence[str] = (), n_slices: int | None = None) -> DataFrame:
-    """Sums over rows with both sides present for every stock pair a < b.
+def pair_sums(left: DataFrame, right: DataFrame, extra: Sequence[str] = (), n_slices: int | None = None,
+              touching: Sequence[int] | None = None) -> DataFrame:
+    """Sums over rows with both sides present for every stock pair a < b, or those with a stock of ``touching``.
 
     Both inputs have columns ``*extra, t, sid, v`` with (extra, t, sid) unique.
     """
@@ -75,14 +78,14 @@ def pair_sums(left: DataFrame, right: DataFrame, extra: Sequence[str] = (), n_sl
     types = dict(rows.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in extra] + ["stock_a int", "stock_b int"]
                        + [f"{s} double" for s in _SUMS])
-    partial = rows.groupBy(*extra, "_bi", "_bj", "_slice").applyInPandas(_block_products(extra), schema)
+    partial = rows.groupBy(*extra, "_bi", "_bj", "_slice").applyInPandas(_block_products(extra, touching), schema)
     return partial.groupBy(*extra, "stock_a", "stock_b").agg(*[F.sum(s).alias(s) for s in _SUMS])
 
 
 def pair_correlations(left: DataFrame, right: DataFrame | None = None, extra: Sequence[str] = (),
-                      min_rows: int = 2) -> DataFrame:
+                      min_rows: int = 2, touching: Sequence[int] | None = None) -> DataFrame:
     """``*extra, stock_a, stock_b, n, corr`` for every pair with at least ``min_rows`` rows."""
-    sums = pair_sums(left, left if right is None else right, extra)
+    sums = pair_sums(left, left if right is None else right, extra, touching=touching)
     return sums.where(F.col("n") >= min_rows).select(
         *extra, "stock_a", "stock_b", F.col("n").cast("bigint").alias("n"),
         corr_from_sums("n", "sx", "sy", "sxx", "syy", "sxy").alias("corr"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voltide.functions.distributions import two_sided_normal_text, upper_binomial_text, upper_f_text, upper_normal_text
+from voltide.functions.losses import qlike_text as qlike_term
 from voltide.operators import compare, eda, interaction, rv
 from voltide.operators.book import with_book_columns
 from voltide.session import cut_lineage
@@ -69,20 +71,37 @@ def _dm_stats(spark, sf_dir):
     return rounded(_dm(spark, sf_dir).select("metric", "model_1", "model_2", "dm_stat"))
 
 
-def _dm_sql() -> str:
+def _dm_ctes() -> str:
     rows, loss = [], {"RMSPE": sqpct_sql, "QLIKE": qlike_sql}
     for metric, fn in loss.items():
         for a, b in (("naive", "scaled"), ("naive", "ols"), ("scaled", "ols")):
             rows.append(f"SELECT '{metric}' AS metric, '{a}' AS model_1, '{b}' AS model_2, i, "
                         f"{fn('actual_rv', f'pred_{a}')} - {fn('actual_rv', f'pred_{b}')} AS d FROM ix")
-    return with_sql(PRED_SQL, f""",
+    return f""",
 ix AS (SELECT *, row_number() OVER (ORDER BY fold, stock_id, time_id) AS i FROM aligned),
 d AS ({' UNION ALL '.join(rows)}),
 st AS (SELECT metric, model_1, model_2, count(*) AS n, avg(d) AS m, var_samp(d) AS g0, floor(power(count(*), 1e0 / 3)) AS h FROM d GROUP BY ALL),
 lg AS (SELECT a.metric, a.model_1, a.model_2, b.i - a.i AS k, covar_samp(a.d, b.d) AS c FROM d a JOIN d b
   ON a.metric = b.metric AND a.model_1 = b.model_1 AND a.model_2 = b.model_2 AND b.i > a.i AND b.i - a.i <= (SELECT max(h) FROM st) GROUP BY ALL),
-w AS (SELECT l.metric, l.model_1, l.model_2, sum((1 - l.k / (s.h + 1)) * l.c) AS w FROM lg l JOIN st s USING (metric, model_1, model_2) GROUP BY ALL)
-SELECT metric, model_1, model_2, {r('m / sqrt(greatest((g0 + 2 * w) / n, 1e-10))', 'dm_stat')} FROM st JOIN w USING (metric, model_1, model_2)""")
+w AS (SELECT l.metric, l.model_1, l.model_2, sum((1 - l.k / (s.h + 1)) * l.c) AS w FROM lg l JOIN st s USING (metric, model_1, model_2) GROUP BY ALL),
+dm AS (SELECT metric, model_1, model_2, m / sqrt(greatest((g0 + 2 * w) / n, 1e-10)) AS z FROM st JOIN w USING (metric, model_1, model_2)),
+tests AS (SELECT *, {two_sided_normal_text('z', duck=True)} AS p_value FROM dm),
+{_bh_ctes('metric')}"""
+
+
+def _stars_sql(p: str) -> str:
+    return f"CASE WHEN {p} < 1e-3 THEN '***' WHEN {p} < 1e-2 THEN '**' WHEN {p} < 5e-2 THEN '*' ELSE '' END"
+
+
+def _bh_ctes(family: str) -> str:
+    """Step-up correction of tests.p_value within each family, as corrected.pc."""
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {family} ORDER BY p_value) AS k, count(*) OVER (PARTITION BY {family}) AS m FROM tests),
+corrected AS (SELECT *, least(1, min(p_value * m / k) OVER (PARTITION BY {family} ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS pc FROM ranked)"""
+
+
+def _dm_row_sql(where: str = "true") -> str:
+    return with_sql(PRED_SQL + _dm_ctes(), f"""SELECT metric, model_1, model_2, {r('z', 'dm_stat')}, {r('p_value')}, {_stars_sql('p_value')} AS sig,
+  {r('pc', 'p_value_corrected')}, pc <= 5e-2 AS rejected_corrected, {_stars_sql('pc')} AS sig_corrected FROM corrected WHERE {where}""")
 
 
 def _dm_full(spark, sf_dir):
@@ -95,17 +114,20 @@ def _dm_lookup(spark, sf_dir):
 
 
 def _bh(spark, sf_dir):
-    """Correction of one p-like value per (fold, model): families are folds."""
-    long = compare.long_predictions(aligned(spark, sf_dir), MODELS)
-    tests = long.groupBy("fold", "model").agg(F.avg(F.abs(F.col("actual_rv") - F.col("predicted_rv"))).alias("p_value"))
-    return rounded(compare.benjamini_hochberg(tests, "fold"))
+    """Correction of the p values of each model's QLIKE against the naive one's, by fold: families are folds."""
+    rows = aligned(spark, sf_dir)
+    loss = lambda m: qlike_term("actual_rv", f"pred_{m}", 1e-10)
+    d = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.expr(f"{loss('naive')} - {loss(m)}").alias("d")) for m in MODELS if m != "naive"]))
+    z = F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("d")))
+    tests = rows.select("fold", d.alias("t")).select("fold", "t.*").groupBy("fold", "model").agg(z.alias("z"))
+    return rounded(compare.benjamini_hochberg(tests.withColumn("p_value", F.expr(two_sided_normal_text("z"))), "fold"))
 
 
-BH_SQL = with_sql(PRED_SQL, f""", t AS (SELECT fold, model, avg(abs(actual_rv - predicted_rv)) AS p_value FROM long_aligned GROUP BY fold, model),
-k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY p_value) AS k, count(*) OVER (PARTITION BY fold) AS m FROM t),
-c AS (SELECT *, least(1, min(p_value * m / k) OVER (PARTITION BY fold ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS pc FROM k)
-SELECT fold, model, {r('p_value')}, {r('pc', 'p_value_corrected')}, pc <= 5e-2 AS rejected_corrected,
-  CASE WHEN pc < 1e-3 THEN '***' WHEN pc < 1e-2 THEN '**' WHEN pc < 5e-2 THEN '*' ELSE '' END AS sig_corrected FROM c""")
+BH_SQL = with_sql(PRED_SQL, f""", d AS ({' UNION ALL '.join(f"SELECT fold, '{m}' AS model, {qlike_sql('actual_rv', 'pred_naive')} - {qlike_sql('actual_rv', f'pred_{m}')} AS d FROM aligned" for m in ('scaled', 'ols'))}),
+zs AS (SELECT fold, model, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS z FROM d GROUP BY fold, model),
+tests AS (SELECT *, {two_sided_normal_text('z', duck=True)} AS p_value FROM zs),
+{_bh_ctes('fold')}
+SELECT fold, model, {rs('z', 'p_value')}, {r('pc', 'p_value_corrected')}, pc <= 5e-2 AS rejected_corrected, {_stars_sql('pc')} AS sig_corrected FROM corrected""")
 
 
 # ---- co-movement ------------------------------------------------------------------
@@ -174,14 +196,14 @@ def _granger(spark, sf_dir):
 
 
 def _granger_stats(spark, sf_dir):
-    return rounded(_granger(spark, sf_dir).select("pair", "cause", "effect", "n", "f_stat"))
+    return rounded(_granger(spark, sf_dir).select("pair", "cause", "effect", "n", "f_stat", "p_value"))
 
 
 def _granger_summary(spark, sf_dir):
     return rounded(interaction.granger_summary(_granger(spark, sf_dir)))
 
 
-GRANGER_SQL = with_sql(PANEL_SQL, f""",
+GRANGER_CTE = f""",
 sl AS (SELECT list(stock_id ORDER BY stock_id) AS s FROM (SELECT DISTINCT stock_id FROM panel) q),
 dr AS (SELECT i AS pair, s[CAST({hash_sql('(i * 7919 + 13)', 42)} % len(s) AS INTEGER) + 1] AS cause,
   s[CAST({hash_sql('(i * 6271 + 101)', 43)} % len(s) AS INTEGER) + 1] AS effect FROM (SELECT unnest(range(600)) AS i) g, sl),
@@ -192,9 +214,25 @@ lg AS (SELECT a.pair, a.y, b.y AS y1, b.x AS x1 FROM bo a JOIN bo b ON a.pair =
 su AS (SELECT {ols_sums_sql(['pair'], ['y1', 'x1'], 'y')} FROM lg GROUP BY pair),
 sr AS (SELECT {ols_sums_sql(['pair'], ['y1'], 'y')} FROM lg GROUP BY pair),
 {ols_solve_sql('su', ['pair'], 2, 'u')},
-{ols_solve_sql('sr', ['pair'], 1, 'w')}
-SELECT p.pair, p.cause, p.effect, u.n, {r('((w.rss - u.rss) / 3e0) / (u.rss / (u.n - 3))', 'f_stat')}
-FROM pr p JOIN u USING (pair) JOIN w USING (pair) WHERE u.n >= 10 AND u.rss > 0""")
+{ols_solve_sql('sr', ['pair'], 1, 'w')},
+gr AS (SELECT p.pair, p.cause, p.effect, u.n, ((w.rss - u.rss) / 3e0) / (u.rss / (u.n - 3)) AS f_stat, u.n - 3e0 AS df2
+  FROM pr p JOIN u USING (pair) JOIN w USING (pair) WHERE u.n >= 10 AND u.rss > 0),
+gp AS (SELECT *, {upper_f_text('f_stat', '3e0', 'df2', duck=True)} AS p_value FROM gr),
+gs AS (SELECT count(*) AS n_pairs_tested, count(CASE WHEN p_value < 5e-2 THEN 1 END) AS n_significant, avg(CASE WHEN p_value < 5e-2 THEN 1e0 ELSE 0 END) AS pct_significant,
+  avg(p_value) AS mean_pvalue, quantile_cont(p_value, 0.5) AS median_pvalue, 5e-2 AS expected_by_chance FROM gp WHERE p_value IS NOT NULL),
+gb AS (SELECT *, {upper_binomial_text('n_significant', 'n_pairs_tested', '5e-2', duck=True)} AS binom_pvalue FROM gs)"""
+GRANGER_SQL = with_sql(PANEL_SQL + GRANGER_CTE, f"SELECT pair, cause, effect, n, {rs('f_stat', 'p_value')} FROM gp")
+PERMUTED_CTE = f""",
+drawn AS (SELECT p, time_id, stock_id, log_rv, row_number() OVER (PARTITION BY p, time_id ORDER BY stock_id) AS place,
+  row_number() OVER (PARTITION BY p, time_id ORDER BY {hash_sql('(p * 1000003 * 1009 + time_id * 1009 + stock_id)', 5)}, stock_id) AS draw
+  FROM cov, (SELECT unnest(range(100)) AS p) g),
+moved AS (SELECT a.p, a.time_id, a.stock_id, b.log_rv FROM drawn a JOIN drawn b ON a.p = b.p AND a.time_id = b.time_id AND a.place = b.draw),
+nullp AS (SELECT a.p, {corr_sql('a.log_rv', 'b.log_rv')} AS corr FROM moved a JOIN moved b ON a.p = b.p AND a.time_id = b.time_id AND a.stock_id < b.stock_id
+  GROUP BY a.p, a.stock_id, b.stock_id HAVING count(*) >= 2),
+nullm AS (SELECT p, avg(corr) AS m FROM nullp GROUP BY p),
+pm AS (SELECT (SELECT avg(corr) FROM realp) AS real_mean_corr, avg(m) AS null_mean_corr, stddev_pop(m) AS null_std_corr, count(*) AS n_permutations FROM nullm),
+pz AS (SELECT *, real_mean_corr - null_mean_corr AS excess_corr, (real_mean_corr - null_mean_corr) / (null_std_corr + 1e-10) AS z_score FROM pm),
+pp AS (SELECT *, {upper_normal_text('z_score', duck=True)} AS p_value FROM pz)"""
 
 
 def _permutation(spark, sf_dir):
@@ -326,6 +364,16 @@ PROFILE_SQL = with_sql(DENSE_SQL + returns_sql("dense", "ret"), f"""SELECT secon
 FROM ret WHERE stock_id IN (SELECT DISTINCT stock_id FROM ret ORDER BY stock_id LIMIT 20) GROUP BY seconds_in_bucket""")
 
 
+VERDICT_SQL = with_sql(PANEL_SQL + GRANGER_CTE + covered_cte("5e-1") + pairs_cte("cov", "realp") + PERMUTED_CTE + covered_cte("7e-1").replace("cov AS", "cov7 AS")
+                       + COMPLETE_CTE.replace("cov", "cov7") + LAGGED_CTE, f""",
+v AS (SELECT (SELECT avg(corr) FROM realp) AS mean_corr, (SELECT pct_significant FROM gb) AS pct_significant, (SELECT binom_pvalue < 5e-2 FROM gb) AS interaction_significant,
+  (SELECT z_score FROM pp) AS z_score, (SELECT p_value < 5e-2 FROM pp) AS spatial_significant,
+  (SELECT avg(corr) FROM lagp WHERE corr IS NOT NULL) AS lagged_mean_corr, (SELECT avg(corr) > 5e-2 FROM lagp WHERE corr IS NOT NULL) AS predictive_value),
+n AS (SELECT *, CAST(mean_corr > 3e-1 AS INTEGER) + CAST(interaction_significant AS INTEGER) + CAST(spatial_significant AS INTEGER) + CAST(predictive_value AS INTEGER) AS n_positive FROM v)
+SELECT {rs('mean_corr', 'pct_significant', 'z_score', 'lagged_mean_corr')}, interaction_significant, spatial_significant, predictive_value, n_positive,
+  CASE WHEN n_positive >= 3 THEN 'strong' WHEN n_positive >= 2 THEN 'moderate' ELSE 'weak' END AS verdict FROM n""")
+
+
 QUERIES: dict[str, Entry] = {
     "predictions_aligned": (_aligned, with_sql(PRED_SQL, f"SELECT {KEYS}, fold, {rs('actual_rv', 'pred_naive', 'pred_scaled', 'pred_ols')} FROM aligned")),
     "actual_consistency": (_consistency, CONSISTENCY_SQL),
@@ -338,9 +386,9 @@ UNION ALL SELECT model, 'all', count(*), {r(_RM, 'rmspe')}, {r(_QL, 'qlike')} FR
 l AS (SELECT model, 'RMSPE' AS metric, a AS v FROM f UNION ALL SELECT model, 'QLIKE', b FROM f)
 SELECT model, metric, count(*) AS n_folds, {r('avg(v)', 'mean')}, {r(f'avg(v) - {_T4} * stddev_samp(v) / sqrt(count(*))', 'ci_low')},
   {r(f'avg(v) + {_T4} * stddev_samp(v) / sqrt(count(*))', 'ci_high')} FROM l GROUP BY model, metric""")),
-    "diebold_mariano_statistics": (_dm_stats, _dm_sql()),
-    "diebold_mariano_corrected": (_dm_full, None),
-    "diebold_mariano_pair": (_dm_lookup, None),
+    "diebold_mariano_statistics": (_dm_stats, with_sql(PRED_SQL + _dm_ctes(), f"SELECT metric, model_1, model_2, {r('z', 'dm_stat')} FROM dm")),
+    "diebold_mariano_corrected": (_dm_full, _dm_row_sql().replace(" FROM corrected", ", CASE WHEN z > 0 THEN model_2 ELSE model_1 END AS winner FROM corrected")),
+    "diebold_mariano_pair": (_dm_lookup, _dm_row_sql("metric = 'QLIKE' AND least(model_1, model_2) = 'naive' AND greatest(model_1, model_2) = 'ols'")),
     "benjamini_hochberg": (_bh, BH_SQL),
     "correlation_pairs": (_pairs, with_sql(PANEL_SQL + covered_cte("5e-1") + pairs_cte("cov", "pairs"), f"SELECT stock_a, stock_b, n, {r('corr')} FROM pairs")),
     "correlation_matrix": (_matrix, with_sql(PANEL_SQL + covered_cte("5e-1") + pairs_cte("cov", "pairs"), f"""SELECT stock_a, stock_b, {r('corr')} FROM pairs
@@ -356,9 +404,11 @@ b AS (SELECT avg(corr) AS lm, stddev_pop(corr) AS ls, avg(CASE WHEN abs(corr) >
 SELECT {r('sm', 'same_time_mean_corr')}, {r('ss', 'same_time_std')}, {r('lm', 'lagged_mean_corr')}, {r('ls', 'lagged_std')}, {r('sg', 'pct_lag_significant')},
   {r('lm / greatest(sm, 1e-8)', 'lag_decay_ratio')}, lm > 5e-2 AS predictive_value FROM a, b""")),
     "granger_statistics": (_granger_stats, GRANGER_SQL),
-    "granger_summary": (_granger_summary, None),
-    "permutation_test": (_permutation, None),
-    "interaction_verdict": (_verdict, None),
+    "granger_summary": (_granger_summary, with_sql(PANEL_SQL + GRANGER_CTE, f"""SELECT n_pairs_tested, n_significant, {rs('pct_significant', 'mean_pvalue', 'median_pvalue', 'expected_by_chance', 'binom_pvalue')},
+  binom_pvalue < 5e-2 AS interaction_significant FROM gb""")),
+    "permutation_test": (_permutation, with_sql(PANEL_SQL + covered_cte("5e-1") + pairs_cte("cov", "realp") + PERMUTED_CTE, f"""SELECT {rs('real_mean_corr', 'null_mean_corr', 'null_std_corr')}, n_permutations,
+  {rs('excess_corr', 'z_score', 'p_value')}, p_value < 5e-2 AS spatial_significant FROM pp""")),
+    "interaction_verdict": (_verdict, VERDICT_SQL),
     "peer_graph": (_peers, with_sql(PANEL_SQL + pairs_cte("panel", "pairs") + PEERS_CTE, f'SELECT src, dst, {r("corr")}, "rank", {r("weight")} FROM peers')),
     "peer_average": (_peer_average, with_sql(PANEL_SQL + pairs_cte("panel", "pairs") + PEERS_CTE, f"""SELECT p.time_id, e.src AS stock_id, {r('sum(p.log_rv * e.weight) / sum(e.weight)', 'peer_log_rv')}, count(*) AS n_peers
 FROM panel p JOIN peers e ON e.dst = p.stock_id GROUP BY p.time_id, e.src""")),
