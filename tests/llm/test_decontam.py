@@ -1,5 +1,8 @@
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tests.llm import brute
 from voltide.llm import decontam
 
@@ -24,6 +27,31 @@ def test_contained_items_match_brute_force(spark, docs):
     assert cleaned.columns == docs.columns and cleaned.count() == sum(n for k, n in want.items() if not k[1])
 
 
+def test_short_items_in_long_documents_are_found(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    rows, items = [], []
+    for i in range(300):
+        item = [rng.choice(words) for _ in range(1 + i % 14)]
+        text = [rng.choice(words) for _ in range(rng.randint(300, 900))]
+        at = rng.randint(0, len(text))
+        items.append((i, " ".join(item), None))
+        rows.append((i, " ".join([*text[:at], *item, *text[at:]] if len(item) >= 5 else item)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contained(docs, spark.createDataFrame(items, ITEMS)).collect()}
+    assert all((i, i) in got for i in range(300))
+
+
+def test_clashing_columns_and_rows_without_ids(spark, docs):
+    item = "one two three four five six seven eight nine ten"
+    odd = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in ("hit_id", "_hit_th", "th", "met_id", "w", "hs", "_id")]).unionByName(
+        spark.createDataFrame([(None, f"so {item} then"), (3, f"and {item} too")], "doc_id bigint, text string")
+        .select("doc_id", "text", *[F.lit(n).alias(n) for n in ("hit_id", "_hit_th", "th", "met_id", "w", "hs", "_id")]))
+    kept = decontam.clean(odd, spark.createDataFrame([(1, item, None)], ITEMS))
+    assert kept.columns == odd.columns and kept.count() == docs.count()
+    assert kept.where("hit_id = 'hit_id' AND th = 'th'").count() == docs.count()
+
+
 def test_empty_tables(spark, docs, no_docs):
     none = spark.createDataFrame([], ITEMS)
     some = spark.createDataFrame([(1, "one two three four five six", None)], ITEMS)

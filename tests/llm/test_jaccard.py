@@ -70,3 +70,23 @@ def test_components_of_a_long_path(spark):
     random.Random(1).shuffle(edges)
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert len({got[i] for i in range(1, 301)}) == 1 and got[1000] == got[1001] != got[1]
+
+
+def test_rows_without_ids_and_ids_of_two_texts(spark):
+    """One row of each group stays, whatever the ids say."""
+    rng = random.Random(3)
+    make = lambda: [f"w{rng.randint(0, 999)}" for _ in range(60)]
+    a, b, c, d = (make() for _ in range(4))
+    near = lambda x: " ".join([*x[:-1], "other"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (3, " ".join(b)), (None, " ".join(c)), (None, " ".join(c)), (None, near(c)),
+            (9, near(d)), (9, " ".join(d)), (None, " ".join(d)), (None, ""), (None, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, one_id string, th int").repartition(3)
+    kept = jaccard_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    texts = [t for _, t in got if t]
+    assert len(texts) == 4 and " ".join(a) in texts and (3, " ".join(b)) in got
+    assert sum(t in (" ".join(c), near(c)) for t in texts) == 1 and sum(t in (" ".join(d), near(d)) for t in texts) == 1
+    assert any(i == 9 and t in (" ".join(d), near(d)) for i, t in got) and len(got) == 7
+    found = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_groups(docs).collect())
+    assert found == Counter(brute.groups(rows))

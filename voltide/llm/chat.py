@@ -5,8 +5,8 @@ part becomes one placeholder, and what the placeholder stands for is recorded be
 came from, its reference and how many tokens it expands to.
 
 Turn layout: ``<|im_start|>ROLE\\nCONTENT<|im_end|>\\n``. Control strings all begin with ``<|``. Inside
-texts and roles a backslash is doubled and ``<|`` is written ``<\\|``, so no text can hold a control
-string and reading back is exact; a role's line feed is written ``\\n``.
+texts and roles a backslash is doubled and ``<|`` is written ``<\\|``, and so is a ``|`` that begins a later text part, so no
+text, and no row of texts, can hold a control string and reading back is exact; a role's line feed is written ``\\n``.
 
 Defined results: a null role, text or part list counts as empty; turns are ordered by turn number, then
 role, then content (nulls first), so ties and repeated rows have one order; a part of unknown type is an
@@ -56,7 +56,7 @@ def visit(parts: Column, patch: int = 28, audio_rate: float = 25.0, page_tokens:
     Tokens: an image has one per started ``patch`` x ``patch`` square, audio ``audio_rate`` a second
     (rounded up), a document ``page_tokens`` a page; missing sizes count as 0.
     """
-    def one(p: Column) -> Column:
+    def one(p: Column, i: Column) -> Column:
         kind = F.coalesce(p["type"], F.lit("text"))
         tokens = (
             F.when(kind == "image", F.ceil(F.coalesce(p["width"], F.lit(0)) / patch) * F.ceil(F.coalesce(p["height"], F.lit(0)) / patch))
@@ -64,8 +64,10 @@ def visit(parts: Column, patch: int = 28, audio_rate: float = 25.0, page_tokens:
             .when(kind == "document", F.coalesce(p["pages"], F.lit(0)) * page_tokens)
             .otherwise(0).cast("bigint"))
         placeholder = F.when(kind.isin(*KINDS), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.lit("<|attachment|>"))
+        # "<" at the end of one text and "|" at the start of the next would join to a control string's beginning
+        text = F.when((i > 0) & F.startswith(p["text"], F.lit("|")), F.concat(F.lit("\\"), escape(p["text"]))).otherwise(escape(p["text"]))
         return F.struct(
-            F.when(kind == "text", escape(p["text"])).otherwise(placeholder).alias("content"),
+            F.when(kind == "text", text).otherwise(placeholder).alias("content"),
             kind.alias("kind"), p["ref"].alias("ref"), tokens.alias("tokens"))
 
     return F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), one)
@@ -107,7 +109,7 @@ def format_chat(turns: DataFrame, conversation: str = "conv_id", turn: str = "tu
 
 
 def read_blocks(formatted: Column) -> Column:
-    """The turns' blocks, split at the opening control string (which no text can hold)."""
+    """The turns' blocks, split at the opening control string."""
     split = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 2_147_483_646)
     return F.transform(split, lambda b: F.concat(F.lit(OPEN), b))
 
@@ -122,6 +124,23 @@ def parse_chat(formatted: Column) -> Column:
     return F.transform(read_blocks(formatted), one)
 
 
+def parse_parts(formatted: Column) -> Column:
+    """Read turns back with their parts: array of (role, parts: array of (kind, text)).
+
+    Texts beside each other come back as one. A placeholder is a part without text, a text that says the same is a text.
+    """
+    def one(b: Column) -> Column:
+        role = F.substring_index(b, "\n", 1)
+        body = F.substr(b, F.char_length(role) + 2, F.char_length(b) - F.char_length(role) - F.lit(1 + len(CLOSE) + 1))
+        pieces = F.regexp_extract_all(body, F.lit(r"<\|\w+\|>|(?:(?!<\|)[\s\S])+"), F.lit(0))
+        parts = F.transform(pieces, lambda x: F.when(F.startswith(x, F.lit("<|")), F.struct(
+            F.regexp_extract(x, r"\w+", 0).alias("kind"), F.lit(None).cast("string").alias("text"))).otherwise(
+            F.struct(F.lit("text").alias("kind"), unescape(x).alias("text"))))
+        return F.struct(unescape_role(F.substr(role, F.lit(len(OPEN) + 1))).alias("role"), parts.alias("parts"))
+
+    return F.transform(read_blocks(formatted), one)
+
+
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the mask, unescaped, in order, joined by nothing."""
     blocks = read_blocks(formatted)

@@ -2,15 +2,16 @@
 
 Test items are short and documents may be long, so similarity of whole sets says little; what counts is
 containment, the share of an item's word shingles that a document holds. Documents are partitioned by size
-(shingles, in powers of two). In the class of up to 2**c shingles a one-permutation MinHash has 2**c bins: a
+(shingles, in powers of two). In the class of up to 2**c shingles a one-permutation MinHash has 2**(c + 3) bins: a
 document keeps the least hash of each of its bins, and so does an item, once for each class. As a document has at
-most one shingle per bin on average, a shared shingle is the least of its bin in both with a chance of 0.6 or
-more in every class; an item of m shingles that is contained by 0.8 is missed with a chance below
-0.4 ** (0.8 m). Any document and item with an equal bin are verified on the shingles themselves.
+most one shingle per eight bins on average, a shared shingle is the least of its bin in both with a chance of 0.88 or
+more in every class; an item of m shingles that is contained by 0.8 is missed with a chance below 0.12 ** (0.8 m).
+Items of up to ``SHORT`` shingles, for which that is not small, are looked up among all of a document's shingles and
+never missed. Any document and item that meet are verified on the shingles themselves.
 
 Defined results: null or empty texts and items hold nothing; fewer than five words are one shingle; repeated rows
-each get their result; ties for the fullest item go to the smallest item_id; extra columns are ignored; with no
-items every document is clean.
+each get their result; rows are told apart by doc_id and text, null ids included; ties for the fullest item go to the
+smallest item_id; extra columns are ignored by ``judge`` and kept by ``clean``; with no items every document is clean.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltide.llm.common import fresh
 from voltide.session import cut_lineage
 
 SPACE = r" \t\n\x0B\f\r"
 CLASSES = 40                     # sizes up to 2**40 shingles
+SPREAD = 3                       # 2**3 bins for each shingle
+SHORT = 10
 BROADCAST_ROWS = 1_000_000       # a frame of at most so many rows of numbers is broadcast; beyond that it is shuffled
 
 
@@ -45,13 +49,10 @@ def with_shingles(rows: DataFrame) -> DataFrame:
         WHEN w[0] <> '' THEN array(array_join(w, ' ')) ELSE CAST(array() AS ARRAY<STRING>) END)"""))
 
 
-def with_sketch(rows: DataFrame) -> DataFrame:
-    """``rows`` (with hs and size class c) plus sketch, the least hash of each of 2**c bins.
-
-    Bins are the leading bits, so they are runs of the sorted hashes.
-    """
-    return rows.withColumn("sketch", F.expr(
-        "filter(hs, (x, i) -> i = 0 OR shiftrightunsigned(x, 64 - c) <> shiftrightunsigned(hs[i - 1], 64 - c))"))
+def least_of_bin(c: str) -> str:
+    """Whether the i-th hash x of hs is the least of its bin. Bins are leading bits, so they are runs of the sorted hashes."""
+    bits = f"64 - {c} - {SPREAD}"
+    return f"(i = 0 OR shiftrightunsigned(x, {bits}) <> shiftrightunsigned(hs[i - 1], {bits}))"
 
 
 def small(frame: DataFrame) -> DataFrame:
@@ -60,26 +61,30 @@ def small(frame: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (doc_id, th, item_id) with an equal bin; th is a hash of the text, for rows that repeat a doc_id."""
+    """Distinct (doc_id, th, item_id) that meet; th is a hash of the text, for rows that repeat a doc_id."""
     sized = with_hashes(with_words(docs.selectExpr("doc_id", "xxhash64(text) AS th", "text"))).drop("text", "w")
-    sketched = with_sketch(sized.withColumn("c", F.expr("CAST(greatest(1, ceil(log2(size(hs)))) AS INT)")))
+    classed = sized.withColumn("c", F.expr("CAST(greatest(1, ceil(log2(size(hs)))) AS INT)"))
     # explode_outer: the test for empty arrays that explode() adds would be pushed down and hash the text anew per element
-    bins = sketched.select("doc_id", "th", "c", F.explode_outer("sketch").alias("least"))
-    per_class = with_hashes(with_words(items.select("item_id", "text"))).drop("text", "w").withColumn(
-        "c", F.explode_outer(F.sequence(F.lit(1), F.lit(CLASSES))))
-    item_bins = cut_lineage(with_sketch(per_class).select("item_id", "c", F.explode_outer("sketch").alias("least"))
-                            .where("least IS NOT NULL"))
-    return bins.join(small(item_bins), ["c", "least"]).select("doc_id", "th", "item_id").distinct()
+    held = classed.withColumn("e", F.explode_outer(F.expr(f"transform(hs, (x, i) -> struct(x AS h, {least_of_bin('c')} AS least))"))).selectExpr(
+        "doc_id", "th", "c", "e.h AS h", "e.least AS least")
+    asked = with_hashes(with_words(items.select("item_id", "text"))).drop("text", "w")
+    classes = f"filter(sequence(1, {CLASSES}), c -> {least_of_bin('c')})"
+    item_hashes = cut_lineage(asked.withColumn("e", F.explode_outer(F.expr(
+        f"transform(hs, (x, i) -> struct(x AS h, size(hs) <= {SHORT} AS short, {classes} AS classes))"))).selectExpr(
+        "item_id", "e.h AS h", "e.short AS short", "e.classes AS classes").where("h IS NOT NULL"))
+    met = held.join(small(item_hashes), "h").where("short OR least AND array_contains(classes, c)")
+    return met.select("doc_id", "th", "item_id").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, th, item_id, n_shared, containment) of documents that hold ``threshold`` of an item's shingles."""
     found = cut_lineage(candidates(docs, items))
     wanted = cut_lineage(found.select("doc_id", "th").distinct())
-    held = docs.selectExpr("doc_id", "xxhash64(text) AS th", "text").join(small(wanted), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    held = docs.selectExpr("doc_id", "xxhash64(text) AS th", "text").join(
+        small(wanted.withColumnsRenamed({"doc_id": "met_id", "th": "met_th"})), F.expr("doc_id <=> met_id AND th = met_th"), "left_semi").dropDuplicates(["doc_id", "th"])
     texts = with_shingles(with_words(held)).selectExpr("doc_id", "th", "s AS doc_s")
     asked = with_shingles(with_words(items.select("item_id", "text").dropDuplicates())).selectExpr("item_id", "s AS item_s")
-    pairs = texts.join(found, ["doc_id", "th"]).join(asked, "item_id")
+    pairs = texts.join(found.withColumnsRenamed({"doc_id": "met_id", "th": "met_th"}), F.expr("doc_id <=> met_id AND th = met_th")).join(asked, "item_id")
     return pairs.withColumn("n_shared", F.size(F.array_intersect("doc_s", "item_s")).cast("bigint")).withColumn(
         "containment", F.col("n_shared") / F.size("item_s")).where(F.col("containment") >= threshold).select(
         "doc_id", "th", "item_id", "n_shared", "containment")
@@ -90,11 +95,13 @@ def judge(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     hits = cut_lineage(contained(docs, items, threshold).groupBy("doc_id", "th").agg(
         F.countDistinct("item_id").alias("n_items"), F.max("containment").alias("containment"),
         F.max_by("item_id", F.struct("containment", -F.col("item_id"))).alias("item_id")))
-    return docs.selectExpr("doc_id", "xxhash64(text) AS th").join(small(hits), ["doc_id", "th"], "left").selectExpr(
+    named = hits.withColumnsRenamed({"doc_id": "met_id", "th": "met_th"})
+    return docs.selectExpr("doc_id", "xxhash64(text) AS th").join(small(named), F.expr("doc_id <=> met_id AND th = met_th"), "left").selectExpr(
         "doc_id", "n_items IS NOT NULL AS contaminated", "coalesce(n_items, 0L) AS n_items", "item_id", "coalesce(containment, 0D) AS containment")
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without contaminated rows."""
-    hits = cut_lineage(contained(docs, items, threshold).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
-    return docs.join(small(hits), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    id_, th_ = fresh(docs.columns, "hit_id", "hit_th")
+    hits = cut_lineage(contained(docs, items, threshold).select(F.col("doc_id").alias(id_), F.col("th").alias(th_)).distinct())
+    return docs.join(small(hits), F.expr(f"doc_id <=> `{id_}` AND xxhash64(text) = `{th_}`"), "left_anti")

@@ -89,7 +89,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus fingerprint."""
+    """``docs`` plus fingerprint, in place of a column of that name."""
+    docs = docs.drop("fingerprint")
     names = docs.columns
     at = names.index(text)
 

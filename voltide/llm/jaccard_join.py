@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltide.llm.common import distinct_sorted, mix, schema, shingles, signed, text_slices
+from voltide.llm.common import distinct_sorted, fresh, mix, schema, shingles, signed, text_slices
 from voltide.llm.components import components
 from voltide.llm.decontam import small
 from voltide.session import cut_lineage
@@ -138,13 +138,14 @@ def set_names(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray
 
 
 def with_set_name(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and name of the set, per row."""
+    """doc_id, th (a hash of the text), n_shingles and name of the set, per row."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, ends in text_slices(batches):
             size, name = set_names(*distinct_sorted(*shingles(data, ends)), part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(name)], ["doc_id", "n_shingles", "name"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size), pa.array(name)], ["doc_id", "th", "n_shingles", "name"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, schema("doc_id bigint, n_shingles bigint, name bigint"))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(
+        rows, schema("doc_id bigint, th bigint, n_shingles bigint, name bigint"))
 
 
 def index_rows(docs: DataFrame) -> DataFrame:
@@ -214,10 +215,13 @@ def shared_keys(index: DataFrame) -> DataFrame:
 
 # ---- verification --------------------------------------------------------------------------
 
+FIRST_ROW = "min(struct(doc_id IS NULL AS no_id, doc_id, th))"
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(name, tokens) of the wanted names, tokens as packed sorted 64-bit integers, read from one document each."""
-    ids = cut_lineage(wanted.join(classes, "name").select("name", F.col("doc_id").alias("_id")))
-    held = docs.select("doc_id", "text").join(small(ids.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    ids = cut_lineage(wanted.join(classes, "name").select(F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")))
+    held = docs.select("doc_id", "text").join(small(ids), F.expr("doc_id <=> one_id AND xxhash64(text) = one_th"), "left_semi")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, ends in text_slices(batches):
@@ -309,10 +313,10 @@ def compare_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def link_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, per row of ``docs``."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, th, n_shingles, component (of sets; null without shingles) and component_id, per row of ``docs``."""
     members = cut_lineage(with_set_name(docs))
-    classes = cut_lineage(members.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id")))
+    classes = cut_lineage(members.where("n_shingles > 0").groupBy("name").agg(F.expr(FIRST_ROW).alias("one"), F.min("doc_id").alias("doc_id")))
     live = cut_lineage(shared_keys(index_rows(docs)))
     first = cut_lineage(live.where("name <> first").selectExpr("least(name, first) AS a", "greatest(name, first) AS b").distinct())
     names = cut_lineage(live.select("name").distinct())
@@ -325,18 +329,32 @@ def link_groups(docs: DataFrame) -> DataFrame:
     named = cut_lineage(classes.join(labels.selectExpr("node AS name", "component"), "name", "left").selectExpr(
         "name", "doc_id", "coalesce(component, name) AS component"))
     least = cut_lineage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    groups = cut_lineage(named.join(least, "component").select("name", "component_id"))
-    linked = members.where("n_shingles > 0").join(groups, "name").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(members.where("n_shingles = 0").selectExpr("doc_id", "n_shingles", "doc_id AS component_id"))
+    groups = cut_lineage(named.join(least, "component").select("name", "component", "component_id"))
+    linked = members.where("n_shingles > 0").join(groups, "name").select("doc_id", "th", "n_shingles", "component", "component_id")
+    return linked.unionByName(members.where("n_shingles = 0").selectExpr(
+        "doc_id", "th", "n_shingles", "CAST(NULL AS BIGINT) AS component", "doc_id AS component_id"))
+
+
+def link_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, per row of ``docs``."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id."""
-    groups = cut_lineage(link_groups(docs))
-    gone = cut_lineage(groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = cut_lineage(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")))
-    if not repeated.limit(1).count():
+    """``docs`` with one row of each group: that of the smallest doc_id, rows without one last.
+
+    Rows are told apart by doc_id and text, so rows without an id, or with an id that another text has, count like others.
+    """
+    rows = cut_lineage(grouped(docs).where("component IS NOT NULL").drop("component_id"))
+    keep = cut_lineage(rows.groupBy("component").agg(F.expr(FIRST_ROW).alias("keep")))
+    gone = cut_lineage(rows.join(keep, "component").where("NOT (doc_id <=> keep.doc_id AND th = keep.th)").selectExpr(
+        "doc_id AS one_id", "th AS one_th").distinct())
+    id_, th_ = fresh(docs.columns, "one_id", "one_th")
+    same_row = F.expr(f"doc_id <=> `{id_}` AND xxhash64(text) = `{th_}`")
+    named = lambda f: small(f.select(F.col("one_id").alias(id_), F.col("one_th").alias(th_)))
+    kept = docs.join(named(gone), same_row, "left_anti")
+    repeated = cut_lineage(rows.groupBy("doc_id", "th").count().where("count > 1").selectExpr("doc_id AS one_id", "th AS one_th"))
+    if repeated.isEmpty():
         return kept
-    one = kept.join(small(repeated), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(small(repeated), F.col("doc_id") == F.col("_id"), "left_anti").unionByName(one)
+    one = kept.join(named(repeated), same_row, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(named(repeated), same_row, "left_anti").unionByName(one)

@@ -9,7 +9,8 @@ Probes first refine the group hash; only where one group is too heavy to fall on
 refine ids inside it. So rows of a group (equal texts) stay together unless the group itself is larger than
 the tolerance. Rows equal in both keys stay together always.
 
-Defined results: null sizes count 0, null ids sort first; an empty table has no rows; extra columns are kept.
+Defined results: null sizes count 0, null ids sort first; an empty table has no rows; extra columns are kept, but
+for columns named shard or slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltide.llm.common import schema
+from voltide.llm.common import fresh, schema
 from voltide.session import cut_lineage
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -115,10 +116,12 @@ def shard_rows(rows: DataFrame, shards: int, id_column: str = "doc_id", size: st
     ``part_rows`` rows is sorted in several parts, so no task gets a whole shard of a large corpus.
     """
     spark = rows.sparkSession
+    own = [c for c in rows.columns if c not in ("shard", "slot")]
+    h_, k_, s_, part_, row_, before_ = fresh(rows.columns, "h", "k", "s", "part", "row", "before")
     keyed = cut_lineage(rows.withColumns({
-        "_h": F.coalesce(F.col(group).cast("bigint"), F.lit(0)), "_k": F.coalesce(F.col(id_column).cast("bigint"), F.lit(LOW)),
-        "_s": F.coalesce(F.col(size).cast("bigint"), F.lit(0))}))
-    thin = keyed.selectExpr("_h AS h", "_k AS k", "_s AS size")
+        h_: F.coalesce(F.col(group).cast("bigint"), F.lit(0)), k_: F.coalesce(F.col(id_column).cast("bigint"), F.lit(LOW)),
+        s_: F.coalesce(F.col(size).cast("bigint"), F.lit(0))}))
+    thin = keyed.selectExpr(f"`{h_}` AS h", f"`{k_}` AS k", f"`{s_}` AS size")
     total, count = thin.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     parts = max(1, -(-count // (shards * part_rows)))
     cuts = shards * parts
@@ -130,20 +133,20 @@ def shard_rows(rows: DataFrame, shards: int, id_column: str = "doc_id", size: st
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b.column(b.schema.get_field_index("_h")).to_numpy(zero_copy_only=False)
-            k = b.column(b.schema.get_field_index("_k")).to_numpy(zero_copy_only=False)
+            h = b.column(b.schema.get_field_index(h_)).to_numpy(zero_copy_only=False)
+            k = b.column(b.schema.get_field_index(k_)).to_numpy(zero_copy_only=False)
             low, part = np.searchsorted(sh, h, "left"), np.searchsorted(sh, h, "right")
             tied = np.flatnonzero(low < part)
             for lo in np.unique(low[tied]):
                 mine = tied[low[tied] == lo]
                 part[mine] = lo + np.searchsorted(sk[lo:part[mine[0]]], k[mine], "right")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32))], [*b.schema.names, "_part"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32))], [*b.schema.names, part_])
 
-    placed = keyed.mapInArrow(place, T.StructType([*keyed.schema.fields, T.StructField("_part", T.IntegerType())]))
+    placed = keyed.mapInArrow(place, T.StructType([*keyed.schema.fields, T.StructField(part_, T.IntegerType())]))
     # rows before each part within its shard: one row per part, a number fixed by the shard count and part_rows
-    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    sizes = {r[part_]: r["n"] for r in placed.groupBy(part_).agg(F.count("*").alias("n")).collect()}
     before = [sum(sizes.get(q, 0) for q in range(p - p % parts, p)) for p in range(cuts)]
-    starts = spark.createDataFrame(list(enumerate(before)), "_part int, _before bigint")
-    moved = placed.withColumn("_row", F.expr("row_number() OVER (PARTITION BY _part ORDER BY _h, _k)"))
-    return moved.join(F.broadcast(starts), "_part").select(
-        *rows.columns, F.expr(f"CAST(_part DIV {parts} AS INT)").alias("shard"), (F.col("_before") + F.col("_row") - 1).alias("slot"))
+    starts = spark.createDataFrame(list(enumerate(before)), f"`{part_}` int, `{before_}` bigint")
+    moved = placed.withColumn(row_, F.expr(f"row_number() OVER (PARTITION BY `{part_}` ORDER BY `{h_}`, `{k_}`)"))
+    return moved.join(F.broadcast(starts), part_).select(
+        *[F.col(f"`{c}`") for c in own], F.expr(f"CAST(`{part_}` DIV {parts} AS INT)").alias("shard"), (F.col(before_) + F.col(row_) - 1).alias("slot"))
