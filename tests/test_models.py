@@ -83,7 +83,9 @@ def test_garch_recovers_parameters_and_falls_back(spark):
     for t in range(n):
         y[t] = np.sqrt(var) * rng.normal()
         var = omega + alpha * y[t] ** 2 + beta * var
-    total, ok = garch.fit_batch(y[None, :], np.array([n]))
+    total, ok, converged, nll = garch.fit_batch(y[None, :], np.array([n]))
+    grid = garch.fit_batch(y[None, :], np.array([n]), 0)
+    assert converged[0] and nll[0] < grid[3][0] and not grid[2][0]        # refinement never has a worse likelihood
     want, v = 0.0, var
     for _ in range(garch.HORIZON):
         want += v

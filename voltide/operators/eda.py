@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,23 +139,44 @@ def log_spaced_histogram(df: DataFrame, col: str, edges: int = 80) -> DataFrame:
         "bin", F.pow(F.lit(10.0), F.col("left_edge")).alias("left_edge"), "n")
 
 
+def capped_histogram(df: DataFrame, col: str, bins: int, share: float = 0.99) -> DataFrame:
+    """Equal-width histogram from the least value to the ``share`` quantile, to which larger values are cut."""
+    long = unpivot(df, [col]).where("v IS NOT NULL")
+    top = exact_quantiles(long, ["feature"], "v", {"hi": share})
+    bounds = long.groupBy("feature").agg(F.min("v").alias("lo")).join(F.broadcast(top), "feature")
+    return _binned(long, bounds, bins, True)
+
+
 def kernel_density(df: DataFrame, col: str, points: int = 500, factor: float = 0.1, tails: float = 0.001) -> DataFrame:
     """Gaussian density estimate on an even grid between two tail quantiles (values clipped to them).
 
-    Every value meets every grid point map-side and collapses there to one row per point, so
-    the shuffle carries ``points`` rows per task.
+    A task adds its values' heights to ``points`` running sums, an Arrow batch at a time, and emits one row per point.
     """
     long = unpivot(df, [col]).where("v IS NOT NULL")
     bounds = exact_quantiles(long, ["feature"], "v", {"lo": tails, "hi": 1.0 - tails})
     clipped = long.join(F.broadcast(bounds), "feature").select(
-        "feature", "lo", "hi", F.least(F.greatest("v", "lo"), F.col("hi")).alias("v"))
-    band = clipped.groupBy("feature").agg((F.stddev_samp("v") * F.lit(factor)).alias("h"))
-    gridded = clipped.join(F.broadcast(band), "feature").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / F.lit(points - 1.0)
-    u = F.try_divide(x - F.col("v"), F.col("h"))
-    height = F.try_divide(F.exp(-0.5 * u * u), F.col("h") * F.lit(2.5066282746310002))
-    return gridded.groupBy("point").agg(F.max(x).alias("x"), F.avg(height).alias("density"))
+        "lo", "hi", F.least(F.greatest("v", "lo"), F.col("hi")).alias("v"))
+    shape = clipped.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.stddev_samp("v").alias("sd"), F.count(F.lit(1)).alias("n")).first()
+    spark = df.sparkSession
+    if not shape["n"]:
+        return spark.createDataFrame([], "point int, x double, density double")
+    grid = shape["lo"] + (shape["hi"] - shape["lo"]) * np.arange(points) / (points - 1.0)
+    band = (shape["sd"] or 0.0) * factor
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(points)
+        for b in batches:
+            v = b.column(0).to_numpy(zero_copy_only=False)
+            for s in range(0, len(v), 1024):
+                u = (grid[:, None] - v[None, s:s + 1024]) / band
+                sums += np.exp(-0.5 * u * u).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(points, dtype=np.int32)), pa.array(sums)], ["point", "s"])
+
+    places = spark.createDataFrame([(i, float(x)) for i, x in enumerate(grid)], "point int, x double")
+    if band <= 0.0:
+        return places.withColumn("density", F.lit(None).cast("double"))
+    sums = clipped.select("v").mapInArrow(add, "point int, s double").groupBy("point").agg(F.sum("s").alias("s"))
+    return places.join(sums, "point").select("point", "x", (F.col("s") / (shape["n"] * band * 2.5066282746310002)).alias("density"))
 
 
 def second_profile(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:

@@ -64,8 +64,12 @@ def _filter(y2: np.ndarray, live: np.ndarray, s0: np.ndarray, theta: np.ndarray,
     return nll, var, score, info
 
 
-def fit_batch(y: np.ndarray, lengths: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Fit all rows of a padded batch; returns (sum of forecast variances, ok flag)."""
+def fit_batch(y: np.ndarray, lengths: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fit all rows of a padded batch; returns (sum of forecast variances, ok, converged, negative log likelihood).
+
+    The best of a grid of starts is refined by ``steps`` scoring steps that are taken only where the likelihood rises;
+    a row has converged when a step gains next to nothing or none can be found.
+    """
     n, m = y.shape
     live = np.arange(m)[None, :] < lengths[:, None]
     y2 = np.where(live, y * y, 0.0)
@@ -107,24 +111,38 @@ def fit_batch(y: np.ndarray, lengths: np.ndarray, steps: int = 25) -> tuple[np.n
     persist = alpha + beta
     longrun = omega / (1.0 - persist)
     total = HORIZON * longrun + (nxt - longrun) * (1.0 - persist ** HORIZON) / (1.0 - persist)
-    return total, np.isfinite(total) & (total > 0) & np.isfinite(best_nll)
-
-
-def _forecasts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        arrays = [np.asarray(a, dtype=float) for a in pdf["inp"]]
-        lengths = np.array([len(a) for a in arrays])
-        padded = np.zeros((len(arrays), max(lengths, default=1)))
-        for i, a in enumerate(arrays):
-            padded[i, : len(a)] = a
-        usable = np.array([a.std() >= MIN_RET_STD for a in arrays], dtype=bool)
-        pred = np.full(len(arrays), np.nan)
-        if usable.any():
-            total, ok = fit_batch(padded[usable] * SCALE, lengths[usable])
-            pred[usable] = np.where(ok, np.sqrt(np.where(ok, total, 0.0)) / SCALE, np.nan)
-        out = pdf.drop(columns="inp")
-        out["garch_rv"] = pred
-        yield out
+    return total, np.isfinite(total) & (total > 0) & np.isfinite(best_nll), settled, best_nll
+
+
+def _forecasts(steps: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            arrays = [np.asarray(a, dtype=float) for a in pdf["inp"]]
+            lengths = np.array([len(a) for a in arrays])
+            padded = np.zeros((len(arrays), max(lengths, default=1)))
+            for i, a in enumerate(arrays):
+                padded[i, : len(a)] = a
+            usable = np.array([a.std() >= MIN_RET_STD for a in arrays], dtype=bool)
+            pred, likelihood = np.full(len(arrays), np.nan), np.full(len(arrays), np.nan)
+            converged = np.zeros(len(arrays), bool)
+            if usable.any():
+                total, ok, settled, nll = fit_batch(padded[usable] * SCALE, lengths[usable], steps)
+                pred[usable] = np.where(ok, np.sqrt(np.where(ok, total, 0.0)) / SCALE, np.nan)
+                likelihood[usable], converged[usable] = nll, settled & ok
+            yield pdf.drop(columns="inp").assign(garch_rv=pred, neg_log_likelihood=likelihood, converged=converged)
+    return run
+
+
+def fitted_rows(inputs: DataFrame, steps: int = 25) -> DataFrame:
+    """``inputs`` with garch_rv (null where no fit), neg_log_likelihood and converged in place of the returns."""
+    schema = ", ".join(f"{n} {t}" for n, t in inputs.dtypes if n != "inp") + ", garch_rv double, neg_log_likelihood double, converged boolean"
+    fitted = inputs.mapInPandas(_forecasts(steps), schema)
+    return fitted.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("garch_rv", "neg_log_likelihood")})
+
+
+def grid_forecasts(book_sec: DataFrame) -> DataFrame:
+    """Forecast by the best of the start grid alone, which every engine computes alike."""
+    return fitted_rows(garch_inputs(book_sec), 0).select(*SNAPSHOT, "garch_rv", "neg_log_likelihood", "n_input_obs")
 
 
 def garch_inputs(book_sec: DataFrame) -> DataFrame:
@@ -149,9 +167,7 @@ def garch_predictions(book_sec: DataFrame, solver: bool = True) -> DataFrame:
     """
     inputs = garch_inputs(book_sec)
     if solver:
-        schema = ", ".join(f"{n} {t}" for n, t in inputs.dtypes if n != "inp") + ", garch_rv double"
-        fitted = inputs.mapInPandas(_forecasts, schema)
-        fitted = fitted.withColumn("garch_rv", F.when(~F.isnan("garch_rv"), F.col("garch_rv")))
+        fitted = fitted_rows(inputs)
     else:
         fitted = inputs.drop("inp").withColumn("garch_rv", F.lit(None).cast("double"))
     scaled = baseline_rv(F.col("rv_in_raw"), F.col("n_input_obs"), F.col("n_future_obs"))
@@ -160,7 +176,7 @@ def garch_predictions(book_sec: DataFrame, solver: bool = True) -> DataFrame:
         F.greatest("rv_fut_raw", F.lit(RV_FLOOR)).alias("true_rv"),
         F.greatest(F.coalesce(F.col("garch_rv"), scaled), F.lit(PRICE_EPS)).alias("pred_rv"),
         F.greatest("rv_in_raw", F.lit(MIN_RET_STD)).alias("_rv_in"),
-        F.col("garch_rv").isNull().cast("int").alias("fallback"), "n_input_obs", "n_future_obs",
+        F.col("garch_rv").isNull().cast("int").alias("fallback"), *(["converged"] if solver else []), "n_input_obs", "n_future_obs",
     )
     logs = base.withColumns({
         "true_log_rv": F.log(F.col("true_rv") + PRICE_EPS), "pred_log_rv": F.log(F.col("pred_rv") + PRICE_EPS),
@@ -170,14 +186,15 @@ def garch_predictions(book_sec: DataFrame, solver: bool = True) -> DataFrame:
         *SNAPSHOT, "true_rv", "pred_rv", "true_log_rv", "pred_log_rv", "anchor_log_rv",
         (F.col("true_log_rv") - F.col("anchor_log_rv")).alias("true_log_rv_diff"),
         (F.col("pred_log_rv") - F.col("anchor_log_rv")).alias("pred_log_rv_diff"),
-        "fallback", "n_input_obs", "n_future_obs",
+        "fallback", *(["converged"] if solver else []), "n_input_obs", "n_future_obs",
     )
 
 
 def fold_report(predictions: DataFrame) -> DataFrame:
-    """Per fold: metrics of the forecast and of the last-RV benchmark, and the fallback share."""
+    """Per fold: metrics of the forecast and of the last-RV benchmark, and the shares of fallbacks and, if told, of fits that did not converge."""
+    told = [(F.avg((~F.col("converged") & (F.col("fallback") == 0)).cast("double")) * 100.0).alias("unconverged_pct")] if "converged" in predictions.columns else []
     return predictions.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("rows_eval"), (F.avg("fallback") * 100.0).alias("fallback_pct"),
+        F.count(F.lit(1)).alias("rows_eval"), (F.avg("fallback") * 100.0).alias("fallback_pct"), *told,
         *log_metrics("pred_log_rv", "true_log_rv", 1e-12, "garch_"),
         *log_metrics("anchor_log_rv", "true_log_rv", 1e-12, "last_"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +67,10 @@ def drop_small_targets(model_rows: DataFrame, min_target: float = RV_FLOOR) -> D
     return model_rows.where(F.col(TARGET) > min_target)
 
 
-def target_filter_report(model_rows: DataFrame, min_target: float = RV_FLOOR) -> DataFrame:
-    """Rows kept and dropped by the target filter, from one pass."""
+def target_filter_report(model_rows: DataFrame, min_target: float = RV_FLOOR, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows kept and dropped by the target filter, of each group of ``keys``, from one pass."""
     keep = F.col(TARGET) > min_target
-    return model_rows.agg(
+    return model_rows.groupBy(*keys).agg(
         F.count(F.when(keep, 1)).alias("kept_rows"),
         F.count(F.when(~keep, 1)).alias("dropped_rows"),
     )

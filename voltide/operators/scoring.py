@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltide.constants import LIVE_TARGET_LOG_RV
@@ -31,11 +32,18 @@ def dispersion(pred: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ).withColumn("spread_ratio", F.try_divide("pred_std", "true_std"))
 
 
-def stock_extremes(per_stock: DataFrame, k: int = 5, metric: str = "rmspe_pct") -> DataFrame:
-    """Best and worst ``k`` stocks by a metric (two small top-k sorts)."""
-    best = per_stock.orderBy(F.col(metric).asc(), "stock_id").limit(k).withColumn("side", F.lit("best"))
-    worst = per_stock.orderBy(F.col(metric).desc(), "stock_id").limit(k).withColumn("side", F.lit("worst"))
-    return best.unionByName(worst)
+def stock_extremes(per_stock: DataFrame, k: int = 5, metric: str = "rmspe_pct", keys: Sequence[str] = ()) -> DataFrame:
+    """Best and worst ``k`` stocks by a metric, of each group of ``keys``.
+
+    Without keys, two small top-k sorts; with keys, a group's window holds one row per stock of the universe.
+    """
+    def side(name: str, order: Column) -> DataFrame:
+        if not keys:
+            return per_stock.orderBy(order, "stock_id").limit(k).withColumn("side", F.lit(name))
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(order, "stock_id"))
+        return per_stock.withColumn("_place", place).where(F.col("_place") <= k).drop("_place").withColumn("side", F.lit(name))
+
+    return side("best", F.col(metric).asc()).unionByName(side("worst", F.col(metric).desc()))
 
 
 def fold_aggregate(fold_metrics: DataFrame, metrics: Sequence[str]) -> DataFrame:

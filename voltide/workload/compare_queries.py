@@ -311,6 +311,29 @@ h AS (SELECT lo, hi, CAST(least(floor((v - lo) / ((hi - lo) / 79e0)), 78) AS INT
 SELECT bin, {r('power(10e0, max(lo) + (max(hi) - max(lo)) / 79e0 * bin)', 'left_edge')}, count(*) AS n FROM h GROUP BY bin""")
 
 
+def _volume_hist(spark, sf_dir):
+    volume = quotes(spark, sf_dir).select(F.log1p("total_volume").alias("v"))
+    return rounded(eda.range_histogram(volume, "v", 100).select("bin", "left_edge", "n", "density"))
+
+
+def _log_rv_hist(spark, sf_dir):
+    """Between the 0.1 % tails, 120 edges."""
+    return rounded(eda.clipped_histogram(rv_panel(spark, sf_dir), ["log_rv"], 119, 0.001).select("bin", "left_edge", "n", "density"))
+
+
+def _rv_hist(spark, sf_dir):
+    panel = rv_panel(spark, sf_dir).where("log_rv IS NOT NULL").select(F.exp("log_rv").alias("v"))
+    return rounded(eda.capped_histogram(panel, "v", 80).select("bin", "left_edge", "n", "density"))
+
+
+def _hist_sql(ctes: str, values: str, lo: str, hi: str, bins: int) -> str:
+    """Equal-width bins of ``values`` (column v) between two aggregates of it."""
+    return with_sql(ctes, f""", hv AS ({values}), hb AS (SELECT {lo} AS lo, {hi} AS hi FROM hv),
+hh AS (SELECT lo, hi, CAST(least(floor((least(greatest(v, lo), hi) - lo) / ((hi - lo) / {bins}e0)), {bins - 1}) AS INTEGER) AS bin FROM hv, hb),
+hc AS (SELECT bin, count(*) AS n, max(lo) AS lo, max(hi) AS hi FROM hh GROUP BY bin)
+SELECT bin, {r(f'lo + (hi - lo) / {bins}e0 * bin', 'left_edge')}, n, {r(f'CAST(n AS DOUBLE) / (sum(n) OVER () * ((hi - lo) / {bins}e0))', 'density')} FROM hc""")
+
+
 def _kde(spark, sf_dir):
     return rounded(eda.kernel_density(rv_panel(spark, sf_dir), "log_rv"))
 
@@ -423,6 +446,9 @@ SELECT count(*) AS n_samples, {r('avg(c)', 'mean_rows')}, {r('stddev_samp(c)', '
     "clipped_histogram": (_hist, HIST_SQL),
     "log_spaced_histogram": (_log_hist, LOG_HIST_SQL),
     "kernel_density": (_kde, KDE_SQL),
+    "volume_log_histogram": (_volume_hist, _hist_sql(QUOTES_SQL, "SELECT ln(1 + total_volume) AS v FROM q WHERE total_volume IS NOT NULL", "min(v)", "max(v)", 100)),
+    "log_rv_histogram": (_log_rv_hist, _hist_sql(EDA_RV_SQL, "SELECT log_rv AS v FROM rvl WHERE log_rv IS NOT NULL", "quantile_cont(v, 0.001)", "quantile_cont(v, 0.999)", 119)),
+    "rv_capped_histogram": (_rv_hist, _hist_sql(EDA_RV_SQL, "SELECT exp(log_rv) AS v FROM rvl WHERE log_rv IS NOT NULL", "min(v)", "quantile_cont(v, 0.99)", 80)),
     "stock_summary": (lambda s, d: rounded(eda.stock_summary(quotes(s, d))), with_sql(QUOTES_SQL, f"""SELECT stock_id, {r('avg(wap)', 'wap_mean')}, {r('stddev_samp(wap)', 'wap_std')}, {r('avg(bid_ask_spread)', 'spread_mean')},
   {r('avg(total_volume)', 'volume_mean')}, {r('avg(price_spread)', 'price_spread_mean')}, {r('avg(volume_imbalance)', 'vol_imbal_mean')}, count(*) AS n_rows,
   {r('quantile_cont(bid_ask_spread, 0.5)', 'spread_median')}, {r('avg(bid_ask_spread) / avg(wap)', 'relative_spread')} FROM q GROUP BY stock_id""")),

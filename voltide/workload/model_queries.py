@@ -229,6 +229,28 @@ def _garch(spark, sf_dir):
     return rounded(garch.garch_predictions(book_sec(spark, sf_dir)))
 
 
+def _garch_grid(spark, sf_dir):
+    return rounded(garch.grid_forecasts(book_sec(spark, sf_dir)))
+
+
+GARCH_GRID_SQL = with_sql(GARCH_SQL, f""",
+y AS (SELECT stock_id, time_id, power(c * 100e0, 2) AS y2, c, row_number() OVER (PARTITION BY stock_id, time_id ORDER BY seconds_in_bucket) AS i FROM cl WHERE seconds_in_bucket < 480),
+st AS (SELECT stock_id, time_id, count(*) AS n, greatest(avg(y2), 1e-12) AS mean2, stddev_pop(c) AS sd,
+  greatest(sum(CASE WHEN i <= 75 THEN power(94e-2, i - 1) * y2 END) / sum(CASE WHEN i <= 75 THEN power(94e-2, i - 1) END), 1e-12) AS s0 FROM y GROUP BY stock_id, time_id),
+pg AS (SELECT p * 3 + q AS ord, [5e-1, 9e-1, 98e-2][p + 1] AS persist, [5e-2, 2e-1, 5e-1][q + 1] AS share FROM (SELECT unnest(range(3)) AS p) a, (SELECT unnest(range(3)) AS q) b),
+fs AS (SELECT st.*, ord, persist, mean2 * (1 - persist) AS omega, persist * share AS alpha, persist * (1 - share) AS beta FROM st, pg WHERE sd >= 1e-8),
+steps AS (
+  SELECT stock_id, time_id, ord, 1::BIGINT AS i, least(greatest(omega + (alpha + beta) * s0, 1e-12), 1e12) AS var, 0e0 AS nll FROM fs
+  UNION ALL
+  SELECT v.stock_id, v.time_id, v.ord, v.i + 1, least(greatest(f.omega + f.alpha * y.y2 + f.beta * v.var, 1e-12), 1e12), v.nll + 5e-1 * (ln(v.var) + y.y2 / v.var)
+  FROM steps v JOIN y ON y.stock_id = v.stock_id AND y.time_id = v.time_id AND y.i = v.i JOIN fs f ON f.stock_id = v.stock_id AND f.time_id = v.time_id AND f.ord = v.ord),
+done AS (SELECT f.*, v.var, v.nll, row_number() OVER (PARTITION BY f.stock_id, f.time_id ORDER BY v.nll, f.ord) AS place
+  FROM fs f JOIN steps v ON v.stock_id = f.stock_id AND v.time_id = f.time_id AND v.ord = f.ord AND v.i = f.n + 1),
+fc AS (SELECT stock_id, time_id, nll, sqrt(120 * mean2 + (var - mean2) * (1 - power(persist, 120)) / (1 - persist)) / 100 AS rv FROM done WHERE place = 1)
+SELECT g.stock_id, g.time_id, {r('fc.rv', 'garch_rv')}, {r('fc.nll', 'neg_log_likelihood')}, n_input_obs FROM g LEFT JOIN fc ON fc.stock_id = g.stock_id AND fc.time_id = g.time_id
+WHERE n_input_obs >= 5 AND n_future_obs >= 1""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def garch_test_rows(spark, sf_dir, solver):
     pred = garch.garch_predictions(book_sec(spark, sf_dir), solver)
     return with_folds(pred, assignment(spark, sf_dir)).where("split = 'test'")
@@ -299,6 +321,25 @@ def _extremes(spark, sf_dir):
     return rounded(scoring.stock_extremes(per, 5).select("side", "stock_id", "n_rows", "rmspe_pct"))
 
 
+def _fold_dropped(spark, sf_dir):
+    """Rows that the minimum target drops, by fold and split."""
+    rows = har.add_model_columns(har.features_from_raw(book_raw(spark, sf_dir)))
+    return har.target_filter_report(with_folds(rows, assignment(spark, sf_dir)), keys=["fold", "split"])
+
+
+def _fold_tiers(spark, sf_dir):
+    return rounded(scoring.tier_report(garch_test_rows(spark, sf_dir, False), keys=["fold"]))
+
+
+def _fold_dispersion(spark, sf_dir):
+    return rounded(scoring.dispersion(garch_test_rows(spark, sf_dir, False), ["fold"]))
+
+
+def _fold_extremes(spark, sf_dir):
+    per = garch.per_stock_report(garch_test_rows(spark, sf_dir, False), ["fold", "stock_id"])
+    return rounded(scoring.stock_extremes(per, 5, keys=["fold"]).select("fold", "side", "stock_id", "n_rows", "rmspe_pct"))
+
+
 def _bias(spark, sf_dir):
     return rounded(scoring.stock_bias(log_pred(spark, sf_dir)))
 
@@ -467,6 +508,7 @@ QUERIES: dict[str, Entry] = {
     "scaled_rv_per_stock": (_baseline_per_stock, with_sql(GARCH_FOLD_SQL, f"SELECT fold, stock_id, count(*) AS n_rows, {_m7('pred_log_rv')} FROM gt GROUP BY fold, stock_id HAVING count(*) >= 5")),
     "fold_metric_aggregate": (_fold_aggregate, with_sql(GARCH_FOLD_SQL, f""", fm AS (SELECT fold, {_m7_raw('pred_log_rv', 'garch_')} FROM gt GROUP BY fold)
 """ + " UNION ALL ".join(f"SELECT 'garch_{m}' AS metric, {r(f'avg(garch_{m})', 'mean')}, {r(f'stddev_pop(garch_{m})', 'std')} FROM fm" for m in _SEVEN))),
+    "garch_grid_forecast": (_garch_grid, GARCH_GRID_SQL),
     "garch_predictions": (_garch, None),
     "garch_fold_report": (_garch_report, None),
     "garch_per_stock": (_garch_per_stock, None),
@@ -477,6 +519,16 @@ QUERIES: dict[str, Entry] = {
   FROM gl GROUP BY stock_id HAVING count(*) >= 5)
 SELECT * FROM (SELECT 'best' AS side, stock_id, n_rows, {r('m', 'rmspe_pct')} FROM e ORDER BY m, stock_id LIMIT 5) a
 UNION ALL SELECT * FROM (SELECT 'worst', stock_id, n_rows, {r('m', 'rmspe_pct')} FROM e ORDER BY m DESC, stock_id LIMIT 5) b""")),
+    "har_fold_dropped_rows": (_fold_dropped, with_sql(FOLDS_HAR_SQL, """SELECT fold, split, count(CASE WHEN target_rv_480_600 > 1e-4 THEN 1 END) AS kept_rows,
+  count(CASE WHEN NOT target_rv_480_600 > 1e-4 THEN 1 END) AS dropped_rows FROM model_rows JOIN folds USING (time_id) GROUP BY fold, split""")),
+    "test_fold_tiers": (_fold_tiers, with_sql(GARCH_FOLD_SQL, f"""SELECT fold, CASE WHEN exp(true_log_rv) < 0.001 THEN 'Very low (<0.001)' WHEN exp(true_log_rv) < 0.005 THEN 'Low (0.001-0.005)'
+  WHEN exp(true_log_rv) < 0.02 THEN 'Mid (0.005-0.02)' ELSE 'High (>=0.02)' END AS tier, count(*) AS n_rows, {_m7('pred_log_rv', eps='1e-8')} FROM gt GROUP BY 1, 2 HAVING count(*) >= 10""")),
+    "test_fold_dispersion": (_fold_dispersion, with_sql(GARCH_FOLD_SQL, f"""SELECT fold, {r('stddev_pop(pred_log_rv)', 'pred_std')}, {r('stddev_pop(true_log_rv)', 'true_std')},
+  {r('stddev_pop(pred_log_rv) / stddev_pop(true_log_rv)', 'spread_ratio')} FROM gt GROUP BY fold""")),
+    "test_fold_extremes": (_fold_extremes, with_sql(GARCH_FOLD_SQL, f""", e AS (SELECT fold, stock_id, count(*) AS n_rows, {_m7_items('pred_log_rv', '1e-12', 'true_log_rv')['rmspe_pct']} AS m
+  FROM gt GROUP BY fold, stock_id HAVING count(*) >= 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY m, stock_id) AS up, row_number() OVER (PARTITION BY fold ORDER BY m DESC, stock_id) AS down FROM e)
+SELECT fold, 'best' AS side, stock_id, n_rows, {r('m', 'rmspe_pct')} FROM k WHERE up <= 5 UNION ALL SELECT fold, 'worst', stock_id, n_rows, {r('m', 'rmspe_pct')} FROM k WHERE down <= 5""")),
     "stock_fixed_effects": (_bias, with_sql(GARCH_SQL, f"SELECT stock_id, {r('avg(true_log_rv - pred_log_rv)', 'stock_bias')} FROM gl GROUP BY stock_id")),
     "stock_effect_summary": (_bias_summary, with_sql(GARCH_SQL, f""", b AS (SELECT avg(true_log_rv - pred_log_rv) AS b FROM gl GROUP BY stock_id)
 SELECT {r('avg(b)', 'mean')}, {r('stddev_pop(b)', 'std')}, {r('min(b)', 'min')}, {r('max(b)', 'max')} FROM b""")),
