@@ -202,3 +202,12 @@ def test_quality_equals_plain_counts(spark):
     k = sum(r["log_weight"] > edge for r in got.values())
     best = sorted(got, key=lambda i: -got[i]["sort_key"])[:k]
     assert {i for i, r in got.items() if r["kept"]} == set(best)
+
+
+def test_sharding_and_fingerprints_keep_clashing_columns(spark):
+    rows = spark.createDataFrame([(i, 10 + i % 7, i % 5, "h", "k", "s", "p", "f", f"text number {i} of them all") for i in range(60)],
+                                 "doc_id bigint, size bigint, group_hash bigint, _h string, _k string, _s string, _part string, fingerprint string, text string")
+    got = sharding.shard_rows(rows.drop("text"), 4)
+    assert got.columns == [*rows.drop("text").columns, "shard", "slot"] and got.where("_h = 'h' AND _k = 'k' AND _s = 's' AND _part = 'p'").count() == 60
+    prints = fingerprint.fingerprints(rows)
+    assert sorted(prints.columns) == sorted(rows.columns) and prints.where("fingerprint <> 'f'").count() == 60
