@@ -11,7 +11,7 @@ from voltide.operators.book import clipped_returns, with_book_columns
 from voltide.operators.folds import distinct_snapshots
 from voltide.sources.readers import limit_stocks
 from voltide.workload.base import (
-    COLS_SQL, DENSE_SQL, HAR_COLUMNS, HAR_SQL, RAW_SQL, Entry, book_raw, book_sec, har_features_sql, qlike_sql, r,
+    COLS_SQL, DENSE_SQL, HAR_COLUMNS, HAR_SQL, RAW_SQL, Entry, book_raw, book_runs, book_sec, har_features_sql, qlike_sql, r,
     returns_sql, rounded, rs, rv_sql, sqpct_sql, with_sql,
 )
 
@@ -156,7 +156,7 @@ def _filter_report(spark, sf_dir):
 # ---- wide features ----------------------------------------------------------------
 
 def _wide(spark, sf_dir):
-    return wide.wide_features(book_sec(spark, sf_dir))
+    return wide.wide_features(book_runs(spark, sf_dir))
 
 
 def _wide_part(cols):
