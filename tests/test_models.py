@@ -155,3 +155,16 @@ def test_early_stopping_decides_in_the_registered_booster(spark):
     assert len(fitted) == len(trees) + 4 < 200
     held = rows.where(vc.mixed_hash(folds.row_key(), params.seed) % 1000 < 100)
     assert boost._score(boost.add_margin(held, trees, 0.9, "margin")) == pytest.approx(best, rel=1e-9)
+
+
+def test_garch_fits_a_bounded_number_of_rows_at_once(spark, monkeypatch):
+    """An Arrow batch may hold 10,000 snapshots; the arrays of a fit do not grow with it."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    n = 1300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([rng.normal(0, 1e-3, 30).tolist() if i % 9 else [0.0] * 7 for i in range(n)])], ["time_id", "inp"])
+    sizes, fit = [], garch.fit_batch
+    monkeypatch.setattr(garch, "fit_batch", lambda y, lengths, steps: sizes.append(len(y)) or fit(y, lengths, steps))
+    out = pa.Table.from_batches(list(garch._forecasts(0, ["time_id"])(iter([batch])))).to_pandas()
+    assert max(sizes) <= garch.FIT_ROWS < n and out.time_id.tolist() == list(range(n))
+    assert out.garch_rv.isna().tolist() == [i % 9 == 0 for i in range(n)]

@@ -1,7 +1,7 @@
 """GARCH(1,1) forecast per (stock, snapshot).
 
-Each snapshot's returns (at most 480) travel as one array; an Arrow batch of arrays is fitted at
-once by vectorised scoring steps over the whole batch, so Python cost is per batch, not per row.
+Each snapshot's returns (at most 480) travel as one array; ``FIT_ROWS`` arrays of an Arrow batch are fitted at
+once by vectorised scoring steps, so Python cost is per batch, not per row, and its memory is bounded.
 Estimates approximate maximum likelihood (zero mean, normal errors, returns in percent).
 """
 
@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ MIN_RET_STD = 1e-8
 SCALE = 100.0
 HORIZON = TARGET_END - INPUT_END
 MIN_INPUT_ROWS, MIN_TARGET_ROWS = 5, 1
+FIT_ROWS = 512
 
 
 def _shares(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,29 +116,34 @@ def fit_batch(y: np.ndarray, lengths: np.ndarray, steps: int = 25) -> tuple[np.n
     return total, np.isfinite(total) & (total > 0) & np.isfinite(best_nll), settled, best_nll
 
 
-def _forecasts(steps: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            arrays = [np.asarray(a, dtype=float) for a in pdf["inp"]]
-            lengths = np.array([len(a) for a in arrays])
-            padded = np.zeros((len(arrays), max(lengths, default=1)))
-            for i, a in enumerate(arrays):
-                padded[i, : len(a)] = a
-            usable = np.array([a.std() >= MIN_RET_STD for a in arrays], dtype=bool)
-            pred, likelihood = np.full(len(arrays), np.nan), np.full(len(arrays), np.nan)
-            converged = np.zeros(len(arrays), bool)
-            if usable.any():
-                total, ok, settled, nll = fit_batch(padded[usable] * SCALE, lengths[usable], steps)
-                pred[usable] = np.where(ok, np.sqrt(np.where(ok, total, 0.0)) / SCALE, np.nan)
-                likelihood[usable], converged[usable] = nll, settled & ok
-            yield pdf.drop(columns="inp").assign(garch_rv=pred, neg_log_likelihood=likelihood, converged=converged)
+def _forecasts(steps: int, others: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, FIT_ROWS):
+                part = batch.slice(first, FIT_ROWS)
+                inp = part.column("inp")
+                arrays = np.split(inp.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(inp).to_numpy())[:-1])
+                lengths = np.array([len(a) for a in arrays])
+                padded = np.zeros((len(arrays), max(lengths)))
+                for i, a in enumerate(arrays):
+                    padded[i, : len(a)] = a
+                usable = np.array([a.std() >= MIN_RET_STD for a in arrays], dtype=bool)
+                pred, likelihood = np.full(len(arrays), np.nan), np.full(len(arrays), np.nan)
+                converged = np.zeros(len(arrays), bool)
+                if usable.any():
+                    total, ok, settled, nll = fit_batch(padded[usable] * SCALE, lengths[usable], steps)
+                    pred[usable] = np.where(ok, np.sqrt(np.where(ok, total, 0.0)) / SCALE, np.nan)
+                    likelihood[usable], converged[usable] = nll, settled & ok
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(pred), pa.array(likelihood), pa.array(converged)],
+                                                 [*others, "garch_rv", "neg_log_likelihood", "converged"])
     return run
 
 
 def fitted_rows(inputs: DataFrame, steps: int = 25) -> DataFrame:
     """``inputs`` with garch_rv (null where no fit), neg_log_likelihood and converged in place of the returns."""
+    others = [n for n in inputs.columns if n != "inp"]
     schema = ", ".join(f"{n} {t}" for n, t in inputs.dtypes if n != "inp") + ", garch_rv double, neg_log_likelihood double, converged boolean"
-    fitted = inputs.mapInPandas(_forecasts(steps), schema)
+    fitted = inputs.mapInArrow(_forecasts(steps, others), schema)
     return fitted.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("garch_rv", "neg_log_likelihood")})
 
 
