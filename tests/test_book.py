@@ -1,11 +1,14 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from voltide.functions import columns as vc
-from voltide.operators import book, har, rv
+from voltide.operators import book, garch, har, har_models, rv
 from voltide.schemas import BOOK_RAW
 
 RAW = "stock_id int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BOOK_RAW)
@@ -108,3 +111,52 @@ def test_tensor_shapes(spark, dense):
     assert len(gap.x) == 8 and all(len(b) == 7 and not any(b) for b in gap.x) and gap.y == 0.0
     w = rv.sampling_weights(rv.log_target_rv(df)).toPandas()
     assert w.weight.sum() == pytest.approx(1.0) and (w.weight > 0).all()
+
+
+@pytest.fixture(scope="module")
+def runs_and_seconds(spark):
+    """Quotes of uneven gaps, some without price or spread, one snapshot of a single quote and one without prices; as runs and by the second."""
+    rng = np.random.default_rng(8)
+    frames = []
+    for t, n in enumerate([1, 2, 5, 40, 300, 600, 12]):
+        price = np.where(rng.random(n) < 0.1, None, 1 + rng.normal(0, 0.02, n)) if t < 6 else np.full(n, None)
+        spread = np.where(rng.random(n) < 0.1, None, rng.uniform(1e-4, 9e-4, n))
+        frames.append(pd.DataFrame({
+            "stock_id": t % 2, "time_id": t, "seconds_in_bucket": np.sort(rng.permutation(600)[:n]), "wap": price, "bid_ask_spread": spread,
+            "total_volume": rng.integers(1, 500, n).astype(float), "price_spread": rng.uniform(1e-3, 9e-3, n), "depth_imbalance": 0.25}))
+    schema = "stock_id int, time_id int, seconds_in_bucket int, " + ", ".join(f"{c} double" for c in book.DERIVED)
+    rows = [tuple(None if c is None or c != c else c for c in r) for r in pd.concat(frames).astype(object).itertuples(index=False)]
+    quotes = spark.createDataFrame(rows, schema).repartition(4)
+    return book.fill_runs(quotes).cache(), book.fill_seconds(quotes).cache()
+
+
+def same(a, b):
+    if isinstance(a, (list, tuple)):
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            same(x, y)
+    else:
+        assert a == (b if b is None or isinstance(b, str) else pytest.approx(b, rel=1e-9, abs=1e-12))
+
+
+WINDOWS = [("a", None, None), ("b", 0, 480), ("c", 480, None), ("d", 100, 250)]
+
+
+@pytest.mark.parametrize("table, keys", [
+    (lambda d: rv.realised_vol(d, WINDOWS), 2), (lambda d: rv.realised_vol(d, WINDOWS, first=0.0, clip=0.01), 2),
+    (lambda d: rv.realised_vol(d, WINDOWS, edge="exclude"), 2), (rv.target_rv_panel, 2), (rv.bucket_features, 3),
+    (lambda d: rv.bucket_features(d, 50, 9), 3), (lambda d: rv.bucket_tensor(d).select("stock_id", "time_id", "x", "y"), 2),
+    (har.features_from_preprocessed, 2), (har_models.stock_har_windows, 2), (garch.garch_inputs, 2),
+    (lambda d: garch.garch_predictions(d, solver=False), 2)])
+def test_runs_give_what_their_seconds_give(runs_and_seconds, table, keys):
+    got, want = [sorted(map(tuple, table(d).collect()), key=lambda r: r[:keys]) for d in runs_and_seconds]
+    assert want
+    same(got, want)
+
+
+@pytest.mark.parametrize("name", ["bucket_tensor", "scaled_rv_baseline", "rv_windows_edge_excluded", "har_features_dense"])
+def test_returns_are_taken_before_runs_are_cut(spark, name):
+    """A window above the cut would sort 600 rows a snapshot in a task."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, cut, _ = plan.partition("Generate explode(sequence(")
+    assert cut and "Window" not in above

@@ -27,6 +27,18 @@ def window_rv(ret: str, lo: int | None, hi: int | None) -> Column:
     return F.expr(f"sqrt(sum(CASE WHEN {window_text(lo, hi)} THEN {ret} * {ret} END))")
 
 
+def mean_of_seconds(x: str, when: str = "TRUE") -> str:
+    """SQL text: mean of ``x`` over the seconds of the rows that satisfy ``when``; NULL if none has a value."""
+    return f"try_divide(sum(CASE WHEN {when} THEN {x} * seconds END), sum(CASE WHEN {when} AND {x} IS NOT NULL THEN seconds END))"
+
+
+def std_of_seconds(x: str, deviation: str) -> str:
+    """SQL text: sample deviation of ``x`` over all seconds, from its ``deviation`` from one value of the group."""
+    n, s = f"sum(CASE WHEN {x} IS NOT NULL THEN seconds END)", f"sum({deviation} * seconds)"
+    squares = f"sum({deviation} * {deviation} * seconds) - try_divide({s} * {s}, {n})"
+    return f"sqrt(try_divide(greatest({squares}, 0D), {n} - 1))"
+
+
 def count_where(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 

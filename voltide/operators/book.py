@@ -22,6 +22,7 @@ DERIVED = ["wap", "bid_ask_spread", "total_volume", "price_spread", "depth_imbal
 
 # Window text: rows of one snapshot in time order (at most 600).
 BY_SECOND = "PARTITION BY stock_id, time_id ORDER BY seconds_in_bucket"
+WHOLE = f"({BY_SECOND} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
 def last_quote_per_second(df: DataFrame, order_col: str, value_cols: Sequence[str]) -> DataFrame:
@@ -50,12 +51,12 @@ def fill_runs(df: DataFrame, value_cols: Sequence[str] = DERIVED) -> DataFrame:
     shuffle and no grid join.  Missing values inside observed rows are filled the same way.
     """
     # what is missing in front takes the first value of the whole snapshot, so both frames are linear
-    back, whole = f"({BY_SECOND} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", f"({BY_SECOND} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    back = f"({BY_SECOND} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return df.where(F.col("seconds_in_bucket").between(0, SECONDS_PER_SNAPSHOT - 1)).selectExpr(
         *SNAPSHOT,
         f"CASE WHEN row_number() OVER ({BY_SECOND}) = 1 THEN 0 ELSE seconds_in_bucket END AS seconds_in_bucket",
         f"coalesce(lead(seconds_in_bucket) OVER ({BY_SECOND}), {SECONDS_PER_SNAPSHOT}) - 1 AS last_second",
-        *[f"coalesce(last({c}, true) OVER {back}, first({c}, true) OVER {whole}) AS {c}" for c in value_cols],
+        *[f"coalesce(last({c}, true) OVER {back}, first({c}, true) OVER {WHOLE}) AS {c}" for c in value_cols],
     )
 
 
@@ -93,6 +94,28 @@ def with_returns(df: DataFrame, eps: float | None = PRICE_EPS, first: float | No
     return add_log_price(df, eps).withColumn("log_return", log_return(first, clip))
 
 
+def returns_by_piece(df: DataFrame, eps: float | None = PRICE_EPS, first: float | None = None,
+                     clip: float | None = None, every: int = SECONDS_PER_SNAPSHOT) -> DataFrame:
+    """Returns of runs, cut at multiples of ``every`` seconds, or of single seconds; ``seconds`` is the length of a row.
+
+    Inside a run the price stands still, so only its first second has a return. The returns are taken before the cut
+    and nothing is sorted after it: a task sorts one row per quote, not one per second.
+    """
+    rows = with_returns(df, eps, first, clip)
+    if "last_second" not in df.columns:
+        return rows.withColumn("seconds", F.lit(1))
+    begin, end = f"greatest(seconds_in_bucket, _part * {every})", f"least(last_second, _part * {every} + {every - 1})"
+    still = "CASE WHEN log_wap IS NOT NULL THEN 0D END"
+    if first is not None:
+        still = f"coalesce({still}, {float(first)}D)"
+    cut = rows.selectExpr("*", f"explode(sequence(seconds_in_bucket DIV {every}, last_second DIV {every})) AS _part")
+    return cut.selectExpr(
+        *[c for c in rows.columns if c not in ("seconds_in_bucket", "last_second", "log_return")],
+        f"CAST({begin} AS INT) AS seconds_in_bucket", f"CAST({end} - {begin} + 1 AS INT) AS seconds",
+        f"CASE WHEN _part * {every} > seconds_in_bucket THEN {still} WHEN {end} > seconds_in_bucket THEN coalesce(log_return, {still}) "
+        "ELSE log_return END AS log_return")
+
+
 def clipped_returns(df: DataFrame) -> DataFrame:
     """Returns for the GARCH step: first return 0, clipped to +-5 %."""
     return with_returns(df, PRICE_EPS, first=0.0, clip=RETURN_CLIP)
@@ -115,5 +138,5 @@ def normalise_preprocessed(df: DataFrame) -> DataFrame:
         vc.at_least("wap", PRICE_EPS).alias("wap"),
         vc.at_least("bid_ask_spread", 0.0).alias("bid_ask_spread"),
         vc.at_least("total_volume", 0.0).alias("total_volume"),
-        imbalance.alias("volume_imbalance"),
+        imbalance.alias("volume_imbalance"), *[c for c in df.columns if c == "last_second"],
     )

@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltide.constants import INPUT_END, PRICE_EPS, RV_FLOOR, TARGET_END
+from voltide.constants import INPUT_END, PRICE_EPS, RETURN_CLIP, RV_FLOOR, TARGET_END
 from voltide.functions.aggregates import in_window
 from voltide.functions.losses import log_metrics
-from voltide.operators.book import SNAPSHOT, clipped_returns
+from voltide.operators.book import SNAPSHOT, returns_by_piece
 from voltide.operators.har_models import baseline_rv
 
 MIN_RET_STD = 1e-8
@@ -153,15 +153,15 @@ def grid_forecasts(book_sec: DataFrame) -> DataFrame:
 
 
 def garch_inputs(book_sec: DataFrame) -> DataFrame:
-    """Per snapshot: ordered input returns, input and target RV, row counts."""
-    rows = clipped_returns(book_sec)
+    """Per snapshot: ordered input returns of every second, input and target RV, counts of seconds."""
+    rows = returns_by_piece(book_sec, PRICE_EPS, first=0.0, clip=RETURN_CLIP, every=120)
     early, late = in_window(None, INPUT_END), in_window(INPUT_END, TARGET_END)
     r = F.col("log_return")
-    ordered = F.sort_array(F.collect_list(F.when(early, F.struct("seconds_in_bucket", "log_return"))))
+    ordered = F.sort_array(F.collect_list(F.when(early, F.struct("seconds_in_bucket", "log_return", "seconds"))))
     return rows.groupBy(*SNAPSHOT).agg(
-        F.transform(ordered, lambda s: s["log_return"]).alias("inp"),
-        F.count(F.when(early, 1)).cast("int").alias("n_input_obs"),
-        F.count(F.when(late, 1)).cast("int").alias("n_future_obs"),
+        F.flatten(F.transform(ordered, lambda s: F.concat(F.array(s["log_return"]), F.array_repeat(F.lit(0.0), s["seconds"] - 1)))).alias("inp"),
+        F.sum(F.when(early, F.col("seconds")).otherwise(0)).cast("int").alias("n_input_obs"),
+        F.sum(F.when(late, F.col("seconds")).otherwise(0)).cast("int").alias("n_future_obs"),
         F.sqrt(F.sum(F.when(early, r * r))).alias("rv_in_raw"),
         F.sqrt(F.sum(F.when(late, r * r))).alias("rv_fut_raw"),
     ).where((F.col("n_input_obs") >= MIN_INPUT_ROWS) & (F.col("n_future_obs") >= MIN_TARGET_ROWS))

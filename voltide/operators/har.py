@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from voltide.constants import INPUT_END, PRICE_EPS, RV_FLOOR
 from voltide.functions import columns as vc
-from voltide.functions.aggregates import window_rv, window_text
+from voltide.functions.aggregates import mean_of_seconds, window_rv, window_text
 from voltide.functions.losses import volatility_metrics
-from voltide.operators.book import SNAPSHOT, normalise_preprocessed, with_book_columns, with_returns
+from voltide.operators.book import SNAPSHOT, normalise_preprocessed, returns_by_piece, with_book_columns
 
 RV_FEATURES = ["rv_360_480", "rv_240_480", "rv_0_480"]
 TARGET = "target_rv_480_600"
@@ -24,18 +24,20 @@ LOG_TARGET = f"log_{TARGET}"
 
 def _feature_table(rows: DataFrame) -> DataFrame:
     """Four RV windows and four liquidity columns in one conditional aggregate (no joins)."""
+    input_window = window_text(None, INPUT_END)
+
     def early(agg: str, c: str):
-        return F.expr(f"{agg}(CASE WHEN {window_text(None, INPUT_END)} THEN {c} END)")
+        return F.expr(f"{agg}(CASE WHEN {input_window} THEN {c} END)")
 
     wide = rows.groupBy(*SNAPSHOT).agg(
         window_rv("log_return", 360, 480).alias("rv_360_480"),
         window_rv("log_return", 240, 480).alias("rv_240_480"),
         window_rv("log_return", 0, 480).alias("rv_0_480"),
         window_rv("log_return", 480, 600).alias(TARGET),
-        early("avg", "bid_ask_spread").alias("spread_mean_0_480"),
+        F.expr(mean_of_seconds("bid_ask_spread", input_window)).alias("spread_mean_0_480"),
         early("max", "bid_ask_spread").alias("spread_max_0_480"),
-        early("sum", "total_volume").alias("volume_sum_0_480"),
-        early("avg", "volume_imbalance").alias("volume_imbalance_mean_0_480"),
+        early("sum", "total_volume * seconds").alias("volume_sum_0_480"),
+        F.expr(mean_of_seconds("volume_imbalance", input_window)).alias("volume_imbalance_mean_0_480"),
     )
     cols = [*RV_FEATURES, TARGET, *LIQUIDITY]
     zeroed = wide.selectExpr(*SNAPSHOT, *[f"coalesce({c}, 0D) AS {c}" for c in cols])
@@ -44,12 +46,12 @@ def _feature_table(rows: DataFrame) -> DataFrame:
 
 def features_from_raw(raw: DataFrame) -> DataFrame:
     """From raw quotes: better-of-two-levels price, sparse seconds."""
-    return _feature_table(with_returns(with_book_columns(raw, "best"), eps=None))
+    return _feature_table(returns_by_piece(with_book_columns(raw, "best"), eps=None))
 
 
 def features_from_preprocessed(book_sec: DataFrame) -> DataFrame:
-    """From the dense per-second book of the shared folds."""
-    return _feature_table(with_returns(normalise_preprocessed(book_sec), PRICE_EPS))
+    """From the dense book of the shared folds, by the second or as runs."""
+    return _feature_table(returns_by_piece(normalise_preprocessed(book_sec), PRICE_EPS, every=120))
 
 
 def add_model_columns(features: DataFrame) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltide.constants import BUCKET_EPS, FEATURE_EPS, INPUT_END, LIVE_TARGET_LOG_RV, PRICE_EPS, RV_FLOOR, TARGET_END
+from voltide.constants import (
+    BUCKET_EPS, FEATURE_EPS, INPUT_END, LIVE_TARGET_LOG_RV, PRICE_EPS, RV_FLOOR, SECONDS_PER_SNAPSHOT, TARGET_END,
+)
 from voltide.functions import columns as vc
-from voltide.functions.aggregates import window_rv, window_text
-from voltide.operators.book import BY_SECOND, SNAPSHOT, add_log_price, with_returns
+from voltide.functions.aggregates import mean_of_seconds, window_rv, window_text
+from voltide.operators.book import BY_SECOND, SNAPSHOT, returns_by_piece
 from voltide.plans.ordered import exact_quantiles
 
 BUCKETS_120 = [("rv_b0", 0, 120), ("rv_b1", 120, 240), ("rv_b2", 240, 360), ("rv_b3", 360, 480),
@@ -20,19 +23,18 @@ BUCKETS_120 = [("rv_b0", 0, 120), ("rv_b1", 120, 240), ("rv_b2", 240, 360), ("rv
 def realised_vol(df: DataFrame, windows: Sequence[tuple[str, int | None, int | None]], edge: str = "include",
                  eps: float | None = PRICE_EPS, first: float | None = None, clip: float | None = None,
                  floor: float | None = None, missing: float | None = None) -> DataFrame:
-    """RV per (stock, snapshot) for several windows in one aggregate.
+    """RV per (stock, snapshot) for several windows in one aggregate, from seconds or runs.
 
     ``edge='include'`` counts the return that enters a window from the second before it (returns
     taken, then filtered); ``'exclude'`` takes returns inside each window only.
     """
+    every = math.gcd(*[b for _, lo, hi in windows for b in (lo, hi) if b]) or SECONDS_PER_SNAPSHOT
     if edge == "include":
-        rows = with_returns(df, eps, first, clip)
+        rows = returns_by_piece(df, eps, first, clip, every)
         aggs = [window_rv("log_return", lo, hi).alias(name) for name, lo, hi in windows]
     else:
-        priced = add_log_price(df, eps)
-        rows = priced.selectExpr(
-            *SNAPSHOT, "seconds_in_bucket", f"coalesce(log_wap - lag(log_wap) OVER ({BY_SECOND}), 0D) AS log_return",
-            f"lag(seconds_in_bucket) OVER ({BY_SECOND}) AS _prev")
+        before = "last_second" if "last_second" in df.columns else "seconds_in_bucket"
+        rows = returns_by_piece(df.selectExpr("*", f"lag({before}) OVER ({BY_SECOND}) AS _prev"), eps, 0.0, None, every)
         # A row inside the window counts toward presence even when its return does not.
         aggs = []
         for name, lo, hi in windows:
@@ -80,17 +82,18 @@ def _bucket_aggs() -> list:
     return [
         F.sum("log_return").alias("log_ret_sum"),
         F.sqrt(F.sum(F.col("log_return") * F.col("log_return"))).alias("rv"),
-        F.avg("wap").alias("wap_mean"),
-        F.avg("bid_ask_spread").alias("spread_mean"),
-        F.sum("total_volume").alias("volume_sum"),
-        F.avg("price_spread").alias("pspread_mean"),
-        F.avg("depth_imbalance").alias("dimbal_mean"),
+        F.expr(mean_of_seconds("wap")).alias("wap_mean"),
+        F.expr(mean_of_seconds("bid_ask_spread")).alias("spread_mean"),
+        F.expr("sum(total_volume * seconds)").alias("volume_sum"),
+        F.expr(mean_of_seconds("price_spread")).alias("pspread_mean"),
+        F.expr(mean_of_seconds("depth_imbalance")).alias("dimbal_mean"),
     ]
 
 
 def bucket_features(book_sec: DataFrame, width: int = 60, n_buckets: int = 8) -> DataFrame:
     """Seven features per 60-second bucket of the input window (long form)."""
-    rows = with_returns(_with_defaults(book_sec), BUCKET_EPS, first=0.0).where(F.col("seconds_in_bucket") < INPUT_END)
+    rows = returns_by_piece(_with_defaults(book_sec), BUCKET_EPS, first=0.0, every=math.gcd(width, INPUT_END)).where(
+        F.col("seconds_in_bucket") < INPUT_END)
     return (
         rows.withColumn("bucket", vc.second_bucket(width, n_buckets))
         .groupBy(*SNAPSHOT, "bucket")
@@ -110,10 +113,10 @@ def log_target_rv(book_sec: DataFrame) -> DataFrame:
 def bucket_tensor(book_sec: DataFrame, n_buckets: int = 8) -> DataFrame:
     """(time_id, stock_id, x[8][7], y): the dense input block of one stock at one snapshot.
 
-    One pass over the per-second rows gives both the buckets and the target: the target window
+    One pass over the seconds or runs gives both the buckets and the target: the target window
     is bucket -1 of the same grouping.  At most nine rows meet in the final step.
     """
-    rows = with_returns(_with_defaults(book_sec), BUCKET_EPS, first=0.0)
+    rows = returns_by_piece(_with_defaults(book_sec), BUCKET_EPS, first=0.0, every=60)
     bucket = F.when(F.col("seconds_in_bucket") < INPUT_END, vc.second_bucket(60, n_buckets)).otherwise(-1)
     per_bucket = rows.withColumn("bucket", bucket).groupBy(*SNAPSHOT, "bucket").agg(*_bucket_aggs())
     cell = F.array(*[F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in BUCKET_FEATURES])

@@ -59,7 +59,7 @@ WINDOWS = [("rv_in", 0, 480), ("rv_last", 360, 480), ("rv_fut", 480, 600)]
 
 def _rv_windows(edge):
     def run(spark, sf_dir):
-        return rounded(rv.realised_vol(book_sec(spark, sf_dir), WINDOWS, edge=edge, first=0.0))
+        return rounded(rv.realised_vol(book_runs(spark, sf_dir), WINDOWS, edge=edge, first=0.0))
     return run
 
 
@@ -70,7 +70,7 @@ def _rv_windows_sql(edge: str) -> str:
 
 
 def _regimes(spark, sf_dir):
-    labelled = rv.bucket_rv(book_sec(spark, sf_dir)).select(
+    labelled = rv.bucket_rv(book_runs(spark, sf_dir)).select(
         vc.regime_label("rv_target").alias("regime"), vc.tier_label("rv_target").alias("tier"))
     return labelled.groupBy("regime", "tier").agg(F.count(F.lit(1)).alias("n"))
 
@@ -101,16 +101,16 @@ def _flat_tensor(tensor):
 
 
 def _tensor(spark, sf_dir):
-    return _flat_tensor(rv.bucket_tensor(book_sec(spark, sf_dir)))
+    return _flat_tensor(rv.bucket_tensor(book_runs(spark, sf_dir)))
 
 
 def _dense_tensor(spark, sf_dir):
-    tensor = rv.bucket_tensor(book_sec(spark, sf_dir))
+    tensor = rv.bucket_tensor(book_runs(spark, sf_dir))
     return _flat_tensor(rv.dense_tensor(tensor))
 
 
 def _weights(spark, sf_dir):
-    w = rv.sampling_weights(rv.log_target_rv(book_sec(spark, sf_dir)))
+    w = rv.sampling_weights(rv.log_target_rv(book_runs(spark, sf_dir)))
     return rounded(w)
 
 
@@ -135,7 +135,7 @@ SELECT time_id, {r('w / (SELECT sum(w) FROM c)', 'weight')} FROM c""")
 
 
 def _har_dense(spark, sf_dir):
-    return rounded(har.features_from_preprocessed(book_sec(spark, sf_dir)))
+    return rounded(har.features_from_preprocessed(book_runs(spark, sf_dir)))
 
 
 HAR_DENSE_SQL = DENSE_SQL + """,
@@ -289,7 +289,7 @@ LEFT JOIN dim ON dim.sid = q.stock_id""")
 
 
 def _deviation(spark, sf_dir):
-    table = rv.log_target_rv(book_sec(spark, sf_dir))
+    table = rv.log_target_rv(book_runs(spark, sf_dir))
     return rounded(wide.deviation_from_mean(table, "y", "deviation"))
 
 
@@ -316,13 +316,13 @@ QUERIES: dict[str, Entry] = {
         f"SELECT {KEYS}, seconds_in_bucket, {r('coalesce(CASE WHEN lr IS NOT NULL THEN greatest(least(lr, 5e-2), -5e-2) END, 0)', 'log_return')} FROM ret")),
     "rv_windows_edge_included": (_rv_windows("include"), _rv_windows_sql("include")),
     "rv_windows_edge_excluded": (_rv_windows("exclude"), _rv_windows_sql("exclude")),
-    "bucket_rv_120s": (lambda s, d: rounded(rv.bucket_rv(book_sec(s, d))),
+    "bucket_rv_120s": (lambda s, d: rounded(rv.bucket_rv(book_runs(s, d))),
                        with_sql(BUCKET_RV_SQL, f"SELECT {KEYS}, {rs(*[n for n, _, _ in rv.BUCKETS_120])} FROM bucket_rv")),
     "regime_and_tier_counts": (_regimes, with_sql(BUCKET_RV_SQL, f"""SELECT {_case_labels(vc.REGIMES)} AS regime, {_case_labels(vc.TIERS)} AS tier,
   count(*) AS n FROM bucket_rv GROUP BY 1, 2""")),
-    "bucket_features_60s": (lambda s, d: rounded(rv.bucket_features(book_sec(s, d))),
+    "bucket_features_60s": (lambda s, d: rounded(rv.bucket_features(book_runs(s, d))),
                             with_sql(TENSOR_SQL, f"SELECT {KEYS}, bucket, {rs(*rv.BUCKET_FEATURES)} FROM feats")),
-    "log_target_rv": (lambda s, d: rounded(rv.log_target_rv(book_sec(s, d))), with_sql(TENSOR_SQL, f"SELECT {KEYS}, {r('y')} FROM target")),
+    "log_target_rv": (lambda s, d: rounded(rv.log_target_rv(book_runs(s, d))), with_sql(TENSOR_SQL, f"SELECT {KEYS}, {r('y')} FROM target")),
     "bucket_tensor": (_tensor, _tensor_sql(False)),
     "bucket_tensor_dense": (_dense_tensor, _tensor_sql(True)),
     "snapshot_sampling_weights": (_weights, WEIGHTS_SQL),

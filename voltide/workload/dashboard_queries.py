@@ -8,7 +8,7 @@ from voltide.constants import REGIMES
 from voltide.operators import dashboard, rv
 from voltide.session import cut_lineage
 from voltide.workload.base import (
-    DENSE_SQL, MODELS, PRED_SQL, Entry, book_sec, corr_sql, predictions, qlike_sql, r, returns_sql, rounded, rs, rv_sql, with_sql,
+    DENSE_SQL, MODELS, PRED_SQL, Entry, book_runs, corr_sql, predictions, qlike_sql, r, returns_sql, rounded, rs, rv_sql, with_sql,
 )
 
 DAY, STOCK, MODEL = 7, 3, "ols"
@@ -19,7 +19,7 @@ def master(spark, sf_dir):
     """The dashboard table, built and written once before it is queried."""
     long = cut_lineage(predictions(spark, sf_dir))
     per_model = {m: long.where(F.col("model") == m).drop("model", "fold") for m in MODELS}
-    return cut_lineage(dashboard.build_master(rv.bucket_rv(book_sec(spark, sf_dir)), {**per_model, "absent": None}))
+    return cut_lineage(dashboard.build_master(rv.bucket_rv(book_runs(spark, sf_dir)), {**per_model, "absent": None}))
 
 
 BK = ["rv_b0", "rv_b1", "rv_b2", "rv_b3", "rv_target"]

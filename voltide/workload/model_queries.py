@@ -10,7 +10,7 @@ from voltide.operators import boost, folds, garch, har, har_models, lockstep, ol
 from voltide.operators.folds import with_folds
 from voltide.session import cut_lineage, tables_dropped
 from voltide.workload.base import (
-    DENSE_SQL, HAR_SQL, RAW_SQL, Entry, book_raw, book_runs, book_sec, folds_sql, har_rows, hash_sql, ols_solve_sql,
+    DENSE_SQL, HAR_SQL, RAW_SQL, Entry, book_raw, book_runs, folds_sql, har_rows, hash_sql, ols_solve_sql,
     ols_sum_names, ols_sums_sql, qlike_sql, r, returns_sql, rounded, rs, rv_sql, sqpct_sql, with_sql,
 )
 from voltide.workload.book_queries import TENSOR_SQL
@@ -170,7 +170,7 @@ SELECT part + 1 AS fold, count(*) AS n_rows, {M3} FROM s GROUP BY part""")
 # ---- per-stock HAR ----------------------------------------------------------------
 
 def stock_oof(spark, sf_dir):
-    return har_models.stock_har_oof(har_models.stock_har_windows(book_sec(spark, sf_dir)), assignment(spark, sf_dir))
+    return har_models.stock_har_oof(har_models.stock_har_windows(book_runs(spark, sf_dir)), assignment(spark, sf_dir))
 
 
 def _ex(lo, hi):
@@ -222,15 +222,15 @@ gl AS (SELECT *, ln(true_rv + 1e-12) AS true_log_rv, ln(pred_rv + 1e-12) AS pred
 
 
 def _baseline(spark, sf_dir):
-    return rounded(garch.garch_predictions(book_sec(spark, sf_dir), solver=False))
+    return rounded(garch.garch_predictions(book_runs(spark, sf_dir), solver=False))
 
 
 def _garch(spark, sf_dir):
-    return rounded(garch.garch_predictions(book_sec(spark, sf_dir)))
+    return rounded(garch.garch_predictions(book_runs(spark, sf_dir)))
 
 
 def _garch_grid(spark, sf_dir):
-    return rounded(garch.grid_forecasts(book_sec(spark, sf_dir)))
+    return rounded(garch.grid_forecasts(book_runs(spark, sf_dir)))
 
 
 GARCH_GRID_SQL = with_sql(GARCH_SQL, f""",
@@ -252,7 +252,7 @@ WHERE n_input_obs >= 5 AND n_future_obs >= 1""").replace("WITH ", "WITH RECURSIV
 
 
 def garch_test_rows(spark, sf_dir, solver):
-    pred = garch.garch_predictions(book_sec(spark, sf_dir), solver)
+    pred = garch.garch_predictions(book_runs(spark, sf_dir), solver)
     return with_folds(pred, assignment(spark, sf_dir)).where("split = 'test'")
 
 
@@ -305,7 +305,7 @@ def _fold_aggregate(spark, sf_dir):
 
 def log_pred(spark, sf_dir):
     """The scaled-RV forecast in log form, all samples."""
-    return garch.garch_predictions(book_sec(spark, sf_dir), solver=False)
+    return garch.garch_predictions(book_runs(spark, sf_dir), solver=False)
 
 
 def _tiers(spark, sf_dir):
@@ -388,8 +388,9 @@ _LB = [f"lb_{b}" for b in range(8)]
 
 
 def _bucket_har_rows(spark, sf_dir):
-    tensor = with_folds(rv.bucket_tensor(book_sec(spark, sf_dir)), assignment(spark, sf_dir)).drop("inner")
-    return scoring.bucket_har_forecast(tensor, keys=["fold"])
+    """The tensor is written once: fitting and scoring both read it."""
+    tensor = cut_lineage(rv.bucket_tensor(book_runs(spark, sf_dir)))
+    return scoring.bucket_har_forecast(with_folds(tensor, assignment(spark, sf_dir)).drop("inner"), keys=["fold"])
 
 
 def _bucket_har(spark, sf_dir):
