@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from voltide.functions import columns as vc
-from voltide.operators import book, garch, har, har_models, rv
+from voltide.operators import book, eda, garch, har, har_models, rv
 from voltide.schemas import BOOK_RAW
 
 RAW = "stock_id int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BOOK_RAW)
@@ -140,6 +140,7 @@ def same(a, b):
 
 
 WINDOWS = [("a", None, None), ("b", 0, 480), ("c", 480, None), ("d", 100, 250)]
+FEATURES = [c for c in book.DERIVED]
 
 
 @pytest.mark.parametrize("table, keys", [
@@ -147,14 +148,23 @@ WINDOWS = [("a", None, None), ("b", 0, 480), ("c", 480, None), ("d", 100, 250)]
     (lambda d: rv.realised_vol(d, WINDOWS, edge="exclude"), 2), (rv.target_rv_panel, 2), (rv.bucket_features, 3),
     (lambda d: rv.bucket_features(d, 50, 9), 3), (lambda d: rv.bucket_tensor(d).select("stock_id", "time_id", "x", "y"), 2),
     (har.features_from_preprocessed, 2), (har_models.stock_har_windows, 2), (garch.garch_inputs, 2),
-    (lambda d: garch.garch_predictions(d, solver=False), 2)])
+    (lambda d: garch.garch_predictions(d, solver=False), 2), (lambda d: eda.input_window_samples(d, FEATURES), 2),
+    (lambda d: eda.second_profile(d, FEATURES), 1)])
 def test_runs_give_what_their_seconds_give(runs_and_seconds, table, keys):
     got, want = [sorted(map(tuple, table(d).collect()), key=lambda r: r[:keys]) for d in runs_and_seconds]
     assert want
     same(got, want)
 
 
-@pytest.mark.parametrize("name", ["bucket_tensor", "scaled_rv_baseline", "rv_windows_edge_excluded", "har_features_dense"])
+def test_samples_of_seconds_are_plain_moments(runs_and_seconds):
+    runs, seconds = runs_and_seconds
+    want = seconds.where("seconds_in_bucket < 480").groupBy("stock_id", "time_id").agg(
+        F.avg("wap"), F.stddev_samp("wap"), F.avg("bid_ask_spread"), F.stddev_samp("bid_ask_spread"), F.avg("depth_imbalance"), F.stddev_samp("depth_imbalance"))
+    got = eda.input_window_samples(runs, ["wap", "bid_ask_spread", "depth_imbalance"]).drop("log_rv_input")
+    same(*[sorted(map(tuple, d.collect()), key=lambda r: r[:2]) for d in (got, want)])
+
+
+@pytest.mark.parametrize("name", ["bucket_tensor", "scaled_rv_baseline", "input_window_samples", "second_profile", "rv_windows_edge_excluded", "har_features_dense"])
 def test_returns_are_taken_before_runs_are_cut(spark, name):
     """A window above the cut would sort 600 rows a snapshot in a task."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from voltide.constants import INPUT_END, PRICE_EPS, RV_FLOOR
 from voltide.functions import columns as vc
-from voltide.functions.aggregates import count_where, window_rv
-from voltide.operators.book import SNAPSHOT, with_returns
+from voltide.functions.aggregates import count_where, mean_of_seconds, std_of_seconds, window_rv
+from voltide.operators.book import SNAPSHOT, WHOLE, returns_by_piece
 from voltide.plans.ordered import exact_quantiles
 
 FEATURES = ["wap", "bid_ask_spread", "total_volume", "price_spread", "volume_imbalance"]
@@ -181,15 +181,16 @@ def kernel_density(df: DataFrame, col: str, points: int = 500, factor: float = 0
 
 def second_profile(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
     """Mean and std of each column, and the std of the log return, at every second."""
-    rows = with_returns(df, PRICE_EPS, first=0.0)
+    rows = returns_by_piece(df, PRICE_EPS, first=0.0, every=1)
     aggs = [a for c in cols for a in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))]
     return rows.groupBy("seconds_in_bucket").agg(*aggs, F.stddev_samp("log_return").alias("lr_std"))
 
 
 def input_window_samples(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
     """Per sample: mean and std of each column over the input window, and log input RV."""
-    rows = with_returns(df.where(F.col("seconds_in_bucket") < INPUT_END), PRICE_EPS, first=0.0)
-    aggs = [a for c in cols for a in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))]
+    early = df.where(F.col("seconds_in_bucket") < INPUT_END).selectExpr("*", *[f"{c} - last({c}, true) OVER {WHOLE} AS {c}_d" for c in cols])
+    rows = returns_by_piece(early, PRICE_EPS, first=0.0, every=INPUT_END).where(F.col("seconds_in_bucket") < INPUT_END)
+    aggs = [F.expr(a) for c in cols for a in (f"{mean_of_seconds(c)} AS {c}_mean", f"{std_of_seconds(c, f'{c}_d')} AS {c}_std")]
     log_rv = F.log(vc.at_least(window_rv("log_return", None, None), PRICE_EPS))
     return rows.groupBy(*SNAPSHOT).agg(*aggs, log_rv.alias("log_rv_input"))
 

@@ -271,8 +271,9 @@ def feature_target_correlations(samples: DataFrame, features: Sequence[str], tar
     """Pearson and Spearman of each feature with the target, sorted by |Spearman|.
 
     Features are unpivoted, ranks come from a distributed sort per feature, and Spearman is the
-    Pearson correlation of average ranks.
+    Pearson correlation of average ranks. The samples are written once: both ranks and the join read them.
     """
+    samples = cut_lineage(samples.select(*keys, *features, target))
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
     long = samples.select(*keys, F.col(target).alias("y"), cells.alias("c")).select(*keys, "y", "c.*").where(
         "x IS NOT NULL AND y IS NOT NULL")

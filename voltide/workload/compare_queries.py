@@ -11,7 +11,7 @@ from voltide.operators.book import with_book_columns
 from voltide.session import cut_lineage
 from voltide.sources.readers import limit_stocks
 from voltide.workload.base import (
-    COLS_SQL, DENSE_SQL, MODELS, PRED_SQL, Entry, book_raw, book_sec, corr_sql, ols_solve_sql, ols_sums_sql, predictions, hash_sql,
+    COLS_SQL, DENSE_SQL, MODELS, PRED_SQL, Entry, book_raw, book_runs, book_sec, corr_sql, ols_solve_sql, ols_sums_sql, predictions, hash_sql,
     qlike_sql, r, returns_sql, rounded, rs, rv_sql, sqpct_sql, with_sql,
 )
 
@@ -29,7 +29,7 @@ def _aligned(spark, sf_dir):
 def _consistency(spark, sf_dir):
     """Actual RV of the second model is taken from the dense book, so it differs from the first's."""
     long = predictions(spark, sf_dir)
-    other = rv.bucket_rv(book_sec(spark, sf_dir)).select("stock_id", "time_id", F.col("rv_target").alias("other_rv"))
+    other = rv.bucket_rv(book_runs(spark, sf_dir)).select("stock_id", "time_id", F.col("rv_target").alias("other_rv"))
     mixed = long.join(other, ["stock_id", "time_id"]).withColumn(
         "actual_rv", F.when(F.col("model") == "scaled", F.col("other_rv")).otherwise(F.col("actual_rv"))).drop("other_rv")
     return rounded(compare.actual_consistency(mixed, MODELS))
@@ -134,7 +134,7 @@ SELECT fold, model, {rs('z', 'p_value')}, {r('pc', 'p_value_corrected')}, pc <=
 
 def panel(spark, sf_dir):
     """Live log-RV cells, written once."""
-    live = interaction.live_panel(rv.target_rv_panel(book_sec(spark, sf_dir)))
+    live = interaction.live_panel(rv.target_rv_panel(book_runs(spark, sf_dir)))
     return cut_lineage(live)
 
 
@@ -265,7 +265,7 @@ peers AS (SELECT src, dst, corr, "rank", exp(corr) / sum(exp(corr)) OVER (PARTIT
 # ---- exploratory ------------------------------------------------------------------
 
 def eda_book(spark, sf_dir):
-    return book_sec(spark, sf_dir).withColumnRenamed("depth_imbalance", "volume_imbalance")
+    return book_runs(spark, sf_dir).withColumnRenamed("depth_imbalance", "volume_imbalance")
 
 
 def quotes(spark, sf_dir):
@@ -299,7 +299,7 @@ SELECT feature, bin, n, {r('CAST(n AS DOUBLE) / (sum(n) OVER (PARTITION BY featu
 
 
 def rv_panel(spark, sf_dir):
-    return rv.target_rv_panel(book_sec(spark, sf_dir))
+    return rv.target_rv_panel(book_runs(spark, sf_dir))
 
 
 def _log_hist(spark, sf_dir):
@@ -356,7 +356,8 @@ smp AS (SELECT stock_id, time_id, {', '.join(f"avg({s}) AS {c}_mean, stddev_samp
 
 
 def _feature_corr(spark, sf_dir):
-    merged = _samples(spark, sf_dir).join(rv_panel(spark, sf_dir).select("stock_id", "time_id", "log_rv"), ["stock_id", "time_id"]).where("log_rv IS NOT NULL")
+    # Written apart, so that no task sorts the book for both sides of the join.
+    merged = cut_lineage(_samples(spark, sf_dir)).join(rv_panel(spark, sf_dir).select("stock_id", "time_id", "log_rv"), ["stock_id", "time_id"]).where("log_rv IS NOT NULL")
     # Features are rounded before ranking so that ties are the same in every engine.
     merged = merged.select("stock_id", "time_id", *[F.round(c, 9).alias(c) for c in (*CORR_FEATURES, "log_rv")])
     return rounded(interaction.feature_target_correlations(merged, CORR_FEATURES))
