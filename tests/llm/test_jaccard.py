@@ -90,3 +90,34 @@ def test_rows_without_ids_and_ids_of_two_texts(spark):
     assert any(i == 9 and t in (" ".join(d), near(d)) for i, t in got) and len(got) == 7
     found = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_groups(docs).collect())
     assert found == Counter(brute.groups(rows))
+
+
+def test_marks_never_exceed_the_difference():
+    rng = np.random.default_rng(11)
+    for size in (5, 63, 64, 65, 300, 5000):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for drop, add in ((0, 0), (1, 0), (size // 9, size // 9), (size // 2, size)):
+            b = np.concatenate([a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)])
+            row = np.repeat([0, 1], [len(a), len(b)])
+            x, y = jaccard_join.marks(row, np.concatenate([a, b]), np.array([len(a), len(b)]))
+            n = min(len(x), len(y))
+            apart = (int.from_bytes(jaccard_join.folded(x, n), "little") ^ int.from_bytes(jaccard_join.folded(y, n), "little")).bit_count()
+            assert apart <= drop + add and (apart > 0 or drop + add == 0 or size < 64), (size, drop, add)
+
+
+def test_unlike_sets_of_a_large_cluster_are_not_compared_on_shingles(spark, monkeypatch):
+    """Sets dealt out to be compared grew with the square of a cluster of texts that share a passage."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jaccard_join, "SIFT_SETS", 40)
+    dealt = []
+    met = jaccard_join.met
+    monkeypatch.setattr(jaccard_join, "met", lambda placed: dealt.append(met(placed).count()) or met(placed))
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 99999)}"
+    passage = [word() for _ in range(40)]
+    rows = [(i, " ".join(passage + [word() for _ in range(rng.randint(12, 30))])) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " x" * (i % 3)) for i in range(0, 200, 9)] + [(2000 + i, rows[i][1] + " y z") for i in range(0, 200, 20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_groups(frame).collect())
+    assert got == Counter(brute.groups(rows))
+    assert sum(dealt) < 3 * len(rows)

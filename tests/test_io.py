@@ -93,3 +93,21 @@ def test_tensor_round_trip(spark, tmp_path):
     tensor = spark.createDataFrame([(1, 2, [[0.5, 1.5], [2.5, 3.5]], 0.25)], "time_id int, stock_id int, x array<array<float>>, y float")
     writers.write_tensor(tensor, f"{tmp_path}/tensor")
     assert readers.read_table(spark, f"{tmp_path}/tensor").collect() == tensor.collect()
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from voltide.session import SHUFFLE_CLEANUP, cut_lineage
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    there = lambda: {p.name for d in manager.localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+    before = there()
+    table = cut_lineage(spark.range(100_000).repartition(4, "id"))
+    for _ in range(50):
+        if not there() - before:
+            break
+        time.sleep(0.1)
+    assert not there() - before and spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    assert table.count() == 100_000

@@ -11,10 +11,13 @@ neighbourhood (itself and itself less one shingle, each), as that misses only pa
   cheapest to share first (fewest shingles, then by hash), so a pair keeps at least one segment in common: of the
   segments it shares, each side can have left out only such as come before the last.
 * Equal sets are one class from the start. A set is indexed in the band of every larger partner's size.
-* Verification. Sets that meet in a segment are verified against the first of them on all their shingles; links
-  make components. Where a segment's sets are in several components, they are compared with all others that such
-  segments tie them to, block by block inside tasks. Segments within one component need no more, as nothing can
-  change it.
+* Marks. A set has a bit for each bucket of shingles, whether their number is odd. Two sets differ in at least as many
+  shingles as marks, so marks, about a fiftieth of the shingles, show that most pairs cannot link.
+* Verification. Sets that meet in a segment are verified against the first of them, by marks and then on all their
+  shingles; links make components. Where a segment's sets are in several components, they are compared with all others
+  that such segments tie them to, block by block inside tasks. Passages common to unlike texts tie ever more sets as a
+  table grows, so clusters of more than one block are parted by marks first. Segments within one component need no
+  more, as nothing can change it.
 
 Shingles and sets are named by 64-bit hashes; "exact" is up to their collisions.
 
@@ -41,6 +44,10 @@ from voltide.session import cut_lineage
 
 RATIO = 1.5                 # of a band's largest to its smallest size
 BLOCK_SETS, BLOCK_TOKENS = 400, 200_000     # bounds of a block of sets that are compared at a time
+SIFT_SETS, SIFT_BYTES = 4096, 1 << 22       # the same where marks are compared
+SIZE_FLOORS = [1]                           # least sizes of ranges; linked sets are in one range or in two that follow each other
+while SIZE_FLOORS[-1] < 1 << 40:
+    SIZE_FLOORS.append(SIZE_FLOORS[-1] * 5 // 4 + 1)
 
 
 # ---- bands and allocation -------------------------------------------------------------
@@ -218,8 +225,24 @@ def shared_keys(index: DataFrame) -> DataFrame:
 FIRST_ROW = "min(struct(doc_id IS NULL AS no_id, doc_id, th))"
 
 
+def marks(row: np.ndarray, token: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Of each row's set, the parities of its shingles by bucket as bits: a power of two of buckets, 64 and ``size`` at least."""
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(size, 64))).astype(np.int64)
+    stops = np.concatenate([[0], np.cumsum(bits)])
+    at = stops[row] + (mix(token + np.uint64(0x0DD)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=stops[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[i // 8:j // 8] for i, j in zip(stops, stops[1:])]
+
+
+def folded(mark: bytes, length: int) -> bytes:
+    """What ``marks`` gives with fewer buckets: ``length`` bytes."""
+    if len(mark) == length:
+        return mark
+    return np.bitwise_xor.reduce(np.frombuffer(mark, np.uint64).reshape(-1, length // 8), 0).tobytes()
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, tokens) of the wanted names, tokens as packed sorted 64-bit integers, read from one document each."""
+    """(name, size, size_range, marks, tokens) of the wanted names, tokens as packed sorted 64-bit integers, read from one document each."""
     ids = cut_lineage(wanted.join(classes, "name").select(F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")))
     held = docs.select("doc_id", "text").join(small(ids), F.expr("doc_id <=> one_id AND xxhash64(text) = one_th"), "left_semi")
 
@@ -230,9 +253,30 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
             raw = token.tobytes()
             stops = np.concatenate([[0], np.cumsum(size)]) * 8
             packed = [raw[i:j] for i, j in zip(stops, stops[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(packed, pa.binary())], ["name", "tokens"])
+            size_range = np.searchsorted(SIZE_FLOORS, size, "right")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name), pa.array(size), pa.array(size_range), pa.array(marks(row, token, size), pa.binary()), pa.array(packed, pa.binary())],
+                ["name", "size", "size_range", "marks", "tokens"])
+
+    return cut_lineage(held.mapInArrow(rows, schema("name bigint, size bigint, size_range bigint, marks binary, tokens binary")).dropDuplicates(["name"]))
+
+
+def may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of names that sizes and marks allow to link."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = np.minimum(x, y) * 5 >= np.maximum(x, y) * 4
+            for i in np.flatnonzero(keep):
+                one, two = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
+                length = min(len(one), len(two))
+                apart = (int.from_bytes(folded(one, length), "little") ^ int.from_bytes(folded(two, length), "little")).bit_count()
+                keep[i] = apart <= most_apart(int(x[i] + y[i]))
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return cut_lineage(held.mapInArrow(rows, schema("name bigint, tokens binary")).dropDuplicates(["name"]))
+    left = sets.selectExpr("name AS a", "size AS na", "marks AS ma")
+    right = sets.selectExpr("name AS b", "size AS nb", "marks AS mb")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(rows, schema("a bigint, b bigint"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,9 +295,23 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = 100 * both >= 80 * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    left = sets.selectExpr("name AS a", "tokens AS ta")
-    right = sets.selectExpr("name AS b", "tokens AS tb")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(rows, schema("a bigint, b bigint"))
+    # only the sets of a pair are shuffled
+    left = sets.selectExpr("name AS a", "tokens AS ta").join(small(pairs), "a")
+    right = sets.selectExpr("name AS b", "tokens AS tb").join(small(pairs), "b")
+    return left.join(right, ["a", "b"]).select("a", "b", "ta", "tb").mapInArrow(rows, schema("a bigint, b bigint"))
+
+
+def in_blocks(clusters: DataFrame) -> DataFrame:
+    """``clusters`` (name, cluster, size) plus block and blocks: bounded by sets and by shingles, dealt by hash."""
+    sized = cut_lineage(clusters.groupBy("cluster").agg(F.expr(
+        f"CAST(ceil(greatest(count(*) / {BLOCK_SETS}, sum(size) / {BLOCK_TOKENS})) AS INT)").alias("blocks")))
+    return clusters.join(sized, "cluster").withColumn("block", F.expr("CAST(pmod(xxhash64(name), blocks) AS INT)"))
+
+
+def met(placed: DataFrame) -> DataFrame:
+    """(cluster, i, j, block, name): every two blocks of a cluster, and each block with itself."""
+    return placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr(
+        "cluster", "least(block, other) AS i", "greatest(block, other) AS j", "block", "name")
 
 
 def cross_links(live: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -263,18 +321,72 @@ def cross_links(live: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
     once. A cluster is cut into blocks by hash and a task compares two blocks, of which it reports links that
     join them and no more. Blocks are bounded by sets and by shingles, and no pair becomes a row.
     """
-    known = cut_lineage(sets.selectExpr("name", "CAST(octet_length(tokens) DIV 8 AS BIGINT) AS size").join(
+    known = cut_lineage(sets.select("name", "size").join(
         labels.withColumnRenamed("node", "name"), "name", "left").selectExpr("name", "size", "coalesce(component, name) AS component"))
     marked = cut_lineage(live.join(known, "name").select("key", "name", "first", "component"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2")
     together = marked.where("name <> first").join(cut_lineage(mixed.select("key")), "key").selectExpr("name AS a", "first AS b")
-    clusters = cut_lineage(components(together).selectExpr("node AS name", "component AS cluster").join(known.select("name", "size"), "name"))
-    sized = cut_lineage(clusters.groupBy("cluster").agg(F.expr(
-        f"CAST(ceil(greatest(count(*) / {BLOCK_SETS}, sum(size) / {BLOCK_TOKENS})) AS INT)").alias("blocks")))
-    placed = clusters.join(sized, "cluster").withColumn("block", F.expr("CAST(pmod(xxhash64(name), blocks) AS INT)"))
-    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr(
-        "cluster", "least(block, other) AS i", "greatest(block, other) AS j", "block", "name")
-    return dealt.join(sets, "name").groupBy("cluster", "i", "j").applyInArrow(compare_blocks, schema("a bigint, b bigint"))
+    clusters = cut_lineage(components(together).selectExpr("node AS name", "component AS cluster").join(known, "name"))
+    dealt = met(cut_lineage(compared(clusters, sets)))
+    return sets.select("name", "tokens").join(small(dealt), "name").groupBy("cluster", "i", "j").applyInArrow(compare_blocks, schema("a bigint, b bigint"))
+
+
+def compared(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """(name, cluster, block, blocks) of the sets that are to be compared on their shingles: clusters of one block as they are, larger ones parted."""
+    placed = cut_lineage(in_blocks(clusters).select("name", "cluster", "size", "component", "block", "blocks"))
+    large = placed.where("blocks > 1").select("name", "cluster", "size", "component")
+    parted = cut_lineage(components(cut_lineage(sifted(large, sets))).selectExpr("node AS name", "component AS cluster").join(
+        large.select("name", "size"), "name"))
+    columns = ["name", "cluster", "block", "blocks"]
+    return placed.where("blocks = 1").select(columns).unionByName(in_blocks(parted).select(columns))
+
+
+def sifted(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a forest of the pairs that differ in component but that sizes and marks allow to link.
+
+    A cluster's sets are dealt by size range into blocks, and a task compares two blocks of a range or of two that follow
+    each other. The blocks are larger than those of shingles, as marks are small.
+    """
+    rows = cut_lineage(clusters.join(sets.select("name", "size_range", "marks"), "name"))
+    sized = cut_lineage(rows.groupBy("cluster", "size_range").agg(F.expr(
+        f"CAST(ceil(greatest(count(*) / {SIFT_SETS}, sum(octet_length(marks)) / {SIFT_BYTES})) AS INT)").alias("blocks")))
+    beside = lambda d, name: sized.selectExpr("cluster", f"size_range + {d} AS size_range", f"blocks AS {name}")
+    around = sized.join(beside(1, "below"), ["cluster", "size_range"], "left").join(beside(-1, "above"), ["cluster", "size_range"], "left")
+    placed = rows.join(around, ["cluster", "size_range"]).withColumn("block", F.expr("CAST(pmod(xxhash64(name), blocks) AS INT)"))
+    each = lambda n, pair: f"IF({n} > 0, transform(sequence(0, {n} - 1), o -> {pair}), array())"
+    tasks = ", ".join([
+        each("blocks", "struct(size_range AS least, false AS two, least(block, o) AS i, greatest(block, o) AS j, block = least(block, o) AS is_i)"),
+        each("above", "struct(size_range AS least, true AS two, block AS i, o AS j, true AS is_i)"),
+        each("below", "struct(size_range - 1 AS least, true AS two, o AS i, block AS j, false AS is_i)")])
+    dealt = placed.withColumn("task", F.explode(F.expr(f"concat({tasks})"))).selectExpr(
+        "cluster", "task.least", "task.two", "task.i", "task.j", "task.is_i", "name", "size", "component", "marks")
+    return dealt.groupBy("cluster", "least", "two", "i", "j").applyInArrow(sift_blocks, schema("a bigint, b bigint"))
+
+
+def sift_blocks(table: pa.Table) -> pa.Table:
+    """A forest of the pairs of the two blocks (or of the one) of a group that may link and differ in component."""
+    name, size, component, is_i = (table.column(c).to_numpy() for c in ("name", "size", "component", "is_i"))
+    raw = table.column("marks").to_pylist()
+    length = min(len(m) for m in raw)
+    mark = np.frombuffer(b"".join(folded(m, length) for m in raw), np.uint64).reshape(len(raw), -1)
+    alone = table.column("i")[0] == table.column("j")[0] and not table.column("two")[0].as_py()
+    one, two = np.flatnonzero(is_i), np.arange(len(raw)) if alone else np.flatnonzero(~is_i)
+    two_marks, group, out = np.ascontiguousarray(mark[two].T), np.arange(len(raw)), []
+    step = max(1, (1 << 20) // max(1, len(two)))
+    for s in range(0, len(one) if len(two) else 0, step):
+        part = one[s:s + step]
+        apart = np.zeros((len(part), len(two)), np.int32)
+        for k, column in enumerate(two_marks):
+            apart += np.bitwise_count(mark[part, k][:, None] ^ column)
+        x, y = size[part][:, None], size[two]
+        may = (9 * apart <= x + y) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y)) & (component[part][:, None] != component[two])
+        for r in np.flatnonzero(may.any(1)):
+            met_groups, at = np.unique(group[two[may[r]]], return_index=True)
+            other = met_groups != group[part[r]]
+            if other.any():
+                out += [(name[part[r]], name[q]) for q in two[may[r]][at[other]]]
+                group[np.isin(group, met_groups)] = group[part[r]]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def compare_blocks(table: pa.Table) -> pa.Table:
@@ -321,7 +433,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     first = cut_lineage(live.where("name <> first").selectExpr("least(name, first) AS a", "greatest(name, first) AS b").distinct())
     names = cut_lineage(live.select("name").distinct())
     sets = sets_of(docs, classes, names)
-    links = cut_lineage(verify(first, sets))
+    links = cut_lineage(verify(cut_lineage(may_link(first, sets)), sets))
     labels = components(links)
     more = cut_lineage(cross_links(live, labels, sets))
     if more.limit(1).count():

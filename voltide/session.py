@@ -68,6 +68,20 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df``; the write's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -75,14 +89,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     steps read only the columns they use. It is kept until :func:`drop_tables` is called for its scope.
     """
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rewrite_table(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
     """Like :func:`cut_lineage`, and deletes the table at ``path``, which nothing but ``df`` may still read."""
     spark, new = df.sparkSession, scratch_path(df.sparkSession)
-    df.write.parquet(new)
+    write_table(df, new)
     if path:
         delete_path(spark, path)
     return spark.read.schema(df.schema).parquet(new), new
